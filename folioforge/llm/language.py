@@ -198,11 +198,8 @@ def _tabulate(rows: list[tuple[str, int, str, float]]) -> Model:
         row[LANGS.index(lang)] += n
     for lang, text in FUNCTION_WORDS.items():
         for w in text.split():
-            if lang != "zh":
-                counts[0].setdefault(w, np.zeros(len(LANGS)))[LANGS.index(lang)] += 3
-            for size in SIZES:
-                for g in grams(w, size):
-                    counts[size].setdefault(g, np.zeros(len(LANGS)))[LANGS.index(lang)] += 1
+            size = 1 if lang == "zh" else 0
+            counts[size].setdefault(w, np.zeros(len(LANGS)))[LANGS.index(lang)] += 3
     tables: dict[int, dict[str, np.ndarray]] = {}
     for size, table in counts.items():
         total = np.sum(list(table.values()), axis=0) + 1.0
@@ -214,14 +211,16 @@ def _tabulate(rows: list[tuple[str, int, str, float]]) -> Model:
     return Model(tables.pop(0), tables)
 
 
-def _count(relabel: Model | None):
+def _count(relabel: Model | None, whole: bool = False):
+    """Counts words and n-grams by language: that of the label, or the one a model gives to each sentence (or whole text)."""
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[tuple[str, int, str], int] = {}
         seen: dict[tuple[str, str], int] = {}
         for pdf in batches:
             for lang, text in zip(pdf["label"], pdf["text"]):
-                for sentence, _ in sentences(text):
-                    found = words(sentence)
+                units = [words(sentence) for sentence, _ in sentences(text)]
+                for found in [[w for u in units for w in u]] if whole else units:
                     if not is_prose(found):
                         continue
                     of = lang
@@ -247,20 +246,37 @@ def _count(relabel: Model | None):
     return work
 
 
+def _sample(rows: DataFrame, key: str, sample_rows: int) -> DataFrame:
+    """Rows chosen by a hash of their key, sample_rows of them in expectation."""
+    n = rows.count()
+    return rows if n <= sample_rows else rows.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
+
+
+def _fit_round(labelled: DataFrame, model: Model | None, whole: bool = False) -> Model:
+    counts = labelled.select("label", "text").mapInPandas(_count(model, whole), "lang string, size int, gram string, n long")
+    summed = counts.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("lang", "size").orderBy(F.col("n").desc(), "gram")
+    kept = summed.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= F.when(F.col("size") == 0, KEEP_WORDS).otherwise(KEEP_GRAMS))
+    return _tabulate([(r["lang"], r["size"], r["gram"], float(r["n"])) for r in kept.collect()])  # at most languages * (KEEP_WORDS + 4 * KEEP_GRAMS)
+
+
 def fit(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = 2) -> Model:
-    """The model from the labels of ``documents`` (columns lang, text and doc_id)."""
-    labelled = documents.select(F.col("doc_id"), label_code(F.col("lang")).alias("label"), "text").filter("label is not null")
-    n = labelled.count()
-    if n > sample_rows:
-        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
-    model = None
+    """The model from the labels of ``documents`` (columns doc_id, lang and text)."""
+    labelled = documents.select("doc_id", label_code(F.col("lang")).alias("label"), "text").filter("label is not null")
+    labelled, model = _sample(labelled, "doc_id", sample_rows), None
     for _ in range(rounds):
-        counts = labelled.select("label", "text").mapInPandas(_count(model), "lang string, size int, gram string, n long")
-        summed = counts.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-        w = Window.partitionBy("lang", "size").orderBy(F.col("n").desc(), "gram")
-        kept = summed.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= F.when(F.col("size") == 0, KEEP_WORDS).otherwise(KEEP_GRAMS))
-        rows = [(r["lang"], r["size"], r["gram"], float(r["n"])) for r in kept.collect()]  # at most languages * (KEEP_WORDS + 4 * KEEP_GRAMS)
-        model = _tabulate(rows)
+        model = _fit_round(labelled, model)
+    return model
+
+
+def fit_unlabelled(texts: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = 2) -> Model:
+    """The model from texts (columns key and text) without labels.
+
+    Function words alone first tell whole texts apart, which is easy; the words of these then tell single sentences apart.
+    """
+    rows, model = _sample(texts, "key", sample_rows).withColumn("label", F.lit("en")), _tabulate([])
+    for k in range(rounds):
+        model = _fit_round(rows, model, whole=k == 0)
     return model
 
 

@@ -4,11 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioforge.llm import consensus, encoding, language, mixture, score_fusion
+from folioforge.llm import consensus, encoding, language, mixture, pair_defects, pieces, score_fusion
 from folioforge.llm.sql import SQL  # noqa: F401  read by __spark_entry__
 from folioforge.sources.tables import table
 
 
+def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = pieces.oversized(table(spark, sf_dir, "source_documents"), "document", "source_path", "content")
+    passages = pieces.oversized(table(spark, sf_dir, "retrieved_passages"), "passage", "chunk_id", "text", dedupe=True)
+    return documents.unionByName(passages)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item beyond the limit and whether cutting it must break a stretch without a boundary."""
+    cut = pieces.pieces(_oversized(spark, sf_dir), with_text=False)
+    return cut.filter("piece_no = 1").select("item_kind", "item_id", pieces.cut_kind().alias("cut")).distinct()
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every item beyond the limit, in order."""
+    return pieces.pieces(_oversized(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with a candidate that leads almost everywhere, from the fused ranking's standing in the lists."""
     fused = score_fusion.fuse_scores(table(spark, sf_dir, "retrieved_passages"), table(spark, sf_dir, "retrievers"))
@@ -21,6 +38,13 @@ def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.select("question_id", "rank", "chunk_id", "fused", "in_lists", "n_lists")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every defective pair of question and answer with its defect."""
+    traces = table(spark, sf_dir, "run_traces")
+    found = pair_defects.find_defects(traces, pair_defects.fit_ends(traces), pair_defects.fit_languages(traces))
+    return found.filter("defect is not null and trace_id is not null").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces and labels whose consensus is true."""
     items, _ = consensus.fit(consensus.votes_of(table(spark, sf_dir, "answer_judgements")))
@@ -80,4 +104,4 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", "s.no", "s.lang", "s.confidence", "s.sentences", "s.letters")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_ranking, p6_found, p6_annotators, p6_agreement, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_languages, p9_segments)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_ranking, p4_found, p6_found, p6_annotators, p6_agreement, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_languages, p9_segments)}

@@ -7,6 +7,13 @@ ok AS (SELECT raw.question_id, raw.retriever, raw.chunk_id, CASE WHEN coalesce(r
        FROM raw LEFT JOIN retrievers r ON raw.retriever = r.retriever WHERE NOT isnan(score))"""
 
 SQL = {
+    "p2_found": r"""
+WITH items AS (SELECT 'document' AS item_kind, source_path AS item_id, content AS text FROM source_documents
+               UNION ALL SELECT 'passage', chunk_id, min(text) FROM retrieved_passages GROUP BY chunk_id)
+SELECT DISTINCT item_kind, item_id,
+  CASE WHEN list_max(list_transform(string_split(translate(regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', ' ', 'g'), '.!?。！？', '      '), ' '), lambda x: length(x))) > 500
+  THEN 'forced' ELSE 'boundary' END AS cut
+FROM items WHERE length(text) > 500 AND item_id IS NOT NULL""",
     "p3_found": _LISTS
     + """,
 pos AS (SELECT *, rank() OVER (PARTITION BY question_id, retriever ORDER BY s DESC) AS rk, count(*) OVER (PARTITION BY question_id, retriever, s) AS eq FROM ok),
