@@ -120,8 +120,11 @@ def sweep(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["entity", "part", "state", "a", "b", "q", "z"]).astype({"z": "Int64"})
 
 
-def bitemporal_ledger(updates: DataFrame, slice_days: int = SLICE_DAYS) -> DataFrame:
-    """The ledger of all updates(entity, state, valid_from, valid_to, recorded_at[, tie])."""
+def bitemporal_ledger(updates: DataFrame, slice_days: int = SLICE_DAYS, last_day: int | None = None) -> DataFrame:
+    """The ledger of all updates(entity, state, valid_from, valid_to, recorded_at[, tie]).
+
+    last_day: the last day (since 1970) that any update names, if the caller knows it; else one more pass finds it.
+    """
     day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
     tie = F.col("tie").cast("string") if "tie" in updates.columns else F.lit(None).cast("string")
     u = updates.select(
@@ -129,7 +132,7 @@ def bitemporal_ledger(updates: DataFrame, slice_days: int = SLICE_DAYS) -> DataF
         F.unix_micros(F.col("recorded_at").cast("timestamp_ntz").cast("timestamp")).alias("r"), tie.alias("tie"),
     ).filter("entity is not null and a is not null and r is not null and b > a")
     # an open interval is cut at the borders up to the last known day only; its last slice keeps the open end
-    last = u.agg(F.max(F.greatest("a", F.when(F.col("b") < OPEN, F.col("b")).otherwise(F.col("a"))))).head()[0]
+    last = u.agg(F.max(F.greatest("a", F.when(F.col("b") < OPEN, F.col("b")).otherwise(F.col("a"))))).head()[0] if last_day is None else last_day
     last = 0 if last is None else last
     top = last // slice_days
     part_of = lambda c: F.least(F.floor(c / slice_days), F.lit(top)).cast("long")
@@ -188,6 +191,11 @@ def current_versions(ledger: DataFrame) -> DataFrame:
     )
 
 
+def last_snapshot(snapshots: DataFrame, date: str = "snapshot_date") -> int:
+    """The last snapshot's day since 1970 (0 without snapshots), from that one column."""
+    return snapshots.agg(F.coalesce(F.max(F.unix_date(date)), F.lit(0))).head()[0]
+
+
 def metadata_updates(snapshots: DataFrame, digest: bool = False) -> DataFrame:
     """Updates of metadata_snapshots: the state is document_id, version and the metadata entries, canonically.
 

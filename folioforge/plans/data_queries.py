@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioforge.operators.history import bitemporal_ledger, current_versions, metadata_updates
+from folioforge.operators.history import bitemporal_ledger, current_versions, last_snapshot, metadata_updates
 from folioforge.operators.incremental import plan_work_items
 from folioforge.sources.tables import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every version of every source path with the period for which it was valid, from the bitemporal ledger."""
-    ledger = bitemporal_ledger(metadata_updates(table(spark, sf_dir, "metadata_snapshots"), digest=True))
+    snapshots = table(spark, sf_dir, "metadata_snapshots")
+    ledger = bitemporal_ledger(metadata_updates(snapshots, digest=True), last_day=last_snapshot(snapshots))
     return current_versions(ledger).select(
         F.col("entity").alias("source_path"),
         F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"),
@@ -21,7 +22,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ledger, superseded beliefs included, with the states themselves."""
-    ledger = bitemporal_ledger(metadata_updates(table(spark, sf_dir, "metadata_snapshots")))
+    snapshots = table(spark, sf_dir, "metadata_snapshots")
+    ledger = bitemporal_ledger(metadata_updates(snapshots), last_day=last_snapshot(snapshots))
     return ledger.withColumnRenamed("entity", "source_path")
 
 
