@@ -26,7 +26,6 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -65,15 +64,17 @@ FUNCTION_WORDS = {
 }
 
 HAN = "一-鿿㐀-䶿𠀀-𪛟"
-_CODE = re.compile(r"\b[A-Za-z]{1,6}(?:-[A-Za-z]{1,6})*[-_/]?\d[\w/.:\-]*|https?://\S+|\S+@\S+|\S*[/\\]\S*\.\w+", re.ASCII)
+_ADDRESS = re.compile(r"https?://\S+|\S+@\S+")
 LATIN = "A-Za-zªºÀ-ÖØ-öø-ɏ\u0300-\u036fḀ-ỿﬀ-ﬆ"
-_WORD = re.compile(rf"[{HAN}]+|[{LATIN}]+(?:['’][{LATIN}]+)*")
+#: Han runs, and Latin words that are no part of a code such as KT-294/2 or HSE-LK-152-X.
+_WORD = re.compile(rf"[{HAN}]+|(?<![{LATIN}])(?<!\d[-/])[{LATIN}]++(?:['’][{LATIN}]+)*+(?![-_/]?[A-Za-z]*[-_/]?\d)")
+_QUOTES = re.compile(r"[“„«《「『‹\"]")
 _QUOTED = re.compile(r"[“„«《「『‹\"][^“”„«»《》「」『』‹›\"\n。]{1,90}[”“»》」』›\"]")
 _MARK = re.compile(r"^(?:\s|[>\-*+•·–—]+(?=\s)|>+|\(?\d{1,3}[.)](?=\s)|\*\*|__)+")
 _END = re.compile(r"(?<=[.!?…])[\"”»’')\]*_]*\s+|(?<=[。！？])[”」』）)]*\s*")
 _WHOLE = re.compile(r"[.!?。！？][\"”»’')\]*_」』）\s]*$")
 _LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
-_INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x200E, 0x200F])
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 
 
 def label_code(c: Column) -> Column:
@@ -90,9 +91,8 @@ def sentences(text: str | None) -> list[tuple[str, bool]]:
     """The prose as (sentence, whether it is whole), without headings, tables, codes and quoted titles."""
     if not text or text.isspace():
         return []
-    text = text.translate(_INVISIBLE)
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text)
+        text = unicodedata.normalize("NFC", _INVISIBLE.sub("", text))
     lines = _LINES.split(text)
     first = next(i for i, x in enumerate(lines) if x and not x.isspace()) if any(x and not x.isspace() for x in lines) else 0
     if lines[first].strip() == "---":  # front matter
@@ -107,9 +107,12 @@ def sentences(text: str | None) -> list[tuple[str, bool]]:
             continue
         if fenced or not s or s[0] in "|#" or s.startswith(("---", "===", "> Re:")):
             continue
-        s = _QUOTED.sub(" ", _MARK.sub("", s))
-        if s.startswith(("|", "#")):
-            continue
+        if not s[0].isalpha():
+            s = _MARK.sub("", s)
+            if s.startswith(("|", "#")):
+                continue
+        if _QUOTES.search(s):
+            s = _QUOTED.sub(" ", s)
         for part in _END.split(s):
             if part and not part.isspace():
                 out.append((part, bool(_WHOLE.search(part))))
@@ -117,17 +120,19 @@ def sentences(text: str | None) -> list[tuple[str, bool]]:
 
 
 def words(sentence: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(_CODE.sub(" ", sentence))]
+    if "://" in sentence or "@" in sentence:
+        sentence = _ADDRESS.sub(" ", sentence)
+    return _WORD.findall(sentence.lower())
 
 
 def letters(found: list[str]) -> int:
-    """Amount of prose in the words of a sentence."""
-    return sum(3 * len(w) if w[0] >= "㐀" else len(w) for w in found)
+    """Amount of prose in the words of a sentence; a Han character counts as three letters."""
+    return sum(map(len, found)) + 2 * sum([len(w) for w in found if w[0] >= "㐀"])
 
 
 def is_prose(found: list[str]) -> bool:
     """Enough words to be more than a code or a name: three words or four Han characters."""
-    return len(found) >= 3 or sum(len(w) for w in found if w[0] >= "㐀") >= 4
+    return len(found) >= 3 or sum([len(w) for w in found if w[0] >= "㐀"]) >= 4
 
 
 def grams(word: str, size: int) -> list[str]:
@@ -138,28 +143,38 @@ def grams(word: str, size: int) -> list[str]:
     return [padded[i : i + size] for i in range(len(padded) - size + 1)]
 
 
-@dataclass
 class Model:
-    """Log frequencies per language of words and of n-grams by size."""
+    """Log frequencies per language of words and of n-grams by size. Rows of a matrix; unseen words get theirs when met."""
+
+    #: Unseen words whose rows are kept.
+    CACHE = 200_000
 
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
+    def __init__(self, words: dict[str, np.ndarray], grams: dict[int, dict[str, np.ndarray]]):
+        self.words, self.grams = words, grams
+        self._prepare()
+
+    def _prepare(self) -> None:
+        self._row = {w: i for i, w in enumerate(self.words)}
+        self._matrix = np.zeros((len(self.words) + 4096, len(LANGS)))
+        for i, v in enumerate(self.words.values()):
+            self._matrix[i] = v
 
     def __getstate__(self) -> dict:
-        return {"words": self.words, "grams": self.grams, "cache": {}}
-
-    def vector(self, word: str) -> np.ndarray:
-        """The word's log frequencies: as a word if known, else by its longest known n-grams."""
-        v = self.words.get(word)
-        if v is None:
-            v = self.cache.get(word)
-            if v is None:
-                v = self._backoff(word)
-                if len(self.cache) > 200_000:
-                    self.cache.clear()
-                self.cache[word] = v
-        return v
+        return {"words": self.words, "grams": self.grams}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self._prepare()
+
+    def row(self, word: str) -> int:
+        """The word's row: its own if it is known, else one made of its longest known n-grams."""
+        i = self._row.get(word)
+        if i is None:
+            i = self._row[word] = len(self._row)
+            if i >= len(self._matrix):
+                self._matrix = np.concatenate([self._matrix, np.zeros_like(self._matrix)])
+            self._matrix[i] = self._backoff(word)
+        return i
 
     def _backoff(self, word: str) -> np.ndarray:
         for size in SIZES:
@@ -171,21 +186,23 @@ class Model:
                 return total if word[0] >= "㐀" else total / size
         return np.zeros(len(LANGS))
 
-    def scores(self, found: list[str]) -> np.ndarray:
-        return np.sum([self.vector(w) for w in found], axis=0) if found else np.zeros(len(LANGS))
-
     def posterior(self, found: list[str]) -> np.ndarray:
-        s = self.scores(found)
-        p = np.exp(s - s.max())
-        return p / p.sum()
+        return self.posteriors([found])[0]
 
     def posteriors(self, found: list[list[str]]) -> np.ndarray:
-        """Posteriors of many sentences at once."""
+        """Posteriors of many sentences at once; even ones where a sentence has no words."""
         if not found:
             return np.zeros((0, len(LANGS)))
-        flat = np.array([self.vector(w) for f in found for w in f])
-        starts = np.cumsum([0] + [len(f) for f in found[:-1]])
-        s = np.add.reduceat(flat, starts, axis=0)
+        sizes = np.fromiter((len(f) for f in found), np.int64, len(found))
+        s = np.zeros((len(found), len(LANGS)))
+        if sizes.sum():
+            if len(self._row) > len(self.words) + self.CACHE:
+                self._prepare()
+            known = self._row.get
+            flat = [self.row(w) if (i := known(w)) is None else i for f in found for w in f]
+            full = np.flatnonzero(sizes)
+            starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
+            s[full] = np.add.reduceat(self._matrix[np.array(flat)], starts, axis=0)
         p = np.exp(s - s.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
