@@ -34,13 +34,12 @@ PENALTY = {"paragraph": 0.0, "line": 1.0, "sentence": 2.0, "clause": 6.0, "space
 BALANCE = 4.0
 
 _EOL = r"(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])"
-_STRONG = re.compile(
-    rf"(?P<p>{_EOL}[^\S\r\n]*{_EOL}\s*)|(?P<l>{_EOL}\s*)|(?P<s>[.!?…]+[\"”»’')\]*_]*\s+|[。！？]+[”」』）\"]*\s*)"
-)
+_STRONG = re.compile(rf"(?:[.!?…]+[\"”»’')\]*_]*\s+|[。！？]+[”」』）\"]*\s*)|{_EOL}\s*")
+_TWO_EOL = re.compile(rf"{_EOL}[^\S\r\n]*{_EOL}")
+_ONE_EOL = re.compile(_EOL)
 _CLAUSE = re.compile(r"[;:,)\]—–]\s+|[；：，、）]\s*")
 _ANY = re.compile(r"\s|[.!?。！？]")
 _RUN = re.compile(r"[^\s.!?。！？]+")
-_KIND = {"p": "paragraph", "l": "line", "s": "sentence"}
 
 SCHEMA = "item_kind string, item_id string, piece_no int, start int, end int, boundary string, longest_run int, n_pieces int"
 
@@ -54,10 +53,15 @@ def _whole_character(text: str, at: int) -> int:
     return at
 
 
+def _strong_kind(gap: str) -> str:
+    """What a gap of end marks and white space is; line ends after a sentence count as what they are."""
+    return "paragraph" if _TWO_EOL.search(gap) else "line" if _ONE_EOL.search(gap) else "sentence"
+
+
 def candidates(text: str, advance: int) -> list[tuple[int, str]]:
     """Boundary positions with their kinds, dense enough that none is more than ``advance`` after the one before it."""
     n = len(text)
-    found = {m.end(): _KIND[m.lastgroup] for m in _STRONG.finditer(text)}
+    found = {m.end(): _strong_kind(m.group()) for m in _STRONG.finditer(text)}
     found.pop(n, None)
     found.pop(0, None)
     for rx, kind in ((_CLAUSE, "clause"), (_ANY, "space")):
