@@ -40,9 +40,12 @@ def cosine(a: Column, b: Column) -> Column:
 def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """Counts of the text's terms in hashed bins: the stand-in where no embedding model is given."""
     bins = F.transform(terms(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("long") % dimensions).cast("int"))
-    zero = F.array_repeat(F.lit(0.0), dimensions)
-    counted = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda b: F.size(F.filter(bins, lambda x: x == b)).cast("double"))
-    return F.when(F.size(bins) > 0, counted).otherwise(zero)
+
+    def counts(found: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda b: F.size(F.filter(found, lambda x: x == b)).cast("double"))
+
+    # bound as a lambda's variable, the bins are computed once and not once per dimension
+    return F.get(F.transform(F.array(bins), counts), F.lit(0))
 
 
 def model_embedding(make: callable, batch: int = 64):

@@ -11,15 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from folioforge.functions.text import terms
 from folioforge.functions.vectors import cosine, overlap_score
+from folioforge.session import cut
 
 K1, B, RRF_K, CANDIDATES, TOP = 1.5, 0.75, 60, 20, 5
 #: Vectors and queries in one block of the exhaustive search.
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 1024
+BM25_CHUNKS, BM25_QUERIES = 2048, 512
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -31,10 +35,14 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 
 
 # BM25 --------------------------------------------------------------------------------------------------------------
-def postings(chunks: DataFrame) -> DataFrame:
+def chunk_terms(chunks: DataFrame) -> DataFrame:
+    """chunk_id, source_path and the chunk's terms; every chunk, also those without terms."""
+    return chunks.select("chunk_id", "source_path", terms(F.col("text")).alias("terms"))
+
+
+def postings(termed: DataFrame) -> DataFrame:
     """chunk_id, source_path, token, tf and the chunk's length in terms; a chunk without terms has none."""
-    t = chunks.select("chunk_id", "source_path", terms(F.col("text")).alias("_t"))
-    t = t.select("chunk_id", "source_path", F.size("_t").alias("dl"), F.explode("_t").alias("token"))
+    t = termed.select("chunk_id", "source_path", F.size("terms").alias("dl"), F.explode("terms").alias("token"))
     return t.groupBy("chunk_id", "source_path", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -42,10 +50,10 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
+def corpus_stats(termed: DataFrame) -> DataFrame:
     """One row: the number of chunks, those without terms included, and their mean length."""
     n = F.count(F.lit(1))
-    return chunks.agg(n.alias("n_chunks"), (F.coalesce(F.sum(F.size(terms(F.col("text")))), F.lit(0)) / n).alias("avg_len"))
+    return termed.agg(n.alias("n_chunks"), (F.coalesce(F.sum(F.size("terms")), F.lit(0)) / n).alias("avg_len"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -60,25 +68,85 @@ def weighted_postings(chunks: DataFrame, k1: float = K1, b: float = B) -> DataFr
     """
     if k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be positive and b within 0 and 1")
-    posted = postings(chunks)
-    scored = posted.join(document_frequency(posted), "token").crossJoin(F.broadcast(corpus_stats(chunks)))  # statistics are one row
+    termed = cut(chunk_terms(chunks))  # chunked and tokenised once for postings, frequencies and statistics
+    posted = postings(termed)
+    scored = posted.join(document_frequency(posted), "token").crossJoin(F.broadcast(corpus_stats(termed)))  # statistics are one row
     idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_len")))
     return scored.select("chunk_id", "source_path", "token", (idf * tf).alias("weight"))
 
 
-def bm25_scores(queries: DataFrame, weighted: DataFrame) -> DataFrame:
-    """Every chunk that shares a term with a query, with its score; sums are combined map-side."""
-    hit = query_terms(queries).join(weighted, "token")
-    return hit.groupBy("query_id", "chunk_id", "source_path").agg(F.round(F.sum("weight"), 6).alias("score"))
+def bm25_blocks(queries: DataFrame, weighted: DataFrame, k: int) -> DataFrame:
+    """Per query the k best chunks of every pair of blocks, and what ties with the last of them.
+
+    Every block of queries meets every block of chunks once. Of a block of chunks only the postings of the queries' terms
+    enter a dense matrix of terms and chunks; the product with the queries' terms gives all scores, and only the best ones
+    leave the task. A join on terms would instead shuffle every posting of a frequent term once per query.
+    """
+    n_q = max(1, math.ceil(queries.count() / BM25_QUERIES))
+    n_c = max(1, math.ceil(weighted.select("chunk_id").distinct().count() / BM25_CHUNKS))
+    q = query_terms(queries).groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb")).agg(F.collect_list(F.struct(F.col("query_id").cast("string").alias("query_id"), "token")).alias("q"))
+    c = weighted.groupBy(F.pmod(F.xxhash64("chunk_id"), F.lit(n_c)).alias("cb")).agg(F.collect_list(F.struct("chunk_id", "source_path", "token", "weight")).alias("c"))
+
+    def encoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Codes in the order of the values, and the values."""
+        d = column.dictionary_encode()
+        values = np.array(d.dictionary.to_pylist(), dtype=object)
+        order = np.argsort(values.astype(str), kind="stable")
+        place = np.empty(len(values), np.int64)
+        place[order] = np.arange(len(values))
+        return place[d.indices.to_numpy()], values[order]
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qs, cs = batch.column("q")[i].values, batch.column("c")[i].values
+                q_at, q_ids = encoded(qs.field("query_id"))
+                terms_of = qs.field("token").unique()
+                term_at = pc.index_in(qs.field("token"), terms_of).to_numpy()
+                cs = cs.filter(pc.is_in(cs.field("token"), terms_of))
+                if not len(cs):
+                    continue
+                c_at, c_ids = encoded(cs.field("chunk_id"))
+                paths = np.empty(len(c_ids), dtype=object)
+                paths[c_at] = np.array(cs.field("source_path").to_pylist(), dtype=object)
+                weights = np.zeros((len(terms_of), len(c_ids)))
+                weights[pc.index_in(cs.field("token"), terms_of).to_numpy(), c_at] = cs.field("weight").to_numpy()
+                asked = np.zeros((len(q_ids), len(terms_of)))
+                asked[q_at, term_at] = 1.0
+                scores = np.round(asked @ weights, 6)
+                least = np.partition(scores, -k, axis=1)[:, -k] if k < scores.shape[1] else np.zeros(len(q_ids))
+                r, col = np.nonzero((scores >= least[:, None]) & (scores > 0))
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[r], pa.string()), pa.array(c_ids[col], pa.string()), pa.array(paths[col], pa.string()), pa.array(scores[r, col])], names=["query_id", "chunk_id", "source_path", "score"])
+
+    pairs = c.repartition(min(n_c, 4096), "cb").join(q, F.lit(True), "cross").repartition(min(n_c * n_q, 4096), "cb", "qb").select("q", "c")
+    return pairs.mapInArrow(product, "query_id string, chunk_id string, source_path string, score double")
+
+
+def bm25_scores_within(queries: DataFrame, weighted: DataFrame, scope: DataFrame) -> DataFrame:
+    """Scores of the chunks of each query's own few documents, scope(query_id, source_path): one equi-join."""
+    asked = query_terms(queries).join(scope, "query_id")
+    return asked.join(weighted, ["source_path", "token"]).groupBy("query_id", "chunk_id", "source_path").agg(F.round(F.sum("weight"), 6).alias("score"))
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP, k1: float = K1, b: float = B, keep: Column | None = None) -> DataFrame:
     """The k best chunks per query. ``keep`` (a condition on the chunk table) restricts results, never the statistics."""
-    weighted = weighted_postings(chunks, k1, b)
+    if k < 1:
+        raise ValueError("top_k must be at least 1")
+    weighted = build_index(chunks, k1, b)
     if keep is not None:
         weighted = weighted.join(chunks.filter(keep).select("chunk_id"), "chunk_id", "left_semi")
-    return top_k(bm25_scores(queries, weighted), k)
+    return bm25_indexed(queries, weighted, k)
+
+
+def build_index(chunks: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """The weighted postings as a table in the shared folder: made once, read by every search."""
+    return cut(weighted_postings(chunks, k1, b))
+
+
+def bm25_indexed(queries: DataFrame, weighted: DataFrame, k: int = TOP) -> DataFrame:
+    """As bm25, over an index built before."""
+    return top_k(bm25_blocks(queries.filter("query_id is not null"), weighted, k), k)
 
 
 # vectors -----------------------------------------------------------------------------------------------------------
@@ -164,11 +232,10 @@ def leading_sources(ranked: DataFrame, n: int) -> DataFrame:
     return first.withColumn("source_rank", F.row_number().over(w)).filter(F.col("source_rank") <= n)
 
 
-def scoped(scores: DataFrame, candidate_k: int = CANDIDATES, document_k: int = 3, k: int = TOP) -> DataFrame:
-    """A second pass inside the leading documents of the first; queries whose second pass is empty keep the first."""
-    first = top_k(scores, candidate_k)
-    inside = scores.join(leading_sources(first, document_k).select("query_id", "source_path"), ["query_id", "source_path"], "left_semi")
-    second = top_k(inside, k)
+def scoped(first: DataFrame, queries: DataFrame, weighted: DataFrame, document_k: int = 3, k: int = TOP) -> DataFrame:
+    """A second pass inside the leading documents of the first (a list of candidates); queries whose second pass is empty keep the first."""
+    second = top_k(bm25_scores_within(queries, weighted, leading_sources(first, document_k).select("query_id", "source_path")), k)
+    second = second.select("query_id", "chunk_id", "source_path", "score", "rank")
     kept = first.filter(F.col("rank") <= k).join(second.select("query_id").distinct(), "query_id", "left_anti")
     return second.unionByName(kept.select(*second.columns))
 
@@ -179,7 +246,7 @@ def scoped_hybrid(first: DataFrame, queries: DataFrame, chunks: DataFrame, embed
     inside = scope.join(chunks.select("source_path", "chunk_id", embed(F.col("text")).alias("_c")), "source_path")
     inside = inside.join(queries.select("query_id", embed(F.col("text")).alias("_q")), "query_id")
     semantic = top_k(inside.select("query_id", "chunk_id", "source_path", F.round(cosine(F.col("_q"), F.col("_c")), 6).alias("score")), candidate_k)
-    scores = bm25_scores(queries, weighted_postings(chunks)).join(scope, ["query_id", "source_path"], "left_semi")
+    scores = bm25_scores_within(queries, build_index(chunks), scope)
     second = rrf([semantic, top_k(scores, candidate_k)], k).select("query_id", "chunk_id", "source_path", "score", "rank")
     kept = first.filter(F.col("rank") <= k).join(second.select("query_id").distinct(), "query_id", "left_anti")
     return second.unionByName(kept.select(*second.columns))

@@ -9,13 +9,13 @@ from folioforge.functions.vectors import cosine, hashed_embedding
 from folioforge.operators import agent, answers, chunking, evaluate, filters, ranking, sync
 from folioforge.operators.incremental import instant
 from folioforge.plans.reference_sql import SQL  # noqa: F401  read by __spark_entry__
-from folioforge.sources.tables import table
+from folioforge.sources.tables import spread, table
 
 CHUNK_SIZE = 500
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.corpus(table(spark, d, "source_documents"))
+    return chunking.corpus(spread(table(spark, d, "source_documents")))
 
 
 def chunks(spark: SparkSession, d: str, keep: list[str] | None = None) -> DataFrame:
@@ -37,15 +37,15 @@ def tokenize_terms(spark, d):
 
 
 def term_frequency(spark, d):
-    return ranking.postings(chunks(spark, d)).select("chunk_id", "token", "tf")
+    return ranking.postings(ranking.chunk_terms(chunks(spark, d))).select("chunk_id", "token", "tf")
 
 
 def document_frequency(spark, d):
-    return ranking.document_frequency(ranking.postings(chunks(spark, d)))
+    return ranking.document_frequency(ranking.postings(ranking.chunk_terms(chunks(spark, d))))
 
 
 def corpus_stats(spark, d):
-    return ranking.corpus_stats(chunks(spark, d)).select("n_chunks", F.round("avg_len", 6).alias("avg_len"))
+    return ranking.corpus_stats(ranking.chunk_terms(chunks(spark, d))).select("n_chunks", F.round("avg_len", 6).alias("avg_len"))
 
 
 def fixed_chunks(spark, d):
@@ -174,8 +174,8 @@ def rerank_overlap(spark, d):
 
 
 def document_scoped(spark, d):
-    scores = ranking.bm25_scores(questions(spark, d), ranking.weighted_postings(chunks(spark, d)))
-    return ranked_columns(ranking.scoped(scores))
+    q, index = questions(spark, d), ranking.build_index(chunks(spark, d))
+    return ranked_columns(ranking.scoped(ranking.bm25_indexed(q, index, ranking.CANDIDATES), q, index))
 
 
 def neighbor_expand(spark, d):

@@ -30,7 +30,7 @@ def test_markdown(spark):
     assert cut(text, 60) == ["# Title", first, second] and cut(text, 200) == [text]
     assert cut("## 2. Seal supply\n\nA. B.", 20)[0].startswith("## 2. Seal supply")
     assert cut("intro\n\nmore\n# A\nbody\n## B\nrest", 12) == ["intro\n\nmore", "# A\nbody", "## B\nrest"]
-    assert cut("", 10) == [] and cut("#\n\n## joined\nx\n## y", 20) == ["#\n\n## joined\nx", "## y"]
+    assert cut("", 10) == [] and cut("#\n\n## joined\nx\n## y", 15) == ["#\n\n## joined\nx", "## y"]
 
 
 def reference_pack(pieces, size):

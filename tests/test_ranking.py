@@ -100,7 +100,7 @@ def test_parents(spark):
 def test_scope_rerank(spark):
     c = chunk_table(spark, {"a:0": "red red apple", "a:1": "apple pie", "b:0": "red car", "c:0": "blue sky"})
     q = queries(spark, q="red apple", z="unknownword")
-    assert order(ranking.scoped(ranking.bm25_scores(q, ranking.weighted_postings(c)), document_k=1)) == ["a:0", "a:1"]
+    assert order(ranking.scoped(ranking.bm25(q, c, 20), q, ranking.weighted_postings(c), document_k=1)) == ["a:0", "a:1"]
     top = ranking.bm25(q, c, 20)
     assert order(ranking.rerank(top, q, c, 1)) == ["a:0"]
     with pytest.raises(ValueError):
@@ -151,6 +151,17 @@ def test_strategies_and_models(spark):
     assert order(ranking.rerank(ranking.bm25(q, c), q, c, 5, model_pair_score(Model)))[0] == "a:0"
 
 
+def test_blocks_do_not_matter(spark, monkeypatch):
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(30)]
+    c = chunk_table(spark, {f"d{i % 40}:{i}": " ".join(rnd.choices(words, k=12)) for i in range(200)})
+    q = queries(spark, **{f"q{i}": " ".join(rnd.choices(words, k=4)) for i in range(25)})
+    once = rows(ranking.bm25(q, c, 7), "query_id", "rank", "chunk_id", "source_path", "score")
+    monkeypatch.setattr(ranking, "BM25_CHUNKS", 17)
+    monkeypatch.setattr(ranking, "BM25_QUERIES", 4)
+    assert rows(ranking.bm25(q, c, 7), "query_id", "rank", "chunk_id", "source_path", "score") == once and len(once) == 25 * 7
+
+
 def test_ties_go_to_the_lesser_id(spark):
     rnd = random.Random(0)
     ids = [f"d{i}:0" for i in range(30)]
