@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioforge.llm import consensus, encoding, language, mixture, pair_defects, pieces, score_fusion
 from folioforge.llm.sql import SQL  # noqa: F401  read by __spark_entry__
-from folioforge.sources.tables import table
+from folioforge.sources.tables import spread, table
 
 
 def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,10 @@ def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every defective pair of question and answer with its defect."""
     traces = table(spark, sf_dir, "run_traces")
-    found = pair_defects.find_defects(traces, pair_defects.fit_ends(traces), pair_defects.fit_languages(traces))
+    ends = pair_defects.fit_ends(spread(traces.select("answer")))
+    pairs = spread(traces.select("trace_id", "question", "answer"))
+    languages = pair_defects.fit_languages(spread(traces.select("trace_id", "question", "answer", "context_sent_to_model")))
+    found = pair_defects.find_defects(pairs, ends, languages)
     return found.filter("defect is not null and trace_id is not null").distinct()
 
 
@@ -63,7 +66,7 @@ def p6_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every text by byte_bpe_50k."""
-    return encoding.encode(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return encoding.encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", ["doc_id"])
 
 
 def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,17 +78,18 @@ def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of the mixture with its number of repetitions."""
-    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+    return mixture.mix(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), table(spark, sf_dir, "mix_targets"))[0]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share per listed source."""
-    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+    return mixture.mix(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), table(spark, sf_dir, "mix_targets"))[1]
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return language.classify(documents, language.fit(documents))
+    texts = spread(documents.select("doc_id", "lang", "text"))
+    return language.classify(texts, language.fit(texts))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
