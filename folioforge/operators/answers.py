@@ -8,6 +8,15 @@ from folioforge.functions.text import CHUNK_CITATION, LABEL_CITATION
 
 #: Fixed value: the one answer that counts as a refusal.
 REFUSAL = "I don't know based on the provided context."
+#: The texts of errors and reasons.
+NO_CITATION = "Model answer has no context citations"
+UNKNOWN_CITATION = "Model answer cited context labels that were not provided: "
+NO_JSON = "Judge did not return a JSON object"
+NO_VERDICT = "Judge response is missing one or more boolean verdicts"
+NO_REASON = "Judge response is missing a reason"
+NOT_JUDGED = "No semantic judgement was produced."
+PASSED = "Deterministic pass: the answer exactly matches the required refusal."
+PIPELINE = "Pipeline error: "
 #: The verdicts that a judge must give.
 VERDICTS = ("correct", "citation_supported", "used_correct_version", "proper_refusal")
 
@@ -49,8 +58,8 @@ def ground(answers: DataFrame) -> DataFrame:
     by_rank = F.transform(labels, lambda x: F.get(F.filter("passages", lambda p: p["rank"] == x), F.lit(0))["chunk_id"])
     error = (
         F.when(refused, F.lit(None).cast("string"))
-        .when(F.size(labels) == 0, F.lit("Model answer has no context citations"))
-        .when(F.size(unknown) > 0, F.concat(F.lit("Model answer cited context labels that were not provided: "), F.array_join(F.transform(unknown, lambda x: F.concat(F.lit("S"), x.cast("string"))), ", ")))
+        .when(F.size(labels) == 0, F.lit(NO_CITATION))
+        .when(F.size(unknown) > 0, F.concat(F.lit(UNKNOWN_CITATION), F.array_join(F.transform(unknown, lambda x: F.concat(F.lit("S"), x.cast("string"))), ", ")))
     )
     none = F.array().cast("array<string>")
     return (
@@ -71,13 +80,13 @@ def parse_verdicts(responses: DataFrame, response: str = "response") -> DataFram
     for v in VERDICTS:
         missing = missing | F.col(f"_j.{v}").isNull()
     error = (
-        F.when(body == "", "Judge did not return a JSON object")
-        .when(missing, "Judge response is missing one or more boolean verdicts")
-        .when(~quoted | F.col("_r").isNull() | (F.trim("_r") == ""), "Judge response is missing a reason")
+        F.when(body == "", NO_JSON)
+        .when(missing, NO_VERDICT)
+        .when(~quoted | F.col("_r").isNull() | (F.trim("_r") == ""), NO_REASON)
     )
     ok = error.isNull()
     cols = [F.when(ok, F.col(f"_j.{v}")).otherwise(F.lit(False)).alias(v) for v in VERDICTS]
-    reason = F.when(ok, F.col("_r")).otherwise(F.lit("No semantic judgement was produced."))
+    reason = F.when(ok, F.col("_r")).otherwise(F.lit(NOT_JUDGED))
     return out.select(*responses.columns, *cols, reason.alias("reason"), error.alias("error"), F.when(~ok, F.lit("judge")).alias("failure_stage"))
 
 
@@ -91,14 +100,15 @@ def judge(pairs: DataFrame) -> DataFrame:
     cols = [F.when(failed, F.lit(False)).when(passed, F.lit(fixed[v])).otherwise(F.col(v)).alias(v) for v in VERDICTS]
     return parsed.select(
         *[c for c in parsed.columns if c not in (*VERDICTS, "reason", "error", "failure_stage")], *cols,
-        F.when(failed, "No semantic judgement was produced.").when(passed, "Deterministic pass: the answer exactly matches the required refusal.").otherwise(F.col("reason")).alias("reason"),
-        F.when(failed, F.concat(F.lit("Pipeline error: "), "trace_error")).when(~passed, F.col("error")).alias("error"),
+        F.when(failed, NOT_JUDGED).when(passed, PASSED).otherwise(F.col("reason")).alias("reason"),
+        F.when(failed, F.concat(F.lit(PIPELINE), "trace_error")).when(~passed, F.col("error")).alias("error"),
         F.when(failed, "pipeline").when(~passed, F.col("failure_stage")).alias("failure_stage"),
     )
 
 
 def judge_prompt() -> Column:
     """The judge's input for columns question_id, question, answerable, expected_answer, source_files, answer, context."""
+    # fixed values: the labels of the parts and what stands for missing ones
     files = F.when(F.size("source_files") > 0, F.array_join("source_files", ", ")).otherwise(F.lit("none"))
     filled = lambda c, empty: F.when(F.coalesce(c, F.lit("")) == "", F.lit(empty)).otherwise(F.col(c))
     return F.concat(
