@@ -216,6 +216,14 @@ def rrf_tagged(every: DataFrame, k: int = TOP, rrf_k: int = RRF_K) -> DataFrame:
     return top_k(fused, k)
 
 
+def hybrid(queries: DataFrame, chunks: DataFrame, embed, k: int = TOP, candidate_k: int = CANDIDATES) -> DataFrame:
+    """The semantic and the BM25 list of every query, fused."""
+    if k > candidate_k:
+        raise ValueError("top_k cannot exceed candidate_k")
+    found = nearest(queries.select("query_id", embed(F.col("text")).alias("embedding")), chunks.select("chunk_id", embed(F.col("text")).alias("embedding")), candidate_k)
+    return rrf([found.join(chunks.select("chunk_id", "source_path"), "chunk_id"), bm25(queries, chunks, candidate_k)], k).select("query_id", "rank", "chunk_id", "source_path", "score")
+
+
 def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = TOP, score=overlap_score) -> DataFrame:
     """Candidates scored again by a model that sees question and text, best k."""
     pairs = candidates.select("query_id", "chunk_id", "source_path").join(queries.select("query_id", F.col("text").alias("_q")), "query_id")

@@ -9,6 +9,7 @@ from folioforge.functions.vectors import cosine, hashed_embedding
 from folioforge.operators import agent, answers, chunking, evaluate, filters, ranking, sync
 from folioforge.operators.incremental import instant
 from folioforge.plans.reference_sql import SQL  # noqa: F401  read by __spark_entry__
+from folioforge.session import cut
 from folioforge.sources.tables import spread, table
 
 CHUNK_SIZE = 500
@@ -173,6 +174,15 @@ def rerank_overlap(spark, d):
     return ranked_columns(ranking.rerank(ranking.bm25(q, c, ranking.CANDIDATES), q, c))
 
 
+def rerank_hybrid(spark, d):
+    q, c = questions(spark, d), chunks(spark, d)
+    return ranked_columns(ranking.rerank(_hybrid(q, c), q, c))
+
+
+def _hybrid(q, c, k=ranking.CANDIDATES):
+    return ranking.hybrid(q, c, hashed_embedding, k)
+
+
 def document_scoped(spark, d):
     q, index = questions(spark, d), ranking.build_index(chunks(spark, d))
     return ranked_columns(ranking.scoped(ranking.bm25_indexed(q, index, ranking.CANDIDATES), q, index))
@@ -208,6 +218,11 @@ def _decomposed(spark, d):
     return ranking.lists_of(every, ranking.bm25(every.select("query_id", "text"), chunks(spark, d), ranking.CANDIDATES))
 
 
+def _decomposed_hybrid(spark, d):
+    every = ranking.with_subqueries(questions(spark, d), ranking.parse_subqueries(_responses(spark, d)))
+    return ranking.lists_of(every, _hybrid(every.select("query_id", "text"), chunks(spark, d)))
+
+
 def decompose_rrf(spark, d):
     return ranked_columns(ranking.rrf_tagged(_decomposed(spark, d)))
 
@@ -217,20 +232,46 @@ def decompose_coverage(spark, d):
     return ranked_columns(ranking.with_coverage(tagged, ranking.rrf_tagged(tagged), 1))
 
 
+def decompose_hybrid_rrf(spark, d):
+    return ranked_columns(ranking.rrf_tagged(_decomposed_hybrid(spark, d)))
+
+
+def decompose_hybrid_coverage(spark, d):
+    tagged = cut(_decomposed_hybrid(spark, d))  # read by the fusion and the coverage
+    return ranked_columns(ranking.with_coverage(tagged, ranking.rrf_tagged(tagged), 1))
+
+
+def _followups(spark, d):
+    return table(spark, d, "gold_questions").select(F.col("id").alias("query_id"), F.when(F.col("answerable"), F.col("expected_answer")).alias("text"))
+
+
 def multihop_rrf(spark, d):
-    g = table(spark, d, "gold_questions")
-    follow = g.select(F.col("id").alias("query_id"), F.when(F.col("answerable"), F.col("expected_answer")).alias("text"))
     c = chunks(spark, d)
-    return ranked_columns(ranking.multi_hop(questions(spark, d), follow, lambda q, k: ranking.bm25(q, c, k)))
+    return ranked_columns(ranking.multi_hop(questions(spark, d), _followups(spark, d), lambda q, k: ranking.bm25(q, c, k)))
 
 
-def search_documents(spark, d):
-    docs = table(spark, d, "source_documents").select("source_path", "doc_id", "version", "status", F.col("metadata")["department"].alias("department"))
+def multihop_hybrid_rrf(spark, d):
     c = chunks(spark, d)
-    found = ranking.bm25(questions(spark, d), c, agent.clamp(3, 1, 20)).join(c.select("chunk_id", "text"), "chunk_id").join(docs, "source_path", "left")
+    return ranked_columns(ranking.multi_hop(questions(spark, d), _followups(spark, d), lambda q, k: _hybrid(q, c, k)))
+
+
+def _passages(spark, d, found, c):
+    docs = table(spark, d, "source_documents").select("source_path", "doc_id", "version", "status", F.col("metadata")["department"].alias("department"))
+    found = found.join(c.select("chunk_id", "text"), "chunk_id").join(docs, "source_path", "left")
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), agent.format_passage().alias("passage"))
 
 
+def search_documents(spark, d):
+    """Over the keyword list alone, as its SQL; search_documents_hybrid is the reference's tool."""
+    c = chunks(spark, d)
+    return _passages(spark, d, ranking.bm25(questions(spark, d), c, agent.clamp(3, 1, 20)), c)
+
+
+def search_documents_hybrid(spark, d):
+    c = chunks(spark, d)
+    return _passages(spark, d, _hybrid(questions(spark, d), c, agent.clamp(3, 1, 20)), c)
+
+
 # evaluation ------------------------------------------------------------------------------------------------------------
 def _pairs(spark, d):
     g = table(spark, d, "gold_questions").select(F.col("id").alias("question_id"), "source_files", "answerable", "concept", "expected_answer")
@@ -456,8 +497,8 @@ QUERIES = {
     for f in (
         tokenize_terms, term_frequency, document_frequency, corpus_stats, fixed_chunks, sentence_split, paragraph_blocks, markdown_chunks, chunk_offsets, semantic_units,
         semantic_chunks, index_metadata, filter_current, filter_exact_version, filter_as_of, filter_or_scope, as_of_join, bm25_topk, bm25_filtered, knn_cosine_topk, knn_filtered,
-        cosine_pairs, semantic_topk, hybrid_rrf, rerank_overlap, document_scoped, neighbor_expand, parent_documents, parent_with_limit, parse_subqueries, decompose_rrf,
-        decompose_coverage, multihop_rrf, search_documents, retrieval_metrics, retrieval_summary, first_relevant_rank, concept_scorecard, scorecard_report, unanswered_questions,
+        cosine_pairs, semantic_topk, hybrid_rrf, rerank_overlap, rerank_hybrid, document_scoped, neighbor_expand, parent_documents, parent_with_limit, parse_subqueries, decompose_rrf,
+        decompose_coverage, decompose_hybrid_rrf, decompose_hybrid_coverage, multihop_rrf, multihop_hybrid_rrf, search_documents, search_documents_hybrid, retrieval_metrics, retrieval_summary, first_relevant_rank, concept_scorecard, scorecard_report, unanswered_questions,
         labeled_context, citation_validation, answer_metrics, answer_summary, judge_parse, judge_decisions, judgement_summary, judge_prompts, judge_agreement, judge_disagreements,
         run_comparison, changed_verdicts, mcnemar, content_hash, sync_plan, sync_plan_stored, sync_stale_chunks, sync_apply, sync_manifest, agent_tool_calls, agent_first_sighting,
         agent_strip_tool_use, list_versions, read_document_truncate,

@@ -89,6 +89,19 @@ _DECOMPOSED = f"""WITH RECURSIVE {POSTINGS}, {QUESTIONS}, {_RESPONSES}, {_bm25('
 tg AS (SELECT question_id AS query_id, list_no, chunk_id, rank, score FROM rk JOIN ev USING (query_id)),
 fu AS (SELECT query_id, chunk_id, round(sum(1 / (60 + rank)::DOUBLE), 6) AS score FROM tg GROUP BY ALL), {_top('fu', 'fr', 5)}"""
 
+
+
+def _hybrid(queries: str, k: int = 20) -> str:
+    """hy: the semantic and the BM25 list of a CTE of queries(query_id, text), fused."""
+    return f"""{_bm25(queries)}, {_EMB.replace('FROM qs', f'FROM {queries}')}, {_top('sc', 'kw', 20)}, {_top('sem', 'se', 20)},
+hf AS (SELECT query_id, chunk_id, source_path, round(sum(1 / (60 + rank)::DOUBLE), 6) AS score FROM (SELECT query_id, chunk_id, source_path, rank FROM kw UNION ALL SELECT query_id, chunk_id, source_path, rank FROM se) GROUP BY ALL), {_top('hf', 'hy', k)}"""
+
+
+_HYBRID_BASE = f"WITH RECURSIVE {POSTINGS}, {QUESTIONS}"
+_DECOMPOSED_HYBRID = f"""{_HYBRID_BASE}, {_RESPONSES}, {_hybrid('ev')},
+tg AS (SELECT question_id AS query_id, list_no, chunk_id, rank, score FROM hy JOIN ev USING (query_id)),
+fu AS (SELECT query_id, chunk_id, round(sum(1 / (60 + rank)::DOUBLE), 6) AS score FROM tg GROUP BY ALL), {_top('fu', 'fr', 5)}"""
+
 _PAIRS = "pr AS (SELECT t.*, g.source_files, g.answerable, g.concept, g.expected_answer FROM run_traces t JOIN gold_questions g ON t.question_id = g.id)"
 
 _METRICS = f"""{_PAIRS},
@@ -293,3 +306,12 @@ FROM source_documents WHERE doc_id IS NOT NULL""",
     "read_document_truncate": """SELECT source_path, CASE WHEN length(coalesce(content, '')) <= 1000 THEN source_path || ' (' || length(coalesce(content, '')) || ' characters)' || chr(10) || chr(10) || coalesce(content, '')
 ELSE source_path || ' (truncated to 1000 of ' || length(content) || ' characters)' || chr(10) || chr(10) || substring(content, 1, 1000) || chr(10) || chr(10) || '[TRUNCATED. Call read_document again with a larger max_chars if the part you need is missing.]' END AS text FROM source_documents""",
 }
+
+# the same over the hybrid list: what follows the candidates is as in the queries over the keyword list
+SQL |= {
+    "rerank_hybrid": f"""{_HYBRID_BASE}, {_hybrid('qs')}, {SQL["rerank_overlap"].split(f"{_top('sc', 'kw', 20)}, ")[1].replace("FROM kw", "FROM hy kw")}""",
+    "decompose_hybrid_rrf": f"{_DECOMPOSED_HYBRID} {_OUT} fr",
+    "decompose_hybrid_coverage": _DECOMPOSED_HYBRID + SQL["decompose_coverage"].removeprefix(_DECOMPOSED),
+    "multihop_hybrid_rrf": SQL["multihop_rrf"].replace(f"{_bm25('ev')}, {_top('sc', 'rk', 20)}", _hybrid("ev")).replace("FROM rk JOIN", "FROM hy JOIN"),
+    "search_documents_hybrid": f"{_HYBRID_BASE}, {_hybrid('qs', 3)}{SQL['search_documents'].removeprefix(_BASE + ', ' + _top('sc', 'kw', 3)).replace('FROM kw', 'FROM hy kw')}",
+}

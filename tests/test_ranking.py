@@ -167,3 +167,15 @@ def test_ties_go_to_the_lesser_id(spark):
     ids = [f"d{i}:0" for i in range(30)]
     rnd.shuffle(ids)
     assert order(ranking.bm25(queries(spark, q="w"), chunk_table(spark, dict.fromkeys(ids, "w")), 4)) == sorted(ids)[:4]
+
+
+def test_hybrid_finds_what_only_vectors_find(spark):
+    c = chunk_table(spark, {"a:0": "alpha beta", "b:0": "gamma delta"})
+    q = queries(spark, q="gamma", unknown="退款")
+    assert order(ranking.bm25(q, c), "unknown") == []
+    got = ranking.hybrid(q, c, hashed_embedding)
+    assert order(got)[0] == "b:0" and order(got, "unknown") == ["a:0", "b:0"]
+    best = {r.query_id: r.score for r in got.filter("rank = 1").collect()}
+    assert best["q"] == pytest.approx(2 / 61, abs=1e-6) and best["unknown"] == pytest.approx(1 / 61, abs=1e-6)
+    with pytest.raises(ValueError):
+        ranking.hybrid(q, c, hashed_embedding, 21)
