@@ -265,14 +265,16 @@ def neighbours(ranked: DataFrame, chunks: DataFrame, window: int = 1, source_k:
     if window < 1:
         raise ValueError("neighbor_window must be at least 1")
     place = chunks.select("chunk_id", "source_path", "chunk_index")
-    r = ranked.select("query_id", "rank", "chunk_id", "score").join(place, "chunk_id", "left")
+    was = F.col("expanded_from") if "expanded_from" in ranked.columns else F.lit(None).cast("string")
+    r = ranked.select("query_id", "rank", "chunk_id", "score", F.col("source_path").alias("_path"), was.alias("_from")).join(place, "chunk_id", "left")
+    r = r.withColumn("source_path", F.coalesce("source_path", "_path"))  # whole documents have no place and no neighbours
     origin = r if source_k is None else r.filter(F.col("rank") <= source_k)
     steps = F.explode(F.array(*[F.lit(i) for i in range(-window, window + 1) if i]))
     wanted = origin.select("query_id", F.col("rank").alias("from_rank"), F.col("chunk_id").alias("expanded_from"), "score", "source_path", "chunk_index", steps.alias("offset"))
     wanted = wanted.withColumn("chunk_index", F.col("chunk_index") + F.col("offset")).join(place, ["source_path", "chunk_index"])
     fresh = wanted.join(ranked.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     once = fresh.withColumn("_k", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("from_rank", "offset"))).filter("_k = 1")
-    base = r.select("query_id", "chunk_id", "source_path", "score", F.lit(0).alias("part"), F.col("rank").alias("a"), F.lit(0).alias("b"), F.lit(None).cast("string").alias("expanded_from"))
+    base = r.select("query_id", "chunk_id", "source_path", "score", F.lit(0).alias("part"), F.col("rank").alias("a"), F.lit(0).alias("b"), F.col("_from").alias("expanded_from"))
     more = once.select("query_id", "chunk_id", "source_path", "score", F.lit(1).alias("part"), F.col("from_rank").alias("a"), F.col("offset").alias("b"), "expanded_from")
     w = Window.partitionBy("query_id").orderBy("part", "a", "b")
     return base.unionByName(more).withColumn("rank", F.row_number().over(w)).drop("part", "a", "b")
@@ -375,40 +377,122 @@ STRATEGIES = {
     "keyword": ("keyword",),
     "semantic": ("semantic",),
     "hybrid": ("hybrid",),
+    "hybrid-reranked": ("hybrid", "rerank"),
     "scoped": ("hybrid", "scoped"),
     "reranked": ("hybrid", "rerank"),
     "parent": ("hybrid", "parent"),
     "neighbor": ("hybrid", "neighbor"),
 }
-
-
-def retrieve(strategy: str, queries: DataFrame, chunks: DataFrame, documents: DataFrame, embed, k: int = TOP, candidate_k: int = CANDIDATES) -> DataFrame:
-    """A named strategy over questions(query_id, text) and one chunk table. ``embed`` maps a text column to vectors."""
-    if strategy not in STRATEGIES:
-        raise ValueError(f"unknown strategy {strategy}; one of {', '.join(STRATEGIES)}")
+#: Those that need a table of sub-queries or follow-ups.
+TABLE_STRATEGIES = {
+    "hybrid-decomposed": ("hybrid", "decompose"),
+    "hybrid-decomposed-multihop": ("hybrid", "decompose", "multihop"),
+    "hybrid-decomposed-reranked": ("hybrid", "decompose", "rerank"),
+}
+FIRST, STAGES = ("keyword", "semantic", "hybrid"), ("decompose", "multihop", "scoped", "rerank", "parent", "neighbor")
+#: What a question's follow-up has behind the question's id; its own sub-queries stand under that id.
+FOLLOWUP = "#followup"
+BATCH = ("query_id", "rank", "chunk_id", "source_path", "score")
+
+
+def stages_of(strategy: str | tuple[str, ...]) -> tuple[str, ...]:
+    """The stages of a name, or those given: one of FIRST, then any of STAGES in their order."""
+    if isinstance(strategy, str):
+        named = STRATEGIES | TABLE_STRATEGIES
+        if strategy not in named:
+            raise ValueError(f"unknown strategy {strategy}; one of {', '.join(named)}")
+        return named[strategy]
+    stages = tuple(strategy)
+    if not stages or stages[0] not in FIRST or list(stages[1:]) != [s for s in STAGES if s in stages[1:]]:
+        raise ValueError(f"stages {stages}: one of {', '.join(FIRST)}, then any of {', '.join(STAGES)} in this order")
+    return stages
+
+
+def retrieve(
+    strategy: str | tuple[str, ...], queries: DataFrame, chunks: DataFrame, documents: DataFrame, embed, k: int = TOP, candidate_k: int = CANDIDATES, *,
+    subqueries: DataFrame | None = None, followups: DataFrame | None = None, coverage_per_query: int = 0, document_k: int = 3, score=overlap_score,
+    max_characters: int | None = None, window: int = 1, source_k: int | None = None,
+) -> DataFrame:
+    """A strategy, by name or as its stages, over questions(query_id, text) and one chunk table. ``embed`` maps a text column to vectors.
+
+    subqueries(query_id, sub_no, text) and followups(query_id, text) are what models made of the questions. Every stage wraps
+    the ones before it: a second pass, be it of a follow-up or inside the leading documents, runs through all of them again.
+    """
+    stages = stages_of(strategy)
     if k > candidate_k:
         raise ValueError("top_k cannot exceed candidate_k")
+    for stage, given in (("decompose", subqueries), ("multihop", followups)):
+        if stage in stages and given is None:
+            raise ValueError(f"{stage} needs its table of {'subqueries' if stage == 'decompose' else 'followups'}")
     paths = chunks.select("chunk_id", "source_path")
-
-    def keyword(n: int) -> DataFrame:
-        return bm25(queries, chunks, n)
-
-    def semantic(n: int) -> DataFrame:
-        found = nearest(queries.select("query_id", embed(F.col("text")).alias("embedding")), chunks.select("chunk_id", embed(F.col("text")).alias("embedding")), n)
-        return found.join(paths, "chunk_id")
-
-    def hybrid(n: int) -> DataFrame:
-        return rrf([semantic(candidate_k), keyword(candidate_k)], n)
-
-    stages = STRATEGIES[strategy]
-    ranked = {"keyword": keyword, "semantic": semantic, "hybrid": hybrid}[stages[0]](candidate_k if len(stages) > 1 and stages[1] == "rerank" else k)
+    made: list[DataFrame] = []
+
+    def index() -> DataFrame:
+        if not made:
+            made.append(build_index(chunks))
+        return made[0]
+
+    def keyword(q: DataFrame, n: int, scope: DataFrame | None) -> DataFrame:
+        return bm25_indexed(q, index(), n) if scope is None else top_k(bm25_scores_within(q, index(), scope), n)
+
+    def semantic(q: DataFrame, n: int, scope: DataFrame | None) -> DataFrame:
+        vectors = chunks.select("chunk_id", "source_path", embed(F.col("text")).alias("embedding"))
+        asked = q.select("query_id", embed(F.col("text")).alias("embedding"))
+        if scope is None:
+            return nearest(asked, vectors.drop("source_path"), n).join(paths, "chunk_id")
+        inside = scope.join(vectors.withColumnRenamed("embedding", "_c"), "source_path").join(asked.withColumnRenamed("embedding", "_q"), "query_id")
+        return top_k(inside.select("query_id", "chunk_id", "source_path", F.round(cosine(F.col("_q"), F.col("_c")), 6).alias("score")), n)
+
+    def both(q: DataFrame, n: int, scope: DataFrame | None) -> DataFrame:
+        return rrf([semantic(q, candidate_k, scope), keyword(q, candidate_k, scope)], n)
+
+    def decomposed(before):
+        def run(q: DataFrame, n: int, scope: DataFrame | None) -> DataFrame:
+            every = with_subqueries(q, subqueries.join(q.select("query_id"), "query_id", "left_semi"))
+            ids = every.select(F.col("question_id"), F.col("query_id").alias("_id"))
+            inner = scope if scope is None else scope.join(ids, F.col("query_id") == F.col("question_id")).select(F.col("_id").alias("query_id"), "source_path")
+            tagged = cut(lists_of(every, before(every.select("query_id", "text"), candidate_k, inner)))  # read by the fusion and the coverage
+            fused = rrf_tagged(tagged, n)
+            if coverage_per_query == 0:
+                return fused
+            none = fused.join(tagged.filter("list_no > 0").select("query_id"), "query_id", "left_anti").select(*BATCH)
+            return with_coverage(tagged.join(none.select("query_id"), "query_id", "left_anti"), fused.join(none.select("query_id"), "query_id", "left_anti"), coverage_per_query, n).select(*BATCH).unionByName(none)
+
+        return run
+
+    def hopped(before):
+        def run(q: DataFrame, n: int, scope: DataFrame | None) -> DataFrame:
+            low = lambda c: F.lower(F.trim(c))
+            asked = q.select("query_id", low(F.col("text")).alias("low"))
+            if "decompose" in stages:
+                asked = asked.unionByName(subqueries.select("query_id", low(F.col("text")).alias("low")))
+            f = followups.filter("text is not null and trim(text) <> ''").join(q.select("query_id"), "query_id", "left_semi").select("query_id", "text", low(F.col("text")).alias("low"))
+            f = f.join(asked, ["query_id", "low"], "left_anti").select("query_id", "text")
+            hop = lambda df: df.withColumn("query_id", F.concat("query_id", F.lit(FOLLOWUP)))
+            first = cut(before(q, candidate_k, scope).select(*BATCH))  # fused, and kept where there is no follow-up
+            second = before(hop(f), candidate_k, scope if scope is None else hop(scope)).select(*BATCH)
+            second = second.withColumn("query_id", F.expr(f"left(query_id, length(query_id) - {len(FOLLOWUP)})"))
+            fused = rrf([first.join(f.select("query_id"), "query_id", "left_semi"), second], n).select(*BATCH)
+            return fused.unionByName(first.filter(F.col("rank") <= n).join(f.select("query_id"), "query_id", "left_anti").select(*BATCH))
+
+        return run
+
+    def narrowed(before):
+        def run(q: DataFrame, n: int, scope: DataFrame | None) -> DataFrame:
+            first = cut(before(q, candidate_k, scope).select(*BATCH))  # names the documents, and is kept where they give nothing
+            second = cut(before(q, n, leading_sources(first, document_k).select("query_id", "source_path")).select(*BATCH))
+            kept = first.filter(F.col("rank") <= n).join(second.select("query_id").distinct(), "query_id", "left_anti")
+            return second.unionByName(kept.select(*BATCH))
+
+        return run
+
+    wraps = {
+        "decompose": decomposed, "multihop": hopped, "scoped": narrowed,
+        "rerank": lambda before: lambda q, n, scope: rerank(before(q, candidate_k, scope), q, chunks, n, score),
+        "parent": lambda before: lambda q, n, scope: parents(before(q, n, scope), documents, max_characters),
+        "neighbor": lambda before: lambda q, n, scope: neighbours(before(q, n, scope), chunks, window, source_k),
+    }
+    run = {"keyword": keyword, "semantic": semantic, "hybrid": both}[stages[0]]
     for stage in stages[1:]:
-        if stage == "rerank":
-            ranked = rerank(ranked, queries, chunks, k)
-        elif stage == "parent":
-            ranked = parents(ranked, documents)
-        elif stage == "neighbor":
-            ranked = neighbours(ranked, chunks)
-        elif stage == "scoped":
-            ranked = scoped_hybrid(hybrid(candidate_k), queries, chunks, embed, k, candidate_k)
-    return ranked
+        run = wraps[stage](run)
+    return run(queries, k, None)

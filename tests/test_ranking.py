@@ -179,3 +179,44 @@ def test_hybrid_finds_what_only_vectors_find(spark):
     assert best["q"] == pytest.approx(2 / 61, abs=1e-6) and best["unknown"] == pytest.approx(1 / 61, abs=1e-6)
     with pytest.raises(ValueError):
         ranking.hybrid(q, c, hashed_embedding, 21)
+
+
+def test_stages_compose(spark):
+    texts = {"a:0": "alpha beta", "a:1": "alpha omega", "b:0": "gamma delta", "c:0": "epsilon zeta", "c:1": "eta", "d:0": "theta iota"}
+    c = chunk_table(spark, texts)
+    d = spark.createDataFrame([(s, "x" * n) for s, n in (("a", 9), ("b", 9), ("c", 99), ("d", 9))], "source_path string, content string")
+    q = queries(spark, q="alpha beta", alone="theta iota")
+    subs = spark.createDataFrame([("q", 1, "gamma delta"), ("q#followup", 1, "eta")], "query_id string, sub_no int, text string")
+    hops = queries(spark, q="epsilon zeta", alone=" THETA iota ")
+    go = lambda s, k=6, **o: ranking.retrieve(s, q, c, d, hashed_embedding, k, 6, subqueries=subs, followups=hops, **o)
+    score = lambda df: {(r.query_id, r.chunk_id): r.score for r in df.collect()}
+    one = lambda text, n=6: [r.chunk_id for r in ranking.hybrid(queries(spark, q=text), c, hashed_embedding, n, 6).orderBy("rank").collect()]
+
+    def fuse(*lists):
+        s = {i: round(sum(1 / (60 + x.index(i) + 1) for x in lists if i in x), 6) for i in texts}
+        return sorted(s, key=lambda i: (-s[i], i)), s
+
+    asked, asked_scores = fuse(one("alpha beta"), one("gamma delta"))
+    hop, _ = fuse(one("epsilon zeta"), one("eta"))
+    got = score(go("hybrid-decomposed"))
+    assert {i: got["q", i] for i in texts} == pytest.approx(asked_scores, abs=2e-6) and order(go("hybrid-decomposed")) == asked
+    assert order(go("hybrid-decomposed", 2, coverage_per_query=1))[0] == "b:0"
+    assert order(go("hybrid-decomposed", 2, coverage_per_query=1), "alone")[0] == "d:0"
+    both, both_scores = fuse(asked, hop)
+    many = go("hybrid-decomposed-multihop")
+    assert {i: score(many)["q", i] for i in texts} == pytest.approx(both_scores, abs=2e-6) and order(many) == both
+    assert order(many, "alone") == order(go("hybrid-decomposed"), "alone")  # its follow-up is the question itself
+    assert set(order(go("hybrid-decomposed-reranked", 1))) == {"a:0"}
+
+    scoped = go(("hybrid", "decompose", "multihop", "scoped"), document_k=1)
+    assert {i.split(":")[0] for i in order(scoped)} == {both[0].split(":")[0]}
+    full = go(("hybrid", "decompose", "multihop", "scoped", "rerank", "parent", "neighbor"), 4, document_k=2, max_characters=50)
+    rest = order(full)
+    places = {i.split(":")[0] for i in order(go(("hybrid", "decompose", "multihop", "scoped"), document_k=2))}
+    assert len(places) == 2 and {i.split(":")[0] for i in rest} == places and ("a" in rest or "b" in rest)
+    assert all(r.source_path == r.chunk_id.split(":")[0] for r in full.collect())
+    for bad in (("hybrid", "rerank", "decompose"), ("rerank",), ()):
+        with pytest.raises(ValueError):
+            go(bad)
+    with pytest.raises(ValueError):
+        ranking.retrieve("hybrid-decomposed", q, c, d, hashed_embedding)
