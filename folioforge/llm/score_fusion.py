@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from folioforge.operators.groups import HOT_ROWS, row_numbers, small_or_plain, split_hot
+from folioforge.session import cut
 
 LIST = ["question_id", "retriever"]
 #: Bounded values stay this far from 0 and 1, so that their logarithm is finite.
@@ -127,19 +128,30 @@ def fuse_scores(
 ) -> DataFrame:
     """Per question the candidates with rank and fused score, and how they stand in the lists.
 
-    ``leads``: lists in which the candidate is strictly best; ``near``: lists in which at most one other is as good.
+    ``leads``: lists in which the candidate is strictly best; ``near``: lists in which at most one other is as good;
+    ``second``: the second greatest fused score of the question, null for a single candidate.
     """
     keyed = passages.filter("question_id is not null")
     plain, hot = split_hot(keyed, ["question_id"], hot_rows)
     order = [F.col("fused").desc(), F.col("chunk_id")]
     fused = _fuse(_values_by_window(latest_scores(plain, retrievers, True), steep), weights, absent, True)
     out = fused.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*order)).cast("long"))
+    runner_up = F.max(F.when(F.col("rank") == 2, F.col("fused")))
+    out = out.withColumn("second", runner_up.over(Window.partitionBy("question_id")))
     if hot is None:
         return out
     spread = _fuse(_values_spread(latest_scores(hot, retrievers, False), steep, hot_rows), weights, absent, False)
-    return out.unionByName(row_numbers(spread, ["question_id"], order, "rank", hot_rows))
+    ranked = cut(row_numbers(spread, ["question_id"], order, "rank", hot_rows))  # read again for the second best
+    best = small_or_plain(ranked.groupBy("question_id").agg(runner_up.alias("second")))
+    return out.unionByName(ranked.join(best, "question_id"))
 
 
 def leads_almost_everywhere(fused: DataFrame) -> DataFrame:
-    """Candidates in every list of a question with at least three lists and two candidates, strictly best in all but at most one, and there second at worst."""
-    return fused.filter("n_lists >= 3 and n_candidates >= 2 and in_lists = n_lists and leads >= n_lists - 1 and near = n_lists").select("question_id", "chunk_id")
+    """Candidates in every list of a question with at least three lists and two candidates, strictly best in all but at most one, and there second at worst.
+
+    Only the candidate ahead of it in the one list can have a greater fused score, since bounded values follow the order of
+    each list and absence costs more than any value (weights not negative, ``absent`` at most 1). So the candidates are those
+    that the fusion puts first or second, ties included; what leads is then checked exactly.
+    """
+    leading = fused.filter(F.col("fused") >= F.col("second") * (1 - 1e-9))
+    return leading.filter("n_lists >= 3 and n_candidates >= 2 and in_lists = n_lists and leads >= n_lists - 1 and near = n_lists").select("question_id", "chunk_id")

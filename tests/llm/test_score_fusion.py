@@ -94,3 +94,16 @@ def test_infinite_equal_and_empty(spark):
     assert order == ["x", "y", "z"]
     assert score_fusion.fuse_scores(frame(spark, []), retrievers(spark)).count() == 0
     assert score_fusion.fuse_scores(frame(spark, data), retrievers(spark).limit(0)).count() == 3
+
+
+@pytest.mark.parametrize("hot_rows", [10**9, 3])
+def test_leaders_come_from_the_fusion(spark, hot_rows):
+    scores = {"a": {"lead": 1.0, "wide": 0.99}, "b": {"lead": 1.0, "wide": 0.99}, "n": {"lead": 0.5, "wide": 90.0}}
+    data = [("q", r, c, scores[r].get(c, x), at(1)) for r in scores for c, x in (("lead", 0), ("wide", 0), ("x", 0.45), ("y", 0.4), ("z", 0.3))]
+    got = score_fusion.fuse_scores(frame(spark, data), retrievers(spark), hot_rows=hot_rows)
+    found = score_fusion.leads_almost_everywhere(got)
+    assert [r.chunk_id for r in got.orderBy("rank").collect()][:2] == ["wide", "lead"] and rows(found) == [("q", "lead")]
+    if hot_rows > 3:  # the method is in the plan, not pruned from it
+        plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "median(" in plan or "percentile(" in plan
+        assert "exp(" in plan and "log(" in plan or "ln(" in plan
