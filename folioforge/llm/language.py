@@ -39,6 +39,8 @@ SAMPLE_ROWS = 8_000
 #: Words and n-grams kept per language.
 KEEP_WORDS, KEEP_GRAMS = 20_000, 8_000
 SIZES = (4, 3, 2, 1)
+#: Distinct words that a task counts before it hands them on.
+SEEN_WORDS = 100_000
 #: A sentence counts as foreign with at least this posterior.
 SURE = 0.9
 
@@ -231,8 +233,20 @@ def _tabulate(rows: list[tuple[str, int, str, float]]) -> Model:
 def _count(relabel: Model | None, whole: bool = False):
     """Counts words and n-grams by language: that of the label, or the one a model gives to each sentence (or whole text)."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def table(seen: dict[tuple[str, str], int]) -> pd.DataFrame:
         counts: dict[tuple[str, int, str], int] = {}
+        for (of, w), n in seen.items():
+            if w[0] < "㐀":
+                counts[(of, 0, w)] = counts.get((of, 0, w), 0) + n
+            else:  # Han characters belong to the amount of text against which a language's words are measured
+                counts[(of, 0, "")] = counts.get((of, 0, ""), 0) + n * len(w)
+            for size in SIZES:
+                for g in grams(w, size):
+                    counts[(of, size, g)] = counts.get((of, size, g), 0) + n
+        keys = list(counts)
+        return pd.DataFrame({"lang": [k[0] for k in keys], "size": [k[1] for k in keys], "gram": [k[2] for k in keys], "n": [counts[k] for k in keys]})
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple[str, str], int] = {}
         for pdf in batches:
             for lang, text in zip(pdf["label"], pdf["text"]):
@@ -248,17 +262,11 @@ def _count(relabel: Model | None, whole: bool = False):
                         of = LANGS[int(p.argmax())]
                     for w in found:
                         seen[(of, w)] = seen.get((of, w), 0) + 1
-        for (of, w), n in seen.items():
-            if w[0] < "㐀":
-                counts[(of, 0, w)] = counts.get((of, 0, w), 0) + n
-            else:  # Han characters belong to the amount of text against which a language's words are measured
-                counts[(of, 0, "")] = counts.get((of, 0, ""), 0) + n * len(w)
-            for size in SIZES:
-                for g in grams(w, size):
-                    counts[(of, size, g)] = counts.get((of, size, g), 0) + n
-        if counts:
-            keys = list(counts)
-            yield pd.DataFrame({"lang": [k[0] for k in keys], "size": [k[1] for k in keys], "gram": [k[2] for k in keys], "n": [counts[k] for k in keys]})
+            if len(seen) > SEEN_WORDS:
+                yield table(seen)
+                seen.clear()
+        if seen:
+            yield table(seen)
 
     return work
 
@@ -286,12 +294,12 @@ def fit(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = 2) -
     return model
 
 
-def fit_unlabelled(texts: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = 2) -> Model:
-    """The model from texts (columns key and text) without labels.
+def fit_unlabelled(texts: DataFrame, rounds: int = 2) -> Model:
+    """The model from all texts (column text) without labels.
 
     Function words alone first tell whole texts apart, which is easy; the words of these then tell single sentences apart.
     """
-    rows, model = _sample(texts, "key", sample_rows).withColumn("label", F.lit("en")), _tabulate([])
+    rows, model = texts.withColumn("label", F.lit("en")), _tabulate([])
     for k in range(rounds):
         model = _fit_round(rows, model, whole=k == 0)
     return model

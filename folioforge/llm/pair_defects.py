@@ -463,7 +463,7 @@ def find_defects(traces: DataFrame, ends: EndModel, languages: language.Model) -
     return traces.select(F.col("trace_id").cast("long").alias("trace_id"), "question", "answer").mapInPandas(work, "trace_id long, defect string")
 
 
-def fit_languages(traces: DataFrame, sample_rows: int = language.SAMPLE_ROWS) -> language.Model:
-    """The language model from the pairs themselves, starting from function words."""
+def fit_languages(traces: DataFrame) -> language.Model:
+    """The language model from all pairs themselves, starting from function words."""
     both = F.array(F.concat_ws("\n", "question", "answer"), "context_sent_to_model")
-    return language.fit_unlabelled(traces.select(F.col("trace_id").alias("key"), F.explode(both).alias("text")), sample_rows)
+    return language.fit_unlabelled(traces.select(F.explode(both).alias("text")))

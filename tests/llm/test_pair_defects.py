@@ -100,3 +100,11 @@ def test_frame(spark, models):
     assert P.find_defects(df.limit(0), *models).count() == 0
     none = P.fit_ends(df.limit(0)), P.fit_languages(df.limit(0))
     assert none[0].ends == {} and isinstance(none[1], language.Model)
+
+
+def test_languages_learn_from_every_pair(spark):
+    letters = "bcdfghjklmnprstv"
+    own = ["zq" + "".join(letters[(i >> s) & 15] for s in (8, 4, 0)) for i in range(4096)]
+    en = SENTENCES["en"][0]
+    t = spark.createDataFrame([(i, en, f"{en} The {w} is in the office.", en, "x", "x") for i, w in enumerate(own)], TRACE)
+    assert set(own) <= set(P.fit_languages(t).words)
