@@ -33,6 +33,8 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from folioforge.llm import language
+from folioforge.operators.groups import small_or_plain
+from folioforge.session import cut
 
 DEFECTS = ("empty", "copy", "refusal", "truncated", "language")
 #: An answer may add so many bytes, and this share of its own length, to its question and still be a candidate for a copy.
@@ -297,9 +299,12 @@ class EndModel:
         c = fragment_context(fragment)
         if c is None:
             return False
-        end, all_ = self.ends.get(c, (0, 0))
+        end, all_ = self.counts(c)
         return (end + 4 * self._likely(fragment)) / (all_ + 4) >= END_SHARE
 
+    def counts(self, context: tuple[int, str]) -> tuple[int, int]:
+        return self.ends.get(context, (0, 0))
+
     @staticmethod
     def _likely(fragment: str) -> float:
         """Prior for contexts never seen: a short nominal answer, not ending in a word that needs another."""
@@ -313,6 +318,16 @@ class EndModel:
         return 0.5 if len(words) <= 3 and len(fragment.split()) == len(words) else 0.0
 
 
+@dataclass
+class _Own(EndModel):
+    """The model of a single answer, whose context has been looked up."""
+
+    found: tuple[int, int] | None
+
+    def counts(self, context: tuple[int, str]) -> tuple[int, int]:
+        return self.found or (0, 0)
+
+
 def _cells(row: str) -> int:
     return row.strip().strip("|").count("|") + 1
 
@@ -412,9 +427,10 @@ def defect_but_language(question: str | None, answer: str | None, ends: EndModel
     return "truncated" if is_truncated(answer, ends) else None
 
 
-def defects_of(questions: list[str | None], answers: list[str | None], ends: EndModel, languages: language.Model) -> list[str | None]:
-    """The defect of each pair, or None."""
-    out = [defect_but_language(q, a, ends) for q, a in zip(questions, answers)]
+def defects_of(questions: list[str | None], answers: list[str | None], ends: EndModel | list[EndModel], languages: language.Model) -> list[str | None]:
+    """The defect of each pair, or None. ``ends``: one model, or one per pair."""
+    each = ends if isinstance(ends, list) else [ends] * len(answers)
+    out = [defect_but_language(q, a, e) for q, a, e in zip(questions, answers, each)]
     rest = [i for i, d in enumerate(out) if d is None]
     for i, other in zip(rest, foreign(languages, [questions[i] for i in rest], [answers[i] for i in rest])):
         if other:
@@ -422,8 +438,8 @@ def defects_of(questions: list[str | None], answers: list[str | None], ends: End
     return out
 
 
-def fit_ends(traces: DataFrame) -> EndModel:
-    """The terminal-context model, from all answers; contexts are counted map-side and only those with an end are kept."""
+def end_counts(traces: DataFrame) -> DataFrame:
+    """words, tail, ends, seen: the terminal contexts of all answers, counted map-side; those with an end or seen often are kept."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[tuple[int, str], list[int]] = {}
@@ -443,24 +459,64 @@ def fit_ends(traces: DataFrame) -> EndModel:
         yield table()
 
     counted = traces.select("answer").filter("answer is not null").mapInPandas(work, "words int, tail string, ends long, seen long")
-    kept = counted.groupBy("words", "tail").agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen")).filter("ends > 0 or seen >= 50")
-    rows = kept.orderBy(F.col("seen").desc(), "words", "tail").limit(KEEP_CONTEXTS).collect()  # bounded by KEEP_CONTEXTS
+    return counted.groupBy("words", "tail").agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen")).filter("ends > 0 or seen >= 50")
+
+
+def fit_ends(traces: DataFrame) -> EndModel:
+    """The terminal-context model as one object, for few contexts; more are an error, and find_defects takes the table instead."""
+    rows = end_counts(traces).limit(KEEP_CONTEXTS + 1).collect()  # bounded by KEEP_CONTEXTS
+    if len(rows) > KEEP_CONTEXTS:
+        raise ValueError("more terminal contexts than KEEP_CONTEXTS; give find_defects the table of end_counts")
     return EndModel({(r["words"], r["tail"]): (r["ends"], r["seen"]) for r in rows})
 
 
-def find_defects(traces: DataFrame, ends: EndModel, languages: language.Model) -> DataFrame:
-    """trace_id and defect (null for sound pairs) of every pair."""
-    bc = traces.sparkSession.sparkContext.broadcast((ends, languages))  # bounded by the models' own limits
+class _Asked(EndModel):
+    """Notes the context that a text is judged by; at most one is asked for."""
+
+    def finished(self, fragment: str) -> bool:
+        self.context = fragment_context(fragment)
+        return super().finished(fragment)
+
+
+def _with_ends(traces: DataFrame, table: DataFrame) -> DataFrame:
+    """Adds ends and seen of the context that each answer's end is judged by, null where none is."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            asked = []
+            for q, a in zip(pdf["question"], pdf["answer"]):
+                model = _Asked({})
+                model.context = None
+                defect_but_language(q, a, model)
+                asked.append(model.context or (None, None))
+            pdf["words"] = pd.Series([n for n, _ in asked], dtype="Int64", index=pdf.index)
+            pdf["tail"] = pd.Series([t for _, t in asked], dtype="object", index=pdf.index)
+            yield pdf
+
+    asked = cut(traces.mapInPandas(work, "trace_id long, question string, answer string, words int, tail string"))  # read for the contexts and the rows
+    none = asked.filter("tail is null").select("trace_id", "question", "answer", F.lit(None).cast("long").alias("ends"), F.lit(None).cast("long").alias("seen"))
+    known = small_or_plain(table.join(asked.filter("tail is not null").select("words", "tail").distinct(), ["words", "tail"]))
+    return asked.filter("tail is not null").join(known, ["words", "tail"], "left").select(*none.columns).unionByName(none)
+
+
+def find_defects(traces: DataFrame, ends: EndModel | DataFrame, languages: language.Model) -> DataFrame:
+    """trace_id and defect (null for sound pairs) of every pair. ``ends``: a model, or a table of end_counts of any size."""
+    given = traces.select(F.col("trace_id").cast("long").alias("trace_id"), "question", "answer")
+    table = isinstance(ends, DataFrame)
+    if table:
+        given = _with_ends(given, ends)
+    bc = traces.sparkSession.sparkContext.broadcast((None if table else ends, languages))  # bounded by the models' own limits
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e, m = bc.value
         for big in batches:
             for at in range(0, len(big), 1000):
                 pdf = big.iloc[at : at + 1000]
-                found = defects_of(list(pdf["question"]), list(pdf["answer"]), e, m)
+                by = e if e is not None else [_Own({}, None if pd.isna(n) else (int(n), int(s))) for n, s in zip(pdf["ends"], pdf["seen"])]
+                found = defects_of(list(pdf["question"]), list(pdf["answer"]), by, m)
                 yield pd.DataFrame({"trace_id": pdf["trace_id"].astype("Int64"), "defect": pd.Series(found, dtype="object", index=pdf.index)})
 
-    return traces.select(F.col("trace_id").cast("long").alias("trace_id"), "question", "answer").mapInPandas(work, "trace_id long, defect string")
+    return given.mapInPandas(work, "trace_id long, defect string")
 
 
 def fit_languages(traces: DataFrame) -> language.Model:

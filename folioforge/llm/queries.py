@@ -41,7 +41,7 @@ def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every defective pair of question and answer with its defect."""
     traces = table(spark, sf_dir, "run_traces")
-    ends = pair_defects.fit_ends(spread(traces.select("answer")))
+    ends = pair_defects.end_counts(spread(traces.select("answer")))
     pairs = spread(traces.select("trace_id", "question", "answer"))
     languages = pair_defects.fit_languages(spread(traces.select("trace_id", "question", "answer", "context_sent_to_model")))
     found = pair_defects.find_defects(pairs, ends, languages)

@@ -108,3 +108,16 @@ def test_languages_learn_from_every_pair(spark):
     en = SENTENCES["en"][0]
     t = spark.createDataFrame([(i, en, f"{en} The {w} is in the office.", en, "x", "x") for i, w in enumerate(own)], TRACE)
     assert set(own) <= set(P.fit_languages(t).words)
+
+
+def test_rare_contexts_are_not_dropped(spark, models, monkeypatch):
+    monkeypatch.setattr(P, "KEEP_CONTEXTS", 1)
+    rare = "pressure gauge on the north valve"
+    data = [(i, Q, "The line manager signs it. The line manager reads it [S1].", None, "x", "x") for i in range(30)]
+    data += [(100 + i, Q, f"{rare} [S1]", None, "x", "x") for i in range(20)]
+    data += [(200, Q, rare, None, "x", "x"), (201, Q, "", None, "x", "x"), (202, None, None, None, "x", "x"), (203, Q, "pressure gauge on the", None, "x", "x")]
+    t = spark.createDataFrame(data, TRACE)
+    got = {r.trace_id: r.defect for r in P.find_defects(t, P.end_counts(t), models[1]).collect()}
+    assert len(got) == len(data) and got[200] is None and got[201] == got[202] == "empty" and got[203] == "truncated"
+    with pytest.raises(ValueError):
+        P.fit_ends(t)
