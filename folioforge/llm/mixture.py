@@ -4,13 +4,13 @@ Every listed source should contribute its share of the mixture's size, measured
 than the source's cap. Capped water-filling: give every source its share of the total; clamp those that exceed cap times
 their size; hand the excess to the others in proportion to their weights; repeat until nothing exceeds. If all sources are
 clamped the mixture is smaller than asked for. A source that gets r times its size has every text floor(r) times, and a
-seeded choice of texts once more, whose tokens come as close to the remaining fraction as whole texts allow without
-exceeding it.
+seeded choice of texts once more, whose tokens do not exceed the remaining fraction and to which no further text could be
+added without exceeding it.
 
-The choice orders a source's texts by a seeded hash and takes the leading ones. The hash at which to stop is found by
-radix: the tokens per leading 12 bits of the hash are summed (map-side first, at most 4096 rows per source reach the
-driver), then per next 12 bits inside the bin in which the sum is reached, and so on; no source's rows are ever sorted or
-gathered.
+The choice orders a source's texts by a seeded hash and takes each that still fits. The hash of the first that does not is
+found by radix: the tokens per leading 12 bits of the hash are summed (map-side first, at most 4096 rows per source reach
+the driver), then per next 12 bits inside the bin in which the sum is reached, and so on; no source's rows are ever sorted
+or gathered. From there on the same is done with the texts no longer than what remains, until none of them is left.
 
 Defined results
 * source names are compared in lower case, without surrounding white space and with "_" read as "-"; texts of a source that
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioforge.llm.encoding import token_counts
-from folioforge.operators.groups import BROADCAST_ROWS
+from folioforge.operators.groups import BROADCAST_ROWS, small_or_plain
 from folioforge.session import cut
 
 DIGITS, LEVELS = 12, 5
@@ -66,40 +66,58 @@ def _targets(mix_targets: DataFrame) -> dict[str, tuple[float, int]]:
 
 
 def sized_documents(documents: DataFrame, targets: dict[str, tuple[float, int]], seed: int, path: str | None) -> DataFrame:
-    """doc_id, source, tokens, h: the texts of listed sources with their size and seeded hash, checkpointed once for all passes."""
+    """doc_id, source, tokens, h, size: the texts of listed sources with their tokens, seeded hash and the tokens of all texts of that hash, checkpointed once for all passes."""
     d = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text").filter(F.col("source").isin(sorted(targets)))
     sized = token_counts(d, "text", ["doc_id", "source"], path=path)
-    return cut(sized.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 64 - DIGITS * LEVELS)))
+    sized = cut(sized.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 64 - DIGITS * LEVELS)))
+    shared = sized.groupBy("source", "h").agg(F.sum("tokens").alias("all"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    grouped = sized.join(small_or_plain(shared), ["source", "h"], "left")
+    return cut(grouped.select("doc_id", "source", "tokens", "h", F.coalesce("all", "tokens").alias("size")))
 
 
-def _limits(sized: DataFrame, want: dict[str, float]) -> dict[str, int]:
-    """Per source the hash below which the texts' tokens add up to at most the wanted amount."""
+def _limits(sized: DataFrame, start: dict[str, int], want: dict[str, float]) -> dict[str, tuple[int, float, bool]]:
+    """Per source, among its texts from hash start on that are no longer than the wanted amount: the hash below which their
+    tokens add up to at most that amount, what is then left of it, and whether a text was in the way."""
     spark, below, left = sized.sparkSession, dict.fromkeys(want, 0), dict(want)
+    stopped = dict.fromkeys(want, False)
     for level in range(LEVELS):
         shift = DIGITS * (LEVELS - 1 - level)
-        prefix = spark.createDataFrame([(s, below[s] >> (shift + DIGITS)) for s in want], "source string, prefix long")
+        prefix = spark.createDataFrame([(s, below[s] >> (shift + DIGITS), start[s], float(want[s])) for s in want], "source string, prefix long, start long, want double")
         digit = F.shiftright("h", shift)
         bins = (
             sized.filter("tokens > 0").join(F.broadcast(prefix), "source")  # one row per listed source
-            .filter(F.shiftright("h", shift + DIGITS) == F.col("prefix"))
+            .filter((F.shiftright("h", shift + DIGITS) == F.col("prefix")) & (F.col("h") >= F.col("start")) & (F.col("size") <= F.col("want")))
             .groupBy("source", digit.alias("bin")).agg(F.sum("tokens").alias("t"))
         )
         filled: dict[str, list] = {}
         for r in bins.collect():  # at most 4096 rows per listed source
             filled.setdefault(r["source"], []).append((r["bin"], r["t"]))
         for s in want:
-            at = below[s] >> shift
-            stop = None
+            if level and not stopped[s]:
+                continue  # all that is there fits
+            at, stop = below[s] >> shift, None
             for b, t in sorted(filled.get(s, [])):
                 if t > left[s]:
                     stop = b
                     break
                 left[s] -= t
                 at = b + 1
-            below[s] = (stop if stop is not None else at) << shift
-            if stop is None:
-                left[s] = 0  # all that is there fits; nothing more can be added inside this bin
-    return below
+            stopped[s] = stop is not None
+            below[s] = (stop if stop is not None else 1 << DIGITS if level == 0 else at) << shift
+    return {s: (below[s], left[s], stopped[s]) for s in want}
+
+
+def _spans(sized: DataFrame, want: dict[str, float]) -> dict[str, list[tuple[int, int, float]]]:
+    """Per source the stretches of hashes (from, below, greatest size) whose texts are chosen. Every pass begins behind the last."""
+    spans: dict[str, list] = {s: [] for s in want}
+    start, open_ = dict.fromkeys(want, 0), dict(want)
+    while open_:
+        found = _limits(sized, start, open_)
+        for s, (below, _, _) in found.items():
+            spans[s].append((start[s], below, float(open_[s])))
+            start[s] = below
+        open_ = {s: left for s, (_, left, stopped) in found.items() if stopped and left >= 1}
+    return spans
 
 
 def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: int | None = None, seed: int = 17, path: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -120,13 +138,14 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: int | None =
         rest = amount[s] - whole[s] * size
         if size and whole[s] < targets[s][1] and rest >= 1:
             want[s] = rest
-    limits = _limits(sized, want) if want else {}
+    spans = _spans(sized, want)
     plan = spark.createDataFrame(
-        [(s, whole[s], limits.get(s, 0)) for s in sorted(targets)] or [("", 0, 0)], "source string, whole int, upto long"
+        [(s, whole[s], spans.get(s, [])) for s in sorted(targets)] or [("", 0, [])], "source string, whole int, spans array<struct<start:long,below:long,most:double>>"
     )
+    extra = F.exists("spans", lambda x: (F.col("h") >= x["start"]) & (F.col("h") < x["below"]) & (F.col("size") <= x["most"]))
     chosen = (
         sized.join(F.broadcast(plan), "source")  # one row per listed source
-        .withColumn("repeats", F.col("whole") + ((F.col("h") < F.col("upto")) & (F.col("tokens") > 0)).cast("int"))
+        .withColumn("repeats", F.col("whole") + (extra & (F.col("tokens") > 0)).cast("int"))
         .select("doc_id", "source", "tokens", "repeats").filter("repeats > 0")
     )
     asked = spark.createDataFrame(

@@ -66,3 +66,18 @@ def test_ties_repeats_and_empty(spark):
     for d, t in ((docs.limit(0), targets), (docs, targets.limit(0))):
         a, b = mixture.mix(d, t)
         assert a.count() == 0 and b.filter("mixed_tokens > 0").count() == 0
+
+
+def test_a_long_text_does_not_end_the_choice(spark):
+    data = [(i, "word " * (3 + i % 4), "a") for i in range(40)] + [(100 + i, "word " * 300, "a") for i in range(4)] + [(7, "word " * 5, "a")]
+    docs, targets = frames(spark, data, [("a", 1.0, 1)])
+    count = encoding.Encoder.of(encoding.vocabulary_path()).count
+    for seed in range(4):
+        records, report = mixture.mix(docs, targets, total_tokens=150, seed=seed)
+        got = {(r.doc_id, r.tokens) for r in records.collect()}
+        gap = 150 - report.head().mixed_tokens
+        free = {}
+        for i, text, _ in data:
+            if (i, count(text)) not in got:
+                free[i] = free.get(i, 0) + count(text)
+        assert 0 <= gap < min(free.values()) and sum(i == 7 for i, _ in got) in (0, 2)
