@@ -440,11 +440,24 @@ def sync_stale_chunks(spark, d):
     return sync.stale_chunks(_manifest(spark, d), chunks(spark, d))
 
 
-def sync_apply(spark, d):
-    actions = sync_plan(spark, d)
+def _applied(spark, d):
     c = chunks(spark, d)
-    stored = c.select("chunk_id", "source_path", hashed_embedding(F.col("text")).alias("embedding"))
-    done = sync.apply_plan(actions, stored, c, hashed_embedding)
+    # stored vectors are twice the fresh ones, so that a reused vector can be told from a new one
+    stored = c.select("chunk_id", "source_path", F.transform(hashed_embedding(F.col("text")), lambda x: 2 * x).alias("embedding"))
+    return sync.apply_plan(sync_plan(spark, d), stored, c, hashed_embedding)
+
+
+def sync_apply_vectors(spark, d):
+    """Every chunk after the plan with the norm and the weighted sum of its vector."""
+    e = _applied(spark, d)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    weighted = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return e.select("chunk_id", "kind", F.round(norm, 6).alias("norm"), weighted.alias("weighted"))
+
+
+def sync_apply(spark, d):
+    """Counts per kind only; sync_apply_vectors has the chunks and their vectors."""
+    done = _applied(spark, d)
     return done.groupBy("kind").agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("source_path").alias("n_documents"))
 
 
@@ -500,7 +513,7 @@ QUERIES = {
         cosine_pairs, semantic_topk, hybrid_rrf, rerank_overlap, rerank_hybrid, document_scoped, neighbor_expand, parent_documents, parent_with_limit, parse_subqueries, decompose_rrf,
         decompose_coverage, decompose_hybrid_rrf, decompose_hybrid_coverage, multihop_rrf, multihop_hybrid_rrf, search_documents, search_documents_hybrid, retrieval_metrics, retrieval_summary, first_relevant_rank, concept_scorecard, scorecard_report, unanswered_questions,
         labeled_context, citation_validation, answer_metrics, answer_summary, judge_parse, judge_decisions, judgement_summary, judge_prompts, judge_agreement, judge_disagreements,
-        run_comparison, changed_verdicts, mcnemar, content_hash, sync_plan, sync_plan_stored, sync_stale_chunks, sync_apply, sync_manifest, agent_tool_calls, agent_first_sighting,
+        run_comparison, changed_verdicts, mcnemar, content_hash, sync_plan, sync_plan_stored, sync_stale_chunks, sync_apply, sync_apply_vectors, sync_manifest, agent_tool_calls, agent_first_sighting,
         agent_strip_tool_use, list_versions, read_document_truncate,
     )
 }

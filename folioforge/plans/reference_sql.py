@@ -314,4 +314,8 @@ SQL |= {
     "decompose_hybrid_coverage": _DECOMPOSED_HYBRID + SQL["decompose_coverage"].removeprefix(_DECOMPOSED),
     "multihop_hybrid_rrf": SQL["multihop_rrf"].replace(f"{_bm25('ev')}, {_top('sc', 'rk', 20)}", _hybrid("ev")).replace("FROM rk JOIN", "FROM hy JOIN"),
     "search_documents_hybrid": f"{_HYBRID_BASE}, {_hybrid('qs', 3)}{SQL['search_documents'].removeprefix(_BASE + ', ' + _top('sc', 'kw', 3)).replace('FROM kw', 'FROM hy kw')}",
+    "sync_apply_vectors": f"""WITH RECURSIVE {POSTINGS}, {_SHIFTED}, {_PLAN}, vb AS (SELECT chunk_id, ('0x' || substr(md5(token), 1, 7))::BIGINT % 64 AS bin, sum(tf)::DOUBLE AS c FROM post GROUP BY ALL),
+vn AS (SELECT chunk_id, sqrt(sum(c * c)) AS nrm, sum(c * (bin + 1)) AS w FROM vb GROUP BY 1)
+SELECT chunk_id, kind, round(f * coalesce(nrm, 0.0::DOUBLE), 6) AS norm, f * coalesce(w, 0.0::DOUBLE) AS weighted
+FROM (SELECT c.chunk_id, kind, CASE WHEN kind IN ('new', 'content') THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS f FROM chunks c JOIN pl ON c.source_path = pl.source_path) LEFT JOIN vn USING (chunk_id)""",
 }

@@ -30,3 +30,8 @@ def test_filters_reach_the_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "EqualTo(version,1.2)" in plan or "EqualNullSafe(version,1.2)" in plan
     assert "content" not in plan.split("ReadSchema")[1]
+
+
+def test_applying_a_plan_computes_vectors(spark):
+    plan = reference_queries.QUERIES["sync_apply_vectors"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" in plan and "no stored vector for" in plan
