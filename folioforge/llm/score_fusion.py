@@ -49,23 +49,28 @@ def _squash(dev: Column, mad: Column, mean_dev: Column, steep: float) -> Column:
     return F.greatest(F.least(1 / (1 + F.exp(-steep * F.greatest(F.least(z, F.lit(700.0)), F.lit(-700.0)))), F.lit(1 - EDGE)), F.lit(EDGE))
 
 
+def _standing() -> Column:
+    """By what a candidate stands in its list: the bounded value; the score tells only those apart that the squash rounds together."""
+    return F.struct("b", "s")
+
+
 def _centred(s: Column, med: Column) -> Column:
     return F.when(s == med, 0.0).otherwise(s - med)
 
 
 def _values_by_window(scores: DataFrame, steep: float) -> DataFrame:
-    """Adds list statistics by windows; for questions that fit a task."""
+    """Adds the bounded values and the list's best standings by windows; for questions that fit a task."""
     w = Window.partitionBy(*LIST)
-    down = w.orderBy(F.col("s").desc(), "chunk_id")
-    top = lambda k: F.max(F.when(F.col("rn") == k, F.col("s"))).over(w)
+    top = lambda k: F.max(F.when(F.col("rn") == k, F.col("standing"))).over(w)
     return (
-        scores.withColumn("rn", F.row_number().over(down))
-        .withColumn("med", F.median("s").over(w))
-        .withColumn("t1", top(1)).withColumn("t2", top(2)).withColumn("t3", top(3))
+        scores.withColumn("med", F.median("s").over(w))
         .withColumn("dev", _centred(F.col("s"), F.col("med")))
         .withColumn("mad", F.median(F.abs("dev")).over(w))
         .withColumn("mean_dev", F.avg(F.abs("dev")).over(w))
         .withColumn("b", _squash(F.col("dev"), F.col("mad"), F.col("mean_dev"), steep))
+        .withColumn("standing", _standing())
+        .withColumn("rn", F.row_number().over(w.orderBy(F.col("standing").desc(), "chunk_id")))
+        .withColumn("t1", top(1)).withColumn("t2", top(2)).withColumn("t3", top(3))
         .withColumn("least", F.min("b").over(w))
         .withColumn("first", F.col("rn") == 1)
     )
@@ -78,17 +83,16 @@ def _values_spread(scores: DataFrame, steep: float, hot_rows: int) -> DataFrame:
     def stats(df: DataFrame, value: str, rn: str) -> DataFrame:
         n = small_or_plain(df.groupBy(*LIST).agg(F.count(F.lit(1)).alias("n")))
         placed = df.join(n, LIST).withColumn("k", F.col(rn) - F.floor((F.col("n") + 1) / 2))
-        return placed.groupBy(*LIST).agg(
-            middle(value).alias("mid"), F.avg(value).alias("mean"), *(F.max(F.when(F.col(rn) == k, F.col(value))).alias(f"t{k}") for k in (1, 2, 3))
-        )
+        return placed.groupBy(*LIST).agg(middle(value).alias("mid"), F.avg(value).alias("mean"))
 
     ranked = row_numbers(scores, LIST, [F.col("s").desc(), F.col("chunk_id")], "rn", hot_rows)
     with_med = ranked.join(small_or_plain(stats(ranked, "s", "rn").withColumnRenamed("mid", "med").drop("mean")), LIST).withColumn("dev", _centred(F.col("s"), F.col("med")))
     by_dev = row_numbers(with_med.withColumn("ad", F.abs("dev")), LIST, [F.col("ad"), F.col("chunk_id")], "rd", hot_rows)
     dev = stats(by_dev, "ad", "rd").select(*LIST, F.col("mid").alias("mad"), F.col("mean").alias("mean_dev"))
     valued = with_med.join(small_or_plain(dev), LIST).withColumn("b", _squash(F.col("dev"), F.col("mad"), F.col("mean_dev"), steep))
-    least = valued.groupBy(*LIST).agg(F.min("b").alias("least"))
-    return valued.join(small_or_plain(least), LIST).withColumn("first", F.col("rn") == 1)
+    valued = valued.withColumn("standing", _standing())  # in the order of the scores, so the ranks above are those of the standings
+    ends = valued.groupBy(*LIST).agg(F.min("b").alias("least"), *(F.max(F.when(F.col("rn") == k, F.col("standing"))).alias(f"t{k}") for k in (1, 2, 3)))
+    return valued.join(small_or_plain(ends), LIST).withColumn("first", F.col("rn") == 1)
 
 
 def _fuse(values: DataFrame, weights: dict[str, float] | None, absent: float, windowed: bool) -> DataFrame:
@@ -99,7 +103,7 @@ def _fuse(values: DataFrame, weights: dict[str, float] | None, absent: float, wi
             w = F.when(F.col("retriever") == name, float(weight)).otherwise(w)
     v = values.withColumn("w", w).withColumn("floor", F.log(F.col("least") * absent))
     alone = F.col("t2").isNull() | (F.col("t2") < F.col("t1"))
-    v = v.withColumn("leads", ((F.col("s") == F.col("t1")) & alone).cast("int")).withColumn("near", (F.col("t3").isNull() | (F.col("s") > F.col("t3"))).cast("int"))
+    v = v.withColumn("leads", ((F.col("standing") == F.col("t1")) & alone).cast("int")).withColumn("near", (F.col("t3").isNull() | (F.col("standing") > F.col("t3"))).cast("int"))
     per_list = [
         F.sum(F.when(F.col("first"), F.col("w"))).alias("all_w"),
         F.sum(F.when(F.col("first"), F.col("w") * F.col("floor"))).alias("all_floor"),
@@ -128,7 +132,7 @@ def fuse_scores(
 ) -> DataFrame:
     """Per question the candidates with rank and fused score, and how they stand in the lists.
 
-    ``leads``: lists in which the candidate is strictly best; ``near``: lists in which at most one other is as good;
+    ``leads``: lists in which the candidate's bounded value is strictly best; ``near``: lists in which at most one other is as good;
     ``second``: the second greatest fused score of the question, null for a single candidate.
     """
     keyed = passages.filter("question_id is not null")
@@ -151,7 +155,7 @@ def leads_almost_everywhere(fused: DataFrame) -> DataFrame:
 
     Only the candidate ahead of it in the one list can have a greater fused score, since bounded values follow the order of
     each list and absence costs more than any value (weights not negative, ``absent`` at most 1). So the candidates are those
-    that the fusion puts first or second, ties included; what leads is then checked exactly.
+    that the fusion puts first or second, ties included; how their bounded values stand in the lists is then checked exactly.
     """
     leading = fused.filter(F.col("fused") >= F.col("second") * (1 - 1e-9))
     return leading.filter("n_lists >= 3 and n_candidates >= 2 and in_lists = n_lists and leads >= n_lists - 1 and near = n_lists").select("question_id", "chunk_id")

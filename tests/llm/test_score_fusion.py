@@ -107,3 +107,12 @@ def test_leaders_come_from_the_fusion(spark, hot_rows):
         plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
         assert "median(" in plan or "percentile(" in plan
         assert "exp(" in plan and "log(" in plan or "ln(" in plan
+
+
+def test_found_rows_hang_on_the_standardised_values(spark, monkeypatch):
+    data = random_data(5, 200)
+    found = lambda: set(rows(score_fusion.leads_almost_everywhere(score_fusion.fuse_scores(frame(spark, data), retrievers(spark)))))
+    assert found() == brute(data)[1]
+    right = score_fusion._squash
+    monkeypatch.setattr(score_fusion, "_squash", lambda dev, mad, mean, steep: right(-dev, mad, mean, steep))
+    assert found() != brute(data)[1]
