@@ -8,10 +8,11 @@ even division.
 Boundaries, by rising penalty: paragraph, line, sentence, clause, white space (and after any of ``. ! ? 。 ！ ？``), forced.
 Weaker boundaries enter only in stretches that the stronger ones leave longer than a piece can advance, so that a sentence is
 cut only where sentences are too long, and a word only where there is no space. Forced cuts divide their stretch evenly and
-never separate a combining mark from its base.
+never separate a combining mark from its base, unless marks alone fill a whole piece.
 
-``longest_run`` is the longest stretch of code points that are neither white space nor an end mark; if it exceeds the limit,
-no choice of cuts avoids a forced one.
+``breaks`` of a piece is the length of the stretch (code points that are neither white space nor an end mark) that its end
+falls into, 0 where it breaks none. The pieces cover the text and none exceeds the limit, so every stretch beyond the limit is
+broken by some chosen cut; a shorter one is broken only at a clause mark or because the overlap takes up its room.
 
 Defined results: null, empty and texts within the limit are not oversized and give no pieces; null ids are left out; repeated
 rows of an id are one item if ``dedupe`` is set (the least text counts); an empty table gives an empty result; extra columns are
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,15 +43,15 @@ _CLAUSE = re.compile(r"[;:,)\]—–]\s+|[；：，、）]\s*")
 _ANY = re.compile(r"\s|[.!?。！？]")
 _RUN = re.compile(r"[^\s.!?。！？]+")
 
-SCHEMA = "item_kind string, item_id string, piece_no int, start int, end int, boundary string, longest_run int, n_pieces int"
+SCHEMA = "item_kind string, item_id string, piece_no int, start int, end int, boundary string, breaks int, n_pieces int"
 
 
-def _whole_character(text: str, at: int) -> int:
-    """The position, moved back so that no mark is separated from its base."""
-    for back in range(8):
-        c = text[at - back]
-        if not (unicodedata.combining(c) or c in "\u200d\ufe0e\ufe0f" or "\U0001f3fb" <= c <= "\U0001f3ff" or text[at - back - 1] == "\u200d"):
-            return at - back
+def _whole_character(text: str, at: int, low: int) -> int:
+    """The position, moved back so that no mark is separated from its base; as it is if all from ``low`` on are marks."""
+    for p in range(at, low, -1):
+        c = text[p]
+        if not (unicodedata.combining(c) or c in "\u200d\ufe0e\ufe0f" or "\U0001f3fb" <= c <= "\U0001f3ff" or text[p - 1] == "\u200d"):
+            return p
     return at
 
 
@@ -73,10 +75,10 @@ def candidates(text: str, advance: int) -> list[tuple[int, str]]:
                         found.setdefault(m.end(), kind)
     at = [0, *sorted(found), n]
     for a, b in zip(at, at[1:]):
-        if b - a > advance:
-            parts = -(-(b - a) // max(1, advance - 8))
-            for k in range(1, parts):
-                found.setdefault(_whole_character(text, a + (b - a) * k // parts), "forced")
+        while b - a > advance:
+            parts = -(-(b - a) // advance)
+            a = _whole_character(text, a + -(-(b - a) // parts), a)
+            found[a] = "forced"
     return sorted(found.items())
 
 
@@ -125,8 +127,15 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
     return out
 
 
-def longest_run(text: str) -> int:
-    return max((m.end() - m.start() for m in _RUN.finditer(text)), default=0)
+def broken_stretches(text: str, ends: list[int]) -> list[int]:
+    """For each position the length of the stretch without white space and end marks that it falls into, 0 for none."""
+    runs = [m.span() for m in _RUN.finditer(text)]
+    starts = [a for a, _ in runs]
+    out = []
+    for e in ends:
+        i = bisect_left(starts, e) - 1  # the last stretch that begins before the position
+        out.append(runs[i][1] - runs[i][0] if i >= 0 and e < runs[i][1] else 0)
+    return out
 
 
 def oversized(df: DataFrame, kind: str, item: str, text: str, limit: int = LIMIT, dedupe: bool = False) -> DataFrame:
@@ -149,14 +158,18 @@ def pieces(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, with_te
                 rows = []
                 for kind, item, text in zip(pdf["item_kind"], pdf["item_id"], pdf["text"]):
                     cut = split(text, limit, overlap)
-                    run = longest_run(text)
-                    for no, (a, b, boundary) in enumerate(cut, 1):
-                        rows.append((kind, item, no, a, b, boundary, run, len(cut), *((text[a:b],) if with_text else ())))
+                    broken = broken_stretches(text, [b for _, b, _ in cut])
+                    for no, ((a, b, boundary), breaks) in enumerate(zip(cut, broken), 1):
+                        rows.append((kind, item, no, a, b, boundary, breaks, len(cut), *((text[a:b],) if with_text else ())))
                 yield pd.DataFrame(rows, columns=columns)
 
     return items.mapInPandas(work, schema)
 
 
-def cut_kind(limit: int = LIMIT):
-    """``forced`` if no choice of cuts could have stayed at white space or end marks, else ``boundary``."""
-    return F.when(F.col("longest_run") > limit, F.lit("forced")).otherwise(F.lit("boundary"))
+def cut_kinds(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """item_kind, item_id, cut: ``forced`` if a chosen cut breaks a stretch beyond the limit, else ``boundary``. One row per item.
+
+    An item's pieces lie in one task as they were made, so nothing but flags is aggregated.
+    """
+    forced = F.max(F.col("breaks") > limit)
+    return cut.groupBy("item_kind", "item_id").agg(F.when(forced, F.lit("forced")).otherwise(F.lit("boundary")).alias("cut"))

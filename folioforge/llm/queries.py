@@ -16,9 +16,8 @@ def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every item beyond the limit and whether cutting it must break a stretch without a boundary."""
-    cut = pieces.pieces(_oversized(spark, sf_dir), with_text=False)
-    return cut.filter("piece_no = 1").select("item_kind", "item_id", pieces.cut_kind().alias("cut")).distinct()
+    """Every item beyond the limit and whether a chosen cut breaks a stretch that no piece can hold, from the pieces themselves."""
+    return pieces.cut_kinds(pieces.pieces(_oversized(spark, sf_dir), with_text=False))
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

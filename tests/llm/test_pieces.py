@@ -80,10 +80,44 @@ def test_frame(spark):
     df = spark.createDataFrame([(*d, "k", "i", "t") for d in data], ITEM)
     items = P.oversized(df, "document", "source_path", "content", dedupe=True)
     got = P.pieces(items)
-    found = got.filter("piece_no = 1").select("item_id", P.cut_kind().alias("cut"))
+    found = P.cut_kinds(got).select("item_id", "cut")
     assert rows(found) == [("b", "boundary"), ("c", "forced"), ("f", "boundary"), ("g", "boundary"), ("h", "boundary")]
     text = {r.item_id: r.text for r in items.collect()}
     for r in got.collect():
         assert r.text == text[r.item_id][r.start : r.end] and len(r.text) <= 500
     assert P.oversized(df, "document", "source_path", "content").filter("item_id = 'b'").count() == 2
     assert P.pieces(items.limit(0)).count() == 0
+
+
+def longest(text):
+    return max((b - a for a, b in (m.span() for m in P._RUN.finditer(text))), default=0)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab .,字，。”!é\u0301", max_size=300), st.integers(3, 40), st.integers(0, 2))
+def test_a_stretch_beyond_the_limit_is_always_broken(text, limit, overlap):
+    cut = P.split(text, limit, overlap)
+    broken = P.broken_stretches(text, [b for _, b, _ in cut])
+    assert (max(broken, default=0) > limit) == (longest(text) > limit)
+
+
+def test_broken_stretches():
+    assert P.broken_stretches("ab cdef. g", [0, 1, 2, 3, 5, 7, 8, 10]) == [0, 2, 0, 0, 4, 0, 0, 0]
+    # a stretch that fits a piece but not beside the overlap is broken, and is no forced cut for that
+    text = "w " * 100 + "x" * 480 + " w" * 100
+    cut = P.split(text, 500, 50)
+    assert max(P.broken_stretches(text, [b for _, b, _ in cut])) == 480
+
+
+def test_marks_without_end():
+    check("e" + "\u0301" * 1500, 500, 50)
+    cut = check("a" * 400 + "e" + "\u0301" * 60 + "b" * 700, 500, 50)
+    assert not any(400 < b <= 460 + 1 and b != 400 for _, b, _ in cut[:-1])
+
+
+def test_found_rows_hang_on_the_chosen_cuts(spark, monkeypatch):
+    items = spark.createDataFrame([("k", "run", "z" * 700), ("k", "words", "word " * 200)], "item_kind string, item_id string, text string")
+    found = lambda: rows(P.cut_kinds(P.pieces(items, with_text=False)))
+    assert found() == [("k", "run", "forced"), ("k", "words", "boundary")]
+    monkeypatch.setattr(P, "split", lambda text, limit, overlap: [(0, len(text), "end")])
+    assert found() == [("k", "run", "boundary"), ("k", "words", "boundary")]
