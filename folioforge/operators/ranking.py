@@ -7,10 +7,9 @@ ties go to the lesser chunk id. Rank is explicit everywhere.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,12 +17,17 @@ from pyspark.sql.window import Window
 
 from folioforge.functions.text import terms
 from folioforge.functions.vectors import cosine, overlap_score
+from folioforge.operators.groups import small_or_plain
 from folioforge.session import cut
 
 K1, B, RRF_K, CANDIDATES, TOP = 1.5, 0.75, 60, 20, 5
-#: Vectors and queries in one block of the exhaustive search.
-VECTOR_BLOCK, QUERY_BLOCK = 4096, 1024
-BM25_CHUNKS, BM25_QUERIES = 2048, 512
+#: Rows and queries of one block of a search, at most in expectation.
+VECTOR_BLOCK, QUERY_BLOCK = 8192, 8192
+BM25_CHUNKS, BM25_QUERIES = 8192, 16384
+#: Blocks up to this number are tasks of their own.
+MOST_TASKS = 20_000
+#: Queries and cells of one matrix inside a task.
+BATCH_QUERIES, BATCH_CELLS = 512, 8_000_000
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -76,51 +80,97 @@ def weighted_postings(chunks: DataFrame, k1: float = K1, b: float = B) -> DataFr
     return scored.select("chunk_id", "source_path", "token", (idf * tf).alias("weight"))
 
 
+def best_cells(scores: np.ndarray, k: int, positive: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score to six digits) of the k best cells of every row; ties go to the lesser column."""
+    n = scores.shape[1]
+    micro = np.rint(scores * 1e6).astype(np.int64)
+    keys = micro * n + np.arange(n - 1, -1, -1)
+    at = np.argpartition(keys, n - k, axis=1)[:, n - k :] if k < n else np.broadcast_to(np.arange(n), scores.shape)
+    rows = np.repeat(np.arange(len(scores)), at.shape[1])
+    columns = at.ravel()
+    found = micro[rows, columns]
+    if positive:
+        rows, columns, found = rows[found > 0], columns[found > 0], found[found > 0]
+    return rows, columns, found / 1e6
+
+
+def in_blocks(queries: DataFrame, rows: DataFrame, n_queries: int, n_rows: int, search: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """search(rows, queries) for every block of queries with every block of rows, brought together by an equi-join of block numbers.
+
+    Rows are shipped once per block of queries and queries once per block of rows. Each block is a group of its own, of
+    bounded size, whatever the keys are.
+    """
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("_q", block("query_id", n_queries)).withColumn("_c", every(n_rows))
+    c = rows.withColumn("_c", block("chunk_id", n_rows)).withColumn("_q", every(n_queries))
+    q, c = (df.withColumn("_block", F.col("_q") * n_rows + F.col("_c")).drop("_q", "_c") for df in (q, c))
+    if n_queries * n_rows <= MOST_TASKS:  # a task for every block, instead of as the hash of its number falls
+        q, c = (df.repartitionById(n_queries * n_rows, F.col("_block")) for df in (q, c))
+    return c.groupBy("_block").cogroup(q.groupBy("_block")).applyInArrow(search, schema)
+
+
+def block_counts(df: DataFrame, n_queries: int, n_rows: int, most_queries: int, most_rows: int) -> tuple[int, int]:
+    """Numbers of blocks of queries and of rows: none larger than wanted, and enough of them for all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    a = max(1, math.ceil(n_queries / most_queries))
+    return a, max(1, math.ceil(n_rows / most_rows), min(math.ceil(cores / a), math.ceil(16 * n_rows / most_rows)))
+
+
+def _product(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """The k best chunks per query of a block. Only terms that the queries ask for enter the matrices."""
+    rows = rows.sort_by("chunk_id")  # columns in the order of ids, so that ties go to the lesser
+    queries = queries.sort_by("query_id")
+    q_id = queries["query_id"].combine_chunks().dictionary_encode()
+    ids = pa.concat_arrays(rows["chunk_id"].chunks) if rows.num_rows else pa.array([], pa.string())
+    paths = rows["source_path"].combine_chunks()
+    asked = queries["tokens"].combine_chunks()
+    a_q = q_id.indices.to_numpy()[pc.list_parent_indices(asked).to_numpy()]
+    flat = asked.flatten().dictionary_encode()
+    a_t = flat.indices.to_numpy()
+    posted = rows["posted"].combine_chunks()
+    token, weight = posted.flatten().field("token"), posted.flatten().field("weight").to_numpy()
+    p_c = pc.list_parent_indices(posted).to_numpy()
+    p_t = pc.fill_null(pc.index_in(token, flat.dictionary), -1).to_numpy()
+    known = p_t >= 0
+    p_c, p_t, weight = p_c[known], p_t[known], weight[known]
+    out = []
+    n_q, n_c = len(q_id.dictionary), len(ids)
+    for lo in range(0, n_q, BATCH_QUERIES):
+        mine = (a_q >= lo) & (a_q < lo + BATCH_QUERIES)
+        wanted, at = np.unique(a_t[mine], return_inverse=True)
+        if not len(wanted):
+            continue
+        ask = np.zeros((min(BATCH_QUERIES, n_q - lo), len(wanted)))
+        ask[a_q[mine] - lo, at] = 1.0
+        place = np.full(len(flat.dictionary), -1)
+        place[wanted] = np.arange(len(wanted))
+        step = max(1, BATCH_CELLS // max(len(wanted), BATCH_QUERIES))
+        for left in range(0, n_c, step):
+            a, b = np.searchsorted(p_c, [left, left + step])
+            t = place[p_t[a:b]]
+            has = t >= 0
+            matrix = np.zeros((len(wanted), min(step, n_c - left)))
+            matrix[t[has], p_c[a:b][has] - left] = weight[a:b][has]
+            r, c, score = best_cells(ask @ matrix, k, positive=True)
+            out.append((r + lo, c + left, score))
+    r, c, score = (np.concatenate([x[i] for x in out]) if out else np.array([], t) for i, t in enumerate((np.int64, np.int64, np.float64)))
+    return pa.table({"query_id": q_id.dictionary.take(pa.array(r)), "chunk_id": ids.take(pa.array(c)), "source_path": paths.take(pa.array(c)), "score": pa.array(score, pa.float64())})
+
+
 def bm25_blocks(queries: DataFrame, weighted: DataFrame, k: int) -> DataFrame:
-    """Per query the k best chunks of every pair of blocks, and what ties with the last of them.
+    """Per query the k best chunks of every block of chunks.
 
-    Every block of queries meets every block of chunks once. Of a block of chunks only the postings of the queries' terms
-    enter a dense matrix of terms and chunks; the product with the queries' terms gives all scores, and only the best ones
-    leave the task. A join on terms would instead shuffle every posting of a frequent term once per query.
+    Postings are matched with the asked terms by an equi-join, so that the others go nowhere, and packed per chunk; a block of
+    chunks with a block of queries is then a product of matrices. A join of the terms themselves would yield a row for every
+    query and chunk with a common term, most of them from frequent terms.
     """
-    n_q = max(1, math.ceil(queries.count() / BM25_QUERIES))
-    n_c = max(1, math.ceil(weighted.select("chunk_id").distinct().count() / BM25_CHUNKS))
-    q = query_terms(queries).groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb")).agg(F.collect_list(F.struct(F.col("query_id").cast("string").alias("query_id"), "token")).alias("q"))
-    c = weighted.groupBy(F.pmod(F.xxhash64("chunk_id"), F.lit(n_c)).alias("cb")).agg(F.collect_list(F.struct("chunk_id", "source_path", "token", "weight")).alias("c"))
-
-    def encoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Codes in the order of the values, and the values."""
-        d = column.dictionary_encode()
-        values = np.array(d.dictionary.to_pylist(), dtype=object)
-        order = np.argsort(values.astype(str), kind="stable")
-        place = np.empty(len(values), np.int64)
-        place[order] = np.arange(len(values))
-        return place[d.indices.to_numpy()], values[order]
-
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                qs, cs = batch.column("q")[i].values, batch.column("c")[i].values
-                q_at, q_ids = encoded(qs.field("query_id"))
-                terms_of = qs.field("token").unique()
-                term_at = pc.index_in(qs.field("token"), terms_of).to_numpy()
-                cs = cs.filter(pc.is_in(cs.field("token"), terms_of))
-                if not len(cs):
-                    continue
-                c_at, c_ids = encoded(cs.field("chunk_id"))
-                paths = np.empty(len(c_ids), dtype=object)
-                paths[c_at] = np.array(cs.field("source_path").to_pylist(), dtype=object)
-                weights = np.zeros((len(terms_of), len(c_ids)))
-                weights[pc.index_in(cs.field("token"), terms_of).to_numpy(), c_at] = cs.field("weight").to_numpy()
-                asked = np.zeros((len(q_ids), len(terms_of)))
-                asked[q_at, term_at] = 1.0
-                scores = np.round(asked @ weights, 6)
-                least = np.partition(scores, -k, axis=1)[:, -k] if k < scores.shape[1] else np.zeros(len(q_ids))
-                r, col = np.nonzero((scores >= least[:, None]) & (scores > 0))
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[r], pa.string()), pa.array(c_ids[col], pa.string()), pa.array(paths[col], pa.string()), pa.array(scores[r, col])], names=["query_id", "chunk_id", "source_path", "score"])
-
-    pairs = c.repartition(min(n_c, 4096), "cb").join(q, F.lit(True), "cross").repartition(min(n_c * n_q, 4096), "cb", "qb").select("q", "c")
-    return pairs.mapInArrow(product, "query_id string, chunk_id string, source_path string, score double")
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.array_distinct(terms(F.col("text"))).alias("tokens")).filter(F.size("tokens") > 0)
+    wanted = small_or_plain(asked.select(F.explode("tokens").alias("token")).distinct())
+    packed = weighted.join(wanted, "token", "left_semi").groupBy("chunk_id", "source_path").agg(F.collect_list(F.struct("token", "weight")).alias("posted"))  # a chunk's own terms
+    size = weighted.agg(F.approx_count_distinct("chunk_id")).head()[0]
+    n_q, n_c = block_counts(weighted, asked.count(), size, BM25_QUERIES, BM25_CHUNKS)
+    return in_blocks(asked, packed, n_q, n_c, lambda rows, qs: _product(rows, qs, k), "query_id string, chunk_id string, source_path string, score double")
 
 
 def bm25_scores_within(queries: DataFrame, weighted: DataFrame, scope: DataFrame) -> DataFrame:
@@ -150,50 +200,44 @@ def bm25_indexed(queries: DataFrame, weighted: DataFrame, k: int = TOP) -> DataF
 
 
 # vectors -----------------------------------------------------------------------------------------------------------
-def _blocks(df: DataFrame, key: str, vector: str, per_block: int, name: str) -> DataFrame:
-    """Rows packed into blocks of about per_block, by a hash of their key."""
-    n = max(1, math.ceil(df.count() / per_block))
-    packed = df.select(F.col(key).cast("string").alias("k"), F.col(vector).cast("array<float>").alias("v"))
-    return (
-        packed.groupBy(F.pmod(F.xxhash64("k"), F.lit(n)).alias(f"{name}_block"))
-        .agg(F.collect_list(F.struct("k", "v")).alias(name))
-        .repartition(min(n, 4096), f"{name}_block")
-    )
+def _similar(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """The k nearest rows of a block per query."""
+
+    def unit(t: pa.Table) -> np.ndarray:
+        v = t["embedding"].combine_chunks()
+        m = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    rows = rows.sort_by("chunk_id")
+    found = []
+    if rows.num_rows and queries.num_rows:
+        c, q = unit(rows), unit(queries)
+        step = max(1, BATCH_CELLS // len(c))
+        for lo in range(0, len(q), step):
+            r, at, score = best_cells(q[lo : lo + step] @ c.T, k)
+            found.append((r + lo, at, score))
+    r, at, score = (np.concatenate([x[i] for x in found]) if found else np.array([], t) for i, t in enumerate((np.int64, np.int64, np.float64)))
+    kept = rows.select(["chunk_id"] + [x for x in ("source_path",) if x in rows.column_names]).take(pa.array(at))
+    return pa.table({"query_id": queries["query_id"].take(pa.array(r)), **{x: kept[x] for x in kept.column_names}, "score": pa.array(score + 0.0)})
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = TOP, keep: Column | None = None) -> DataFrame:
     """Exhaustive cosine search, exact, in blocks: every block of queries meets every block of vectors once.
 
-    queries(query_id, embedding), vectors(chunk_id, embedding). A pair of blocks is one matrix product, of which the k best
-    per query leave the task; these are merged per query. Rows without a vector take no part; a vector of length 0 has
-    similarity 0.
+    queries(query_id, embedding), vectors(chunk_id, embedding and, if it shall be carried along, source_path). A pair of blocks
+    is one matrix product, of which the k best per query leave the task; these are merged per query. Rows without a vector take
+    no part; a vector of length 0 has similarity 0.
     """
     if k < 1:
         raise ValueError("top_k must be at least 1")
     v = vectors.filter(keep) if keep is not None else vectors
-    qb = _blocks(queries.filter("query_id is not null and embedding is not null"), "query_id", "embedding", QUERY_BLOCK, "q")
-    vb = _blocks(v.filter("chunk_id is not null and embedding is not null"), "chunk_id", "embedding", VECTOR_BLOCK, "c")
-
-    def unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        m = np.array([r["v"] for r in rows], dtype=np.float64)
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.array([r["k"] for r in rows], dtype=object), np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-    def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for q, c in zip(pdf["q"], pdf["c"]):
-                qk, qm = unit(list(q))
-                ck, cm = unit(list(c))
-                order = np.argsort(ck.astype(str), kind="stable")  # ids ascending, so that stable sorts break ties by id
-                ck, cm = ck[order], cm[order]
-                sims = np.round(qm @ cm.T, 6) + 0.0
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(qk)), best.shape[1])
-                yield pd.DataFrame({"query_id": qk[rows], "chunk_id": ck[best.ravel()], "score": sims[rows, best.ravel()]})
-
-    # a stated query set against all rows in blocks; the number of pairs is blocks times blocks
-    pairs = vb.join(qb, F.lit(True), "cross").select("q", "c").mapInPandas(product, "query_id string, chunk_id string, score double")
-    return top_k(pairs, k)
+    carried = [c for c in ("source_path",) if c in v.columns]
+    v = v.filter("chunk_id is not null and embedding is not null").select(F.col("chunk_id").cast("string").alias("chunk_id"), *carried, F.col("embedding").cast("array<float>").alias("embedding"))
+    q = queries.filter("query_id is not null and embedding is not null").select(F.col("query_id").cast("string").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    n_q, n_c = block_counts(v, q.count(), v.count(), QUERY_BLOCK, VECTOR_BLOCK)
+    schema = "query_id string, chunk_id string" + "".join(f", {c} string" for c in carried) + ", score double"
+    return top_k(in_blocks(q, v, n_q, n_c, lambda rows, qs: _similar(rows, qs, k), schema), k)
 
 
 # combinations --------------------------------------------------------------------------------------------------------
@@ -220,8 +264,16 @@ def hybrid(queries: DataFrame, chunks: DataFrame, embed, k: int = TOP, candidate
     """The semantic and the BM25 list of every query, fused."""
     if k > candidate_k:
         raise ValueError("top_k cannot exceed candidate_k")
-    found = nearest(queries.select("query_id", embed(F.col("text")).alias("embedding")), chunks.select("chunk_id", embed(F.col("text")).alias("embedding")), candidate_k)
-    return rrf([found.join(chunks.select("chunk_id", "source_path"), "chunk_id"), bm25(queries, chunks, candidate_k)], k).select("query_id", "rank", "chunk_id", "source_path", "score")
+    chunks = cut(chunks.select("chunk_id", "source_path", "text"))  # read by both retrievers
+    return hybrid_indexed(queries, chunks.select("chunk_id", "source_path", embed(F.col("text")).alias("embedding")), build_index(chunks), embed, k, candidate_k)
+
+
+def hybrid_indexed(queries: DataFrame, vectors: DataFrame, weighted: DataFrame, embed, k: int = TOP, candidate_k: int = CANDIDATES) -> DataFrame:
+    """As hybrid, over vectors(chunk_id, source_path, embedding) and an index made before."""
+    if k > candidate_k:
+        raise ValueError("top_k cannot exceed candidate_k")
+    found = nearest(queries.select("query_id", embed(F.col("text")).alias("embedding")), vectors, candidate_k)
+    return rrf([found, bm25_indexed(queries, weighted, candidate_k)], k).select("query_id", "rank", "chunk_id", "source_path", "score")
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = TOP, score=overlap_score) -> DataFrame:
@@ -242,6 +294,7 @@ def leading_sources(ranked: DataFrame, n: int) -> DataFrame:
 
 def scoped(first: DataFrame, queries: DataFrame, weighted: DataFrame, document_k: int = 3, k: int = TOP) -> DataFrame:
     """A second pass inside the leading documents of the first (a list of candidates); queries whose second pass is empty keep the first."""
+    first = cut(first.select("query_id", "chunk_id", "source_path", "score", "rank"))  # names the documents, and is kept where they give nothing
     second = top_k(bm25_scores_within(queries, weighted, leading_sources(first, document_k).select("query_id", "source_path")), k)
     second = second.select("query_id", "chunk_id", "source_path", "score", "rank")
     kept = first.filter(F.col("rank") <= k).join(second.select("query_id").distinct(), "query_id", "left_anti")
@@ -365,7 +418,7 @@ def multi_hop(questions: DataFrame, followups: DataFrame, rank, k: int = TOP, ca
     f = followups.alias("f").join(questions.alias("q"), "query_id").filter("f.text is not null and lower(trim(f.text)) <> lower(trim(q.text)) and trim(f.text) <> ''")
     f = f.select("query_id", F.col("f.text").alias("text"))
     every = with_subqueries(questions, f.withColumn("sub_no", F.lit(1)))
-    tagged = lists_of(every, rank(every.select("query_id", "text"), candidate_k))
+    tagged = cut(lists_of(every, rank(every.select("query_id", "text"), candidate_k)))  # read for the fused and for the single lists
     fused = rrf_tagged(tagged, k)
     alone = tagged.join(f.select("query_id"), "query_id", "left_anti").filter(F.col("rank") <= k)
     both = fused.join(f.select("query_id"), "query_id", "left_semi")
@@ -424,7 +477,7 @@ def retrieve(
     for stage, given in (("decompose", subqueries), ("multihop", followups)):
         if stage in stages and given is None:
             raise ValueError(f"{stage} needs its table of {'subqueries' if stage == 'decompose' else 'followups'}")
-    paths = chunks.select("chunk_id", "source_path")
+    chunks = cut(chunks)  # read by every stage
     made: list[DataFrame] = []
 
     def index() -> DataFrame:
@@ -439,7 +492,7 @@ def retrieve(
         vectors = chunks.select("chunk_id", "source_path", embed(F.col("text")).alias("embedding"))
         asked = q.select("query_id", embed(F.col("text")).alias("embedding"))
         if scope is None:
-            return nearest(asked, vectors.drop("source_path"), n).join(paths, "chunk_id")
+            return nearest(asked, vectors, n)
         inside = scope.join(vectors.withColumnRenamed("embedding", "_c"), "source_path").join(asked.withColumnRenamed("embedding", "_q"), "query_id")
         return top_k(inside.select("query_id", "chunk_id", "source_path", F.round(cosine(F.col("_q"), F.col("_c")), 6).alias("score")), n)
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioforge.functions.text import is_heading, paragraphs, sentences, terms
-from folioforge.functions.vectors import cosine, hashed_embedding
+from folioforge.functions.vectors import DIMENSIONS, cosine, hashed_embedding
 from folioforge.operators import agent, answers, chunking, evaluate, filters, ranking, sync
 from folioforge.operators.incremental import instant
 from folioforge.plans.reference_sql import SQL  # noqa: F401  read by __spark_entry__
 from folioforge.session import cut
+from folioforge.sources.store import stored_table
 from folioforge.sources.tables import spread, table
 
 CHUNK_SIZE = 500
@@ -23,6 +24,25 @@ def chunks(spark: SparkSession, d: str, keep: list[str] | None = None) -> DataFr
     return chunking.chunk_table(documents(spark, d), chunking.markdown_chunks(F.col("content"), CHUNK_SIZE), "markdown-aware-v1", keep)
 
 
+def _stored(spark: SparkSession, d: str, kind: str, build, **settings) -> DataFrame:
+    """What follows from the corpus: made by the first query that needs it, see stored_table."""
+    layout = {"strategy": "markdown-aware-v1", "chunk_size": CHUNK_SIZE, "version": 1} | settings
+    return stored_table(spark, kind, layout, [f"{d}/source_documents.parquet"], build)
+
+
+def stored_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _stored(spark, d, "chunks", lambda: chunks(spark, d, ["status"]))
+
+
+def stored_index(spark: SparkSession, d: str) -> DataFrame:
+    """The weighted postings, a chunk's own side by side."""
+    return _stored(spark, d, "postings", lambda: ranking.weighted_postings(stored_chunks(spark, d)).repartition("chunk_id").sortWithinPartitions("chunk_id"), k1=ranking.K1, b=ranking.B)
+
+
+def stored_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _stored(spark, d, "vectors", lambda: stored_chunks(spark, d).select("chunk_id", "source_path", hashed_embedding(F.col("text")).alias("embedding")), model="hashed", dimensions=DIMENSIONS)
+
+
 def questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "gold_questions").select(F.col("id").alias("query_id"), F.coalesce("question", F.lit("")).alias("text"))
 
@@ -124,12 +144,16 @@ def as_of_join(spark, d):
 
 # ranking ---------------------------------------------------------------------------------------------------------------
 def bm25_topk(spark, d):
-    return ranked_columns(ranking.bm25(questions(spark, d), chunks(spark, d)))
+    return ranked_columns(_keyword(spark, d, questions(spark, d)))
+
+
+def _keyword(spark, d, q, k=ranking.TOP):
+    return ranking.bm25_indexed(q, stored_index(spark, d), k)
 
 
 def bm25_filtered(spark, d):
-    c = chunks(spark, d, ["status"])
-    return ranked_columns(ranking.bm25(questions(spark, d), c, keep=filters.compile_filter({"status": {"$eq": "current"}})))
+    kept = stored_chunks(spark, d).filter(filters.compile_filter({"status": {"$eq": "current"}})).select("chunk_id")
+    return ranked_columns(ranking.bm25_indexed(questions(spark, d), stored_index(spark, d).join(kept, "chunk_id", "left_semi")))
 
 
 def _vectors(spark, d):
@@ -155,51 +179,44 @@ def cosine_pairs(spark, d):
 
 
 def semantic_topk(spark, d):
-    return ranked_columns(_semantic(spark, d, 5))
-
-
-def _semantic(spark, d, k):
-    c = chunks(spark, d)
     q = questions(spark, d).select("query_id", hashed_embedding(F.col("text")).alias("embedding"))
-    return ranking.nearest(q, c.select("chunk_id", hashed_embedding(F.col("text")).alias("embedding")), k).join(c.select("chunk_id", "source_path"), "chunk_id")
+    return ranked_columns(ranking.nearest(q, stored_vectors(spark, d).drop("source_path"), 5))
 
 
 def hybrid_rrf(spark, d):
-    lists = [_semantic(spark, d, ranking.CANDIDATES), ranking.bm25(questions(spark, d), chunks(spark, d), ranking.CANDIDATES)]
-    return ranked_columns(ranking.rrf(lists))
+    return ranked_columns(_hybrid(spark, d, questions(spark, d), 5))
 
 
 def rerank_overlap(spark, d):
-    q, c = questions(spark, d), chunks(spark, d)
-    return ranked_columns(ranking.rerank(ranking.bm25(q, c, ranking.CANDIDATES), q, c))
+    q = questions(spark, d)
+    return ranked_columns(ranking.rerank(_keyword(spark, d, q, ranking.CANDIDATES), q, stored_chunks(spark, d)))
 
 
 def rerank_hybrid(spark, d):
-    q, c = questions(spark, d), chunks(spark, d)
-    return ranked_columns(ranking.rerank(_hybrid(q, c), q, c))
+    q = questions(spark, d)
+    return ranked_columns(ranking.rerank(_hybrid(spark, d, q), q, stored_chunks(spark, d)))
 
 
-def _hybrid(q, c, k=ranking.CANDIDATES):
-    return ranking.hybrid(q, c, hashed_embedding, k)
+def _hybrid(spark, d, q, k=ranking.CANDIDATES):
+    return ranking.hybrid_indexed(q, stored_vectors(spark, d), stored_index(spark, d), hashed_embedding, k)
 
 
 def document_scoped(spark, d):
-    q, index = questions(spark, d), ranking.build_index(chunks(spark, d))
+    q, index = questions(spark, d), stored_index(spark, d)
     return ranked_columns(ranking.scoped(ranking.bm25_indexed(q, index, ranking.CANDIDATES), q, index))
 
 
 def neighbor_expand(spark, d):
-    c = chunks(spark, d)
-    r = ranking.neighbours(ranking.bm25(questions(spark, d), c), c, 1, 3)
-    return ranked_columns(r)
+    r = cut(_keyword(spark, d, questions(spark, d)))  # read for the places, the origins and what is there already
+    return ranked_columns(ranking.neighbours(r, stored_chunks(spark, d), 1, 3))
 
 
 def parent_documents(spark, d):
-    return ranked_columns(ranking.parents(ranking.bm25(questions(spark, d), chunks(spark, d)), documents(spark, d)))
+    return ranked_columns(ranking.parents(_keyword(spark, d, questions(spark, d)), documents(spark, d)))
 
 
 def parent_with_limit(spark, d):
-    return ranked_columns(ranking.parents(ranking.bm25(questions(spark, d), chunks(spark, d)), documents(spark, d), 1500))
+    return ranked_columns(ranking.parents(_keyword(spark, d, questions(spark, d)), documents(spark, d), 1500))
 
 
 def _responses(spark, d):
@@ -215,12 +232,12 @@ def parse_subqueries(spark, d):
 
 def _decomposed(spark, d):
     every = ranking.with_subqueries(questions(spark, d), ranking.parse_subqueries(_responses(spark, d)))
-    return ranking.lists_of(every, ranking.bm25(every.select("query_id", "text"), chunks(spark, d), ranking.CANDIDATES))
+    return ranking.lists_of(every, _keyword(spark, d, every.select("query_id", "text"), ranking.CANDIDATES))
 
 
 def _decomposed_hybrid(spark, d):
     every = ranking.with_subqueries(questions(spark, d), ranking.parse_subqueries(_responses(spark, d)))
-    return ranking.lists_of(every, _hybrid(every.select("query_id", "text"), chunks(spark, d)))
+    return ranking.lists_of(every, _hybrid(spark, d, every.select("query_id", "text")))
 
 
 def decompose_rrf(spark, d):
@@ -228,7 +245,7 @@ def decompose_rrf(spark, d):
 
 
 def decompose_coverage(spark, d):
-    tagged = _decomposed(spark, d)
+    tagged = cut(_decomposed(spark, d))  # read by the fusion and the coverage
     return ranked_columns(ranking.with_coverage(tagged, ranking.rrf_tagged(tagged), 1))
 
 
@@ -246,13 +263,11 @@ def _followups(spark, d):
 
 
 def multihop_rrf(spark, d):
-    c = chunks(spark, d)
-    return ranked_columns(ranking.multi_hop(questions(spark, d), _followups(spark, d), lambda q, k: ranking.bm25(q, c, k)))
+    return ranked_columns(ranking.multi_hop(questions(spark, d), _followups(spark, d), lambda q, k: _keyword(spark, d, q, k)))
 
 
 def multihop_hybrid_rrf(spark, d):
-    c = chunks(spark, d)
-    return ranked_columns(ranking.multi_hop(questions(spark, d), _followups(spark, d), lambda q, k: _hybrid(q, c, k)))
+    return ranked_columns(ranking.multi_hop(questions(spark, d), _followups(spark, d), lambda q, k: _hybrid(spark, d, q, k)))
 
 
 def _passages(spark, d, found, c):
@@ -263,13 +278,11 @@ def _passages(spark, d, found, c):
 
 def search_documents(spark, d):
     """Over the keyword list alone, as its SQL; search_documents_hybrid is the reference's tool."""
-    c = chunks(spark, d)
-    return _passages(spark, d, ranking.bm25(questions(spark, d), c, agent.clamp(3, 1, 20)), c)
+    return _passages(spark, d, _keyword(spark, d, questions(spark, d), agent.clamp(3, 1, 20)), stored_chunks(spark, d))
 
 
 def search_documents_hybrid(spark, d):
-    c = chunks(spark, d)
-    return _passages(spark, d, _hybrid(questions(spark, d), c, agent.clamp(3, 1, 20)), c)
+    return _passages(spark, d, _hybrid(spark, d, questions(spark, d), agent.clamp(3, 1, 20)), stored_chunks(spark, d))
 
 
 # evaluation ------------------------------------------------------------------------------------------------------------
@@ -312,8 +325,7 @@ def unanswered_questions(spark, d):
 
 
 def labeled_context(spark, d):
-    c = chunks(spark, d)
-    ranked = ranking.bm25(questions(spark, d), c).join(c.select("chunk_id", "text"), "chunk_id")
+    ranked = _keyword(spark, d, questions(spark, d)).join(stored_chunks(spark, d).select("chunk_id", "text"), "chunk_id")
     return answers.labelled_context(ranked)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ def build_session(app: str = "folioforge", master: str | None = None, **conf: ob
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # a checkpoint goes when nothing refers to it any more
     }
     for k, v in {**base, **conf}.items():
         b = b.config(k, str(v))
@@ -45,6 +45,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared_path(spark: SparkSession, *parts: str) -> str:
-    """A path below the shared folder for tables that the engine itself writes."""
-    return os.path.join(ensure_checkpoint_dir(spark), *parts)
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder itself, for tables that outlive a session where the cluster names one."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or ensure_checkpoint_dir(spark)

@@ -6,11 +6,17 @@ write leaves nothing visible. Rows carry a namespace, which is a partition colum
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from folioforge.session import shared_root
+
 #: Dimensions of a vector index unless told otherwise.
 DIMENSION = 768
 
@@ -80,3 +86,40 @@ class VectorTable:
         stored = self.read(namespace).withColumn("_there", F.lit(True))
         missing: Column = F.raise_error(F.concat(F.lit("no stored vector for "), "chunk_id")).cast("boolean")
         return ids.select("chunk_id").distinct().join(stored, "chunk_id", "left").filter(F.when(F.col("_there").isNull(), missing).otherwise(F.lit(True))).drop("_there")
+
+
+def input_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
+    """(path, length, time of change) of the files at or below the paths, in order."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    found = []
+    for path in paths:
+        p = hadoop.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.getFileStatus(p).isFile():
+            s = fs.getFileStatus(p)
+            found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+            continue
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            s = files.next()
+            found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return sorted(found)
+
+
+def stored_table(spark: SparkSession, kind: str, settings: dict, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that follows from files and settings alone: made once, kept in the shared folder, read by everybody after.
+
+    Its name is a digest of the kind, the settings and the files with their lengths and times of change, so that other files or
+    settings mean another table. It appears under its name when it is whole; of two writers at once the first one's counts.
+    """
+    name = hashlib.sha256(json.dumps([kind, settings, input_files(spark, inputs)], sort_keys=True).encode()).hexdigest()[:32]
+    root = f"{shared_root(spark)}/tables/{kind}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    final = hadoop.Path(f"{root}/{name}")
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(final):
+        aside = hadoop.Path(f"{root}/.{name}-{uuid.uuid4().hex}")  # hidden to readers, wherever a lost race may leave it
+        build().write.parquet(aside.toString())
+        if fs.exists(final) or not fs.rename(aside, final):
+            fs.delete(aside, True)
+    return spark.read.parquet(final.toString())

@@ -220,3 +220,22 @@ def test_stages_compose(spark):
             go(bad)
     with pytest.raises(ValueError):
         ranking.retrieve("hybrid-decomposed", q, c, d, hashed_embedding)
+
+
+def test_searches_are_equi_joins_in_blocks(spark):
+    c = chunk_table(spark, TEXTS)
+    q = queries(spark, q="form hotels", r="trains")
+    for df in (ranking.bm25(q, c), ranking.nearest(q.select("query_id", hashed_embedding(F.col("text")).alias("embedding")), c.select("chunk_id", hashed_embedding(F.col("text")).alias("embedding")))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("positive", [False, True])
+def test_best_cells(positive):
+    rnd = np.random.default_rng(4)
+    scores = rnd.integers(-2, 5, (20, 30)) / 2
+    for k in (1, 4, 30, 50):
+        r, c, s = ranking.best_cells(scores, k, positive)
+        got = sorted(zip(r.tolist(), (-s).tolist(), c.tolist()))
+        want = [(i, *x) for i in range(20) for x in sorted((-scores[i, j], j) for j in range(30) if not positive or scores[i, j] > 0)[:k]]
+        assert got == sorted(want)
