@@ -249,7 +249,7 @@ def _count(relabel: Model | None, whole: bool = False):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple[str, str], int] = {}
         for pdf in batches:
-            for lang, text in zip(pdf["label"], pdf["text"]):
+            for lang, text, times in zip(pdf["label"], pdf["text"], pdf["n"]):
                 units = [words(sentence) for sentence, _ in sentences(text)]
                 for found in [[w for u in units for w in u]] if whole else units:
                     if not is_prose(found):
@@ -261,7 +261,7 @@ def _count(relabel: Model | None, whole: bool = False):
                             continue
                         of = LANGS[int(p.argmax())]
                     for w in found:
-                        seen[(of, w)] = seen.get((of, w), 0) + 1
+                        seen[(of, w)] = seen.get((of, w), 0) + times
             if len(seen) > SEEN_WORDS:
                 yield table(seen)
                 seen.clear()
@@ -278,7 +278,8 @@ def _sample(rows: DataFrame, key: str, sample_rows: int) -> DataFrame:
 
 
 def _fit_round(labelled: DataFrame, model: Model | None, whole: bool = False) -> Model:
-    counts = labelled.select("label", "text").mapInPandas(_count(model, whole), "lang string, size int, gram string, n long")
+    times = F.col("n") if "n" in labelled.columns else F.lit(1).cast("long").alias("n")
+    counts = labelled.select("label", "text", times).mapInPandas(_count(model, whole), "lang string, size int, gram string, n long")
     summed = counts.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("lang", "size").orderBy(F.col("n").desc(), "gram")
     kept = summed.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= F.when(F.col("size") == 0, KEEP_WORDS).otherwise(KEEP_GRAMS))
@@ -295,7 +296,7 @@ def fit(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = 2) -
 
 
 def fit_unlabelled(texts: DataFrame, rounds: int = 2) -> Model:
-    """The model from all texts (column text) without labels.
+    """The model from all texts (columns text and, for texts that occur n times, n) without labels.
 
     Function words alone first tell whole texts apart, which is easy; the words of these then tell single sentences apart.
     """

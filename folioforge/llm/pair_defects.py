@@ -3,17 +3,19 @@
 Each pair gets at most one defect, tried in this order:
 
 ``empty``      nothing is said: no word or figure apart from citation labels and a bare lead-in.
-``copy``       only the question again. The answer is compressed with the question as a zstandard dictionary: what adds
-               nothing to the question takes a few bytes. Pairs below the bound are confirmed by comparing letters and figures.
+``copy``       only the question again. The answer is compressed with the question as a zstandard dictionary, and the
+               question with the answer: a copy adds no more to the question, and the question no more to it, than the
+               question adds to itself, give or take a few bytes. What brings a word or figure of its own is never a copy.
 ``refusal``    every sentence declines, reports that nothing is known or found, or sends the asker elsewhere, judged by a
                dictionary of such phrases in seven languages. One sentence or clause with content makes the answer sound.
 ``truncated``  the answer breaks off. Its end is looked at in context: open brackets, marks and abbreviations that
                demand a continuation, table rows and lists against their own beginning, announced points against those
                that follow, a last sentence without an end after others with one. For answers that are one unfinished
                fragment ("The finance desk") a terminal-context model decides: how often a fragment of this length
-               with these last words ends a statement in all answers, against how often it goes on.
+               with these last words ends a statement in all answers, against how often it goes on. Beyond a few words
+               the length no longer counts, only the last two words.
 ``language``   the answer is complete and no sentence of it is in the question's language, by the word-first language
-               model, which starts from function words and learns from a bounded sample of the pairs themselves; unless the
+               model, which starts from function words and learns from all pairs themselves; unless the
                question asks for the answer's language.
 
 Defined results: a null answer is empty; with a null or empty question there is neither copy nor language; a null trace id
@@ -33,16 +35,17 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from folioforge.llm import language
-from folioforge.operators.groups import small_or_plain
 from folioforge.session import cut
 
 DEFECTS = ("empty", "copy", "refusal", "truncated", "language")
-#: An answer may add so many bytes, and this share of its own length, to its question and still be a candidate for a copy.
-COPY_BYTES, COPY_SHARE = 32, 0.10
-#: A fragment counts as finished if at least this share of its contexts in all answers ended there.
-END_SHARE = 0.01
-#: Fragment contexts kept, most frequent first, and their length in words.
-KEEP_CONTEXTS, FRAGMENT_WORDS = 50_000, 6
+#: A copy may add so many bytes more to its question, and the question to it, than each adds to itself.
+COPY_SLACK = 8
+#: A fragment counts as finished if at least this share of its contexts in all answers ended there; a long one needs more.
+END_SHARE, LONG_SHARE = 0.01, 0.5
+#: Words (twice as many Chinese characters) up to which the length of a fragment belongs to its context.
+FRAGMENT_WORDS = 6
+#: Contexts that the terminal-context model may hold as one object; as a table it has no bound.
+KEEP_CONTEXTS = 50_000
 #: Posterior from which the answer's language is taken as told.
 SURE = 0.95
 
@@ -70,18 +73,23 @@ REFUSALS = {
         r"\bnone of the (?:\w+ )?(?:excerpts|passages|sources|documents|texts|materials)\b",
         r"\b(?:leaves? this open|rather not guess|not enough information|insufficient information|decline to answer|refuse to answer|can(?:no|')t help with|unknown to me|not known to me)\b",
         r"^(?:it is |this is |that is )?(?:not known|unknown|not stated|not specified|not in the (?:sources|documents|context))",
+        r"\b(?:nothing|nowhere)\b.*\b(?:cover|mention|say|state|address|answer|describe|explain|specif|touch|deal)",
+        r"\b(?:is|are|remains?|stays?) silent\b",
+        r"\b(?:outside|beyond) (?:of )?(?:the |my )?(?:scope|remit|reach|what (?:i|we))\b",
     ),
     "de": (
         r"\bnicht (?:\w+ )?(?:beantworten|sagen|finden|feststellen|ermitteln|beantwortet)",
         r"\bkeine (?:\w+ )?(?:angaben?|informationen?|antwort|auskunft|hinweise?)\b",
         r"\b(?:weiß|kenne) (?:ich )?(?:es |das |die antwort )?nicht\b|\bich weiß (?:es )?nicht",
         r"\bnicht (?:genügend|genug|ausreichend)\b.*\binformation",
+        r"\b(?:nichts|nirgends)\b.*\b(?:steht|erwähnt|gesagt|geregelt|zu finden)|\b(?:steht|findet sich|sagt|erwähnt)\b.*\bnichts\b|\bschweig(?:t|en)\b",
     ),
     "fr": (
         r"\bne (?:peux|puis|peut|pouvons) pas (?:\w+ )?(?:répondre|dire|trouver|déterminer|aider)",
         r"\bne perme(?:t|ttent) pas de (?:répondre|dire|déterminer)",
         r"\bne trouve(?:ns|nt)? pas\b.*\bréponse",
         r"\b(?:aucune (?:\w+ )?(?:information|réponse|mention|indication)|aucun renseignement)",
+        r"\b(?:ne (?:dit|disent|mentionne|mentionnent|précise|précisent)) rien\b|\brien (?:dans|n['’]est)\b.*\b(?:dit|indiqué|mentionné|précisé|sources?|documents?)|\b(?:reste|est|sont) muet",
         r"\b(?:je|nous) ne (?:le )?(?:sais|savons|connais) pas\b|\bpas (?:assez|suffisamment) d['’]informations?",
     ),
     "es": (
@@ -124,8 +132,16 @@ SOFTENERS = (
 #: No phrase above lacks all of these.
 CUES = (
     "not", "n't", "dont", "cant", "wont", "no ", "none", "nothing", "unable", "impossible", "decline", "refuse", "unknown", "insufficient", "guess", "lack", "fail", "open",
-    "nicht", "kein", "weiß", "pas", "aucun", "sé", "niet", "geen", "onvoldoende", "te weinig", "tidak", "tiada", "无", "不", "没", "未", "拒", "难",
+    "silent", "outside", "beyond", "nowhere", "nichts", "nirgends", "schweig", "rien", "muet", "nicht", "kein", "weiß", "pas", "aucun", "sé", "niet", "geen", "onvoldoende", "te weinig", "tidak", "tiada", "无", "不", "没", "未", "拒", "难",
 )
+#: How a line begins that only closes a letter.
+CLOSINGS = (
+    "regards", "best regards", "kind regards", "best", "best wishes", "sincerely", "yours sincerely", "yours faithfully", "mit freundlichen grüßen", "viele grüße", "freundliche grüße",
+    "cordialement", "bien à vous", "saludos", "un saludo", "atentamente", "met vriendelijke groet", "groeten", "salam hormat", "yang benar", "此致", "敬上",
+)
+_CLOSING = re.compile(r"(?:" + "|".join(sorted(CLOSINGS, key=len, reverse=True)) + r")\s*[,，!.]?(?:\s+\S+){0,3}$", re.I)
+#: The mark that by convention sets off a signature, and all that follows it.
+_SIGNATURE = re.compile(r"\n-- ?\n[^\n]*(?:\n[^\n]+)*\s*$")
 _REFUSAL = re.compile("|".join(f"(?:{p})" for v in REFUSALS.values() for p in v), re.I)
 _REDIRECT = re.compile(r"^\W*(?:" + "|".join(REDIRECTS) + r")", re.I)
 _BUT = re.compile(r"[;；]|[,，]?\s*\b(?:but|however|yet|aber|jedoch|mais|cependant|pero|sin embargo|maar|echter|tetapi|namun)\b|[，,]?(?:但是|但|不过)", re.I)
@@ -206,25 +222,29 @@ def added_bytes(question: str, answer: str) -> int:
     return len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(answer.encode("utf-8")))
 
 
+def _own_words(question: str, answer: str) -> bool:
+    """Whether the answer has a word, figure or Chinese character that its question lacks."""
+    units = lambda t: re.findall(r"[㐀-鿿]|[^\W_㐀-鿿]+", unicodedata.normalize("NFKC", t).casefold())
+    return not set(units(answer)) <= set(units(question))
+
+
 def is_copy(question: str | None, answer: str) -> bool:
     if not question:
         return False
-    q = _letters(question)
-    a = _letters(_LEAD.sub(" ", _LABEL.sub(" ", answer)))
+    rest = _LEAD.sub(" ", _LABEL.sub(" ", answer))
+    q, a = _letters(question), _letters(rest)
     if not q or not a:
         return False
-    size = len(a.encode("utf-8"))
-    if len(q) >= 8 and added_bytes(q, a) > COPY_BYTES + COPY_SHARE * size:
-        return False
-    short = _letters(_SENTENCE.split(question.strip())[0])
-    for base in (q, short):
-        if base and len(a) % len(base) == 0 and a == base * (len(a) // len(base)):
-            return True
+    first = _letters(_SENTENCE.split(question.strip())[0])
+    for base in dict.fromkeys(x for x in (q, first) if x):
+        itself = added_bytes(base, base)
+        if added_bytes(base, a) <= itself + COPY_SLACK and added_bytes(a, base) <= itself + COPY_SLACK:
+            return not _own_words(question, rest)
     return False
 
 
 def is_refusal(question: str | None, answer: str) -> bool:
-    text = _INVISIBLE.sub("", answer).replace("’", "'").replace("‘", "'")
+    text = _SIGNATURE.sub("", _INVISIBLE.sub("", answer).replace("’", "'").replace("‘", "'"))
     low = text.lower()
     if not any(cue in low for cue in CUES) or not _REFUSAL.search(text):
         return False
@@ -247,7 +267,7 @@ def is_refusal(question: str | None, answer: str) -> bool:
             continue
         if s.endswith(("?", "？")) or _REDIRECT.search(s) or bare.strip(" ,，.。:：!").lower() in SOFTENERS:
             continue
-        if re.match(r"^(?:--|service|regards|best)", s):
+        if _CLOSING.fullmatch(s):
             continue
         return False
     return refused
@@ -257,17 +277,24 @@ def _normal(word: str) -> str:
     return "#" if any(c.isdigit() for c in word) else word.lower()
 
 
+def _tokens(word: str) -> list[str]:
+    """A word's tokens, figures and codes told apart no further. Chinese has no spaces: its characters are tokens."""
+    parts = re.findall(r"[㐀-鿿]|[^㐀-鿿]+", word)
+    return [t for t in (_normal(p.strip("\"'“”*_.,;:!?()[]")) for p in parts) if t]
+
+
+def _context(tokens: list[str], chinese: bool) -> tuple[int, str]:
+    return min(len(tokens), (2 * FRAGMENT_WORDS if chinese else FRAGMENT_WORDS) + 1), " ".join(tokens[-2:])
+
+
 def fragment_context(fragment: str) -> tuple[int, str] | None:
-    """(length in words, last two words) of a fragment without figures and codes told apart; None beyond FRAGMENT_WORDS."""
-    tokens: list[str] = []
-    for raw in fragment.split():
-        # Chinese has no spaces: characters are tokens, and runs of figures one
-        parts = re.findall(r"[㐀-鿿]|[^㐀-鿿]+", raw)
-        tokens += [_normal(p.strip("\"'“”*_.,;:!?()[]")) for p in parts]
-    tokens = [t for t in tokens if t]
-    if not tokens or len(tokens) > 2 * FRAGMENT_WORDS or (len(tokens) > FRAGMENT_WORDS and not any(t >= "㐀" for t in tokens)):
-        return None
-    return len(tokens), " ".join(tokens[-2:])
+    """(length in words, last two words) of a fragment; all lengths beyond FRAGMENT_WORDS are one. None if it has no word."""
+    tokens = [t for word in fragment.split() for t in _tokens(word)]
+    return _context(tokens, any(t >= "㐀" for t in tokens)) if tokens else None
+
+
+def is_long(context: tuple[int, str]) -> bool:
+    return context[0] > (2 * FRAGMENT_WORDS if any(t >= "㐀" for t in context[1].split()) else FRAGMENT_WORDS)
 
 
 def statement_contexts(answer: str) -> Iterator[tuple[int, str, bool]]:
@@ -277,16 +304,16 @@ def statement_contexts(answer: str) -> Iterator[tuple[int, str, bool]]:
         words = _LABEL.sub(" ", s).strip().split()
         if not words or words[0][0] in "|-*#>":
             continue
-        spaced = not re.search(r"[㐀-鿿]", s)
-        if spaced:
-            for n in range(1, min(len(words), FRAGMENT_WORDS) + 1):
-                c = fragment_context(" ".join(words[:n]))
-                if c and (n < len(words) or ended):
-                    yield (*c, n == len(words))
-        elif ended:
-            c = fragment_context(" ".join(words).rstrip("。！？"))
+        if re.search(r"[㐀-鿿]", s):
+            c = fragment_context(" ".join(words).rstrip("。！？")) if ended else None
             if c:
                 yield (*c, True)
+            continue
+        tokens: list[str] = []
+        for n, word in enumerate(words, 1):
+            tokens += _tokens(word)
+            if tokens and (n < len(words) or ended):
+                yield (*_context(tokens, False), n == len(words))
 
 
 @dataclass
@@ -300,49 +327,54 @@ class EndModel:
         if c is None:
             return False
         end, all_ = self.counts(c)
-        return (end + 4 * self._likely(fragment)) / (all_ + 4) >= END_SHARE
+        return (end + 4 * prior(fragment)) / (all_ + 4) >= share_needed(c)
 
     def counts(self, context: tuple[int, str]) -> tuple[int, int]:
         return self.ends.get(context, (0, 0))
 
-    @staticmethod
-    def _likely(fragment: str) -> float:
-        """Prior for contexts never seen: a short nominal answer, not ending in a word that needs another."""
-        words = language.words(fragment)
-        if any(f" {words[-1]} " in f" {t} " for t in language.FUNCTION_WORDS.values()) if words else False:
-            return 0.0
-        if re.search(r"[㐀-鿿]", fragment):
-            return 0.9 if len(fragment) <= 24 else 0.0
-        if any(ch.isdigit() for ch in fragment):
-            return 0.9 if len(words) <= 2 else 0.0
-        return 0.5 if len(words) <= 3 and len(fragment.split()) == len(words) else 0.0
 
+def share_needed(context: tuple[int, str]) -> float:
+    return LONG_SHARE if is_long(context) else END_SHARE
 
-@dataclass
-class _Own(EndModel):
-    """The model of a single answer, whose context has been looked up."""
 
-    found: tuple[int, int] | None
-
-    def counts(self, context: tuple[int, str]) -> tuple[int, int]:
-        return self.found or (0, 0)
+def prior(fragment: str) -> float:
+    """For contexts never seen: how likely it is a short nominal answer, not ending in a word that needs another."""
+    words = language.words(fragment)
+    if any(f" {words[-1]} " in f" {t} " for t in language.FUNCTION_WORDS.values()) if words else False:
+        return 0.0
+    if re.search(r"[㐀-鿿]", fragment):
+        return 0.9 if len(fragment) <= 24 else 0.0
+    if any(ch.isdigit() for ch in fragment):
+        return 0.9 if len(words) <= 2 else 0.0
+    return 0.5 if len(words) <= 3 and len(fragment.split()) == len(words) else 0.0
 
 
 def _cells(row: str) -> int:
     return row.strip().strip("|").count("|") + 1
 
 
+def _open(line: str) -> bool:
+    """A bracket of the line is never closed."""
+    square, round_ = line.rfind("["), max(line.rfind("("), line.rfind("（"))
+    return square >= 0 and line.find("]", square) < 0 or round_ >= 0 and line.find(")", round_) < 0 and line.find("）", round_) < 0
+
+
 def is_truncated(answer: str, model: EndModel) -> bool:
+    found = truncation(answer)
+    return found if isinstance(found, bool) else not model.finished(found)
+
+
+def truncation(answer: str) -> bool | str:
+    """Whether the answer breaks off, or the fragment on whose end that depends."""
     text = _INVISIBLE.sub("", answer).rstrip()
-    text = re.sub(r"\n--\s*\n[^\n]{0,80}$", "", text).rstrip()
+    text = _SIGNATURE.sub("", text).rstrip()
     while text and unicodedata.category(text[-1]) in ("So", "Sk", "Cf", "Mn"):
         text = text[:-1].rstrip()
     if not text:
         return False
     lines = [x for x in text.split("\n") if x.strip()]
     last = lines[-1].strip()
-    tail = text[-200:]
-    if re.search(r"\[[^\]\n]*$|[(（][^)）\n]*$", tail):
+    if _open(text.rsplit("\n", 1)[-1]):
         return True
     if last.startswith("|"):
         rows = []
@@ -368,13 +400,13 @@ def is_truncated(answer: str, model: EndModel) -> bool:
             return False
         if others:
             return any(_TERMINAL.search(x.rstrip(_CLOSERS)) or x.endswith("]") for x in others)
-        return not model.finished(body)
+        return body
     rest = _SENTENCE.split(last)[-1]
     rest = re.split(r"(?<=\])\s*(?=\()", rest)[-1]
     if not language.words(rest) and (len(lines) > 1 or rest != last):
         return False  # what follows the last statement is a code or a figure
     started = rest != last or any(_TERMINAL.search(x.strip().rstrip(_CLOSERS)) for x in lines[:-1])
-    return True if started else not model.finished(_LABEL.sub(" ", last).strip(" >*_\"'“”"))
+    return True if started else _LABEL.sub(" ", last).strip(" >*_\"'“”")
 
 
 def _announced_short(text: str) -> bool:
@@ -417,20 +449,26 @@ def foreign(model: language.Model, questions: list[str | None], answers: list[st
     return out
 
 
-def defect_but_language(question: str | None, answer: str | None, ends: EndModel) -> str | None:
+def _first_look(question: str | None, answer: str | None) -> tuple[str | None, str | None]:
+    """(defect but truncation by its end and language, the fragment that the terminal-context model must judge)."""
     if is_empty(answer):
-        return "empty"
+        return "empty", None
     if is_copy(question, answer):
-        return "copy"
+        return "copy", None
     if is_refusal(question, answer):
-        return "refusal"
-    return "truncated" if is_truncated(answer, ends) else None
+        return "refusal", None
+    found = truncation(answer)
+    return ("truncated", None) if found is True else (None, found or None)
+
+
+def defect_but_language(question: str | None, answer: str | None, ends: EndModel) -> str | None:
+    defect, fragment = _first_look(question, answer)
+    return "truncated" if fragment is not None and not ends.finished(fragment) else defect
 
 
-def defects_of(questions: list[str | None], answers: list[str | None], ends: EndModel | list[EndModel], languages: language.Model) -> list[str | None]:
-    """The defect of each pair, or None. ``ends``: one model, or one per pair."""
-    each = ends if isinstance(ends, list) else [ends] * len(answers)
-    out = [defect_but_language(q, a, e) for q, a, e in zip(questions, answers, each)]
+def defects_of(questions: list[str | None], answers: list[str | None], ends: EndModel, languages: language.Model) -> list[str | None]:
+    """The defect of each pair, or None."""
+    out = [defect_but_language(q, a, ends) for q, a in zip(questions, answers)]
     rest = [i for i, d in enumerate(out) if d is None]
     for i, other in zip(rest, foreign(languages, [questions[i] for i in rest], [answers[i] for i in rest])):
         if other:
@@ -439,7 +477,7 @@ def defects_of(questions: list[str | None], answers: list[str | None], ends: End
 
 
 def end_counts(traces: DataFrame) -> DataFrame:
-    """words, tail, ends, seen: the terminal contexts of all answers, counted map-side; those with an end or seen often are kept."""
+    """words, tail, ends, seen: the terminal contexts of all answers, counted map-side."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[tuple[int, str], list[int]] = {}
@@ -459,7 +497,7 @@ def end_counts(traces: DataFrame) -> DataFrame:
         yield table()
 
     counted = traces.select("answer").filter("answer is not null").mapInPandas(work, "words int, tail string, ends long, seen long")
-    return counted.groupBy("words", "tail").agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen")).filter("ends > 0 or seen >= 50")
+    return counted.groupBy("words", "tail").agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen"))
 
 
 def fit_ends(traces: DataFrame) -> EndModel:
@@ -470,56 +508,45 @@ def fit_ends(traces: DataFrame) -> EndModel:
     return EndModel({(r["words"], r["tail"]): (r["ends"], r["seen"]) for r in rows})
 
 
-class _Asked(EndModel):
-    """Notes the context that a text is judged by; at most one is asked for."""
-
-    def finished(self, fragment: str) -> bool:
-        self.context = fragment_context(fragment)
-        return super().finished(fragment)
-
-
-def _with_ends(traces: DataFrame, table: DataFrame) -> DataFrame:
-    """Adds ends and seen of the context that each answer's end is judged by, null where none is."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            asked = []
-            for q, a in zip(pdf["question"], pdf["answer"]):
-                model = _Asked({})
-                model.context = None
-                defect_but_language(q, a, model)
-                asked.append(model.context or (None, None))
-            pdf["words"] = pd.Series([n for n, _ in asked], dtype="Int64", index=pdf.index)
-            pdf["tail"] = pd.Series([t for _, t in asked], dtype="object", index=pdf.index)
-            yield pdf
-
-    asked = cut(traces.mapInPandas(work, "trace_id long, question string, answer string, words int, tail string"))  # read for the contexts and the rows
-    none = asked.filter("tail is null").select("trace_id", "question", "answer", F.lit(None).cast("long").alias("ends"), F.lit(None).cast("long").alias("seen"))
-    known = small_or_plain(table.join(asked.filter("tail is not null").select("words", "tail").distinct(), ["words", "tail"]))
-    return asked.filter("tail is not null").join(known, ["words", "tail"], "left").select(*none.columns).unionByName(none)
-
-
 def find_defects(traces: DataFrame, ends: EndModel | DataFrame, languages: language.Model) -> DataFrame:
-    """trace_id and defect (null for sound pairs) of every pair. ``ends``: a model, or a table of end_counts of any size."""
+    """trace_id and defect (null for sound pairs) of every pair. ``ends``: a model, or a table of end_counts of any size.
+
+    One pass over the texts. What depends on a terminal context then meets the table of contexts in an equi-join.
+    """
     given = traces.select(F.col("trace_id").cast("long").alias("trace_id"), "question", "answer")
     table = isinstance(ends, DataFrame)
-    if table:
-        given = _with_ends(given, ends)
     bc = traces.sparkSession.sparkContext.broadcast((None if table else ends, languages))  # bounded by the models' own limits
+    schema = "trace_id long, defect string, words int, tail string, prior double, share double, foreign boolean"
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e, m = bc.value
         for big in batches:
             for at in range(0, len(big), 1000):
                 pdf = big.iloc[at : at + 1000]
-                by = e if e is not None else [_Own({}, None if pd.isna(n) else (int(n), int(s))) for n, s in zip(pdf["ends"], pdf["seen"])]
-                found = defects_of(list(pdf["question"]), list(pdf["answer"]), by, m)
-                yield pd.DataFrame({"trace_id": pdf["trace_id"].astype("Int64"), "defect": pd.Series(found, dtype="object", index=pdf.index)})
-
-    return given.mapInPandas(work, "trace_id long, defect string")
+                questions, answers = list(pdf["question"]), list(pdf["answer"])
+                looks = [_first_look(q, a) for q, a in zip(questions, answers)]
+                if e is not None:
+                    looks = [("truncated", None) if f is not None and not e.finished(f) else (d, None) for d, f in looks]
+                rest = [i for i, (d, _) in enumerate(looks) if d is None]
+                other = dict(zip(rest, foreign(m, [questions[i] for i in rest], [answers[i] for i in rest])))
+                rows = []
+                for i, (trace, (d, fragment)) in enumerate(zip(pdf["trace_id"], looks)):
+                    c = fragment_context(fragment) if fragment is not None else None
+                    if fragment is not None and c is None:
+                        d = "truncated"
+                    rows.append((trace, d, *(c or (None, None)), *((prior(fragment), share_needed(c)) if c else (None, None)), other.get(i, False)))
+                yield pd.DataFrame(rows, columns=["trace_id", "defect", "words", "tail", "prior", "share", "foreign"]).astype({"trace_id": "Int64", "words": "Int32"})
+
+    looked = given.mapInPandas(work, schema)
+    if table:
+        looked = looked.join(ends, ["words", "tail"], "left")  # pairs that ask for no context have null there and stay as they are
+        finished = (F.coalesce("ends", F.lit(0)) + 4 * F.col("prior")) / (F.coalesce("seen", F.lit(0)) + 4) >= F.col("share")
+        looked = looked.withColumn("defect", F.when(F.col("defect").isNull() & F.col("tail").isNotNull() & ~finished, "truncated").otherwise(F.col("defect")))
+    return looked.select("trace_id", F.coalesce("defect", F.when(F.col("foreign"), "language")).alias("defect"))
 
 
 def fit_languages(traces: DataFrame) -> language.Model:
-    """The language model from all pairs themselves, starting from function words."""
+    """The language model from all pairs themselves, starting from function words. A line that occurs often is read once and counts as often."""
     both = F.array(F.concat_ws("\n", "question", "answer"), "context_sent_to_model")
-    return language.fit_unlabelled(traces.select(F.explode(both).alias("text")))
+    lines = traces.select(F.explode(both).alias("text")).select(F.explode(F.split("text", "\n")).alias("text")).filter("text rlike '\\\\S'")
+    return language.fit_unlabelled(cut(lines.groupBy("text").agg(F.count(F.lit(1)).alias("n"))))

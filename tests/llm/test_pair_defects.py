@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioforge.llm import language, pair_defects as P
 from tests.conftest import rows
@@ -121,3 +123,48 @@ def test_rare_contexts_are_not_dropped(spark, models, monkeypatch):
     assert len(got) == len(data) and got[200] is None and got[201] == got[202] == "empty" and got[203] == "truncated"
     with pytest.raises(ValueError):
         P.fit_ends(t)
+
+
+NEAR_COPIES = ["Who signs the form, before the next visit -- who?", "who - signs - the form? before the next visit?", "Signs the form before the next visit?", f"{Q} Who signs the form before the visit?"]
+
+
+@pytest.mark.parametrize("answer", NEAR_COPIES)
+def test_the_dictionary_decides_copies(models, answer, monkeypatch):
+    assert defect(models, answer) == "copy"
+    monkeypatch.setattr(P, "added_bytes", lambda question, text: 10**6 if question != text else 0)
+    assert defect(models, answer) != "copy"
+
+
+@pytest.mark.parametrize("answer", [f"{Q} Yes [S1].", "The next visit [S1]", "Before the visit", "Who signs the form before the next visit, Mr Arden does [S1].", "The form signs who next, the visit before."])
+def test_no_copies(models, answer):
+    assert defect(models, answer) != "copy"
+
+
+#: Phrasings that were not looked at when the dictionary was written, or only as these examples.
+HELD_OUT = [
+    "Sorry, nothing in the handbook covers this.", "The handbook is silent on this point.", "That's outside the scope of what I was given.", "Nothing in these excerpts addresses the question.",
+    "Hierzu steht in den Unterlagen nichts.", "Les documents ne disent rien à ce sujet.", "This is beyond the scope of the documents.\n\nKind regards",
+]
+
+
+@pytest.mark.parametrize("answer", HELD_OUT)
+def test_refusals_in_other_words(models, answer):
+    assert defect(models, answer) == "refusal"
+
+
+def test_nothing_is_cut_off(models):
+    """Texts beyond what were limits once: a far open bracket, a long signature, a long fragment whose words end statements."""
+    assert defect(models, "The manager signs it (see " + "the note of the office " * 40) == "truncated"
+    assert defect(models, "The manager signs it [S1].\n\n-- \n" + "desk " * 60) is None
+    long = "The head of the regional finance desk in Berlin"
+    counted = dict(models[0].ends)
+    assert P.is_truncated(long, P.EndModel(counted))
+    counted[P.fragment_context(long)] = (40, 41)
+    assert not P.is_truncated(long, P.EndModel(counted)) and P.fragment_context(long) == P.fragment_context("x " * 30 + "in Berlin")
+
+
+def test_lines_that_occur_often_count_as_often(spark):
+    one = spark.createDataFrame([("the office keeps the form in the desk", 3), ("das Büro und der Bericht ist nicht da", 1)], "text string, n long")
+    many = one.select(F.explode(F.array_repeat("text", F.col("n").cast("int"))).alias("text"))
+    a, b = language.fit_unlabelled(one), language.fit_unlabelled(many)
+    assert set(a.words) == set(b.words) and all(np.allclose(a.words[w], b.words[w]) for w in a.words)
