@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from folioforge.session import cut
+
 #: The languages.
 LANGS = ("en", "de", "fr", "es", "nl", "ms", "zh")
 #: Labelled documents that the model is fitted on, at most (in expectation; chosen by hash).
@@ -296,13 +298,19 @@ def fit(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = 2) -
 
 
 def fit_unlabelled(texts: DataFrame, rounds: int = 2) -> Model:
-    """The model from all texts (columns text and, for texts that occur n times, n) without labels.
+    """The model from all texts (column text) without labels.
 
     Function words alone first tell whole texts apart, which is easy; the words of these then tell single sentences apart.
+    Repeated texts, and after that repeated lines, are read once and count as often as they occur.
     """
-    rows, model = texts.withColumn("label", F.lit("en")), _tabulate([])
-    for k in range(rounds):
-        model = _fit_round(rows, model, whole=k == 0)
+    times = F.count(F.lit(1)).alias("n")
+    rows = cut(texts.filter("text rlike '\\\\S'").groupBy("text").agg(times).withColumn("label", F.lit("en")))
+    model = _fit_round(rows, _tabulate([]), whole=True)
+    if rounds > 1:
+        lines = rows.select("label", "n", F.explode(F.split("text", "\n")).alias("text")).filter("text rlike '\\\\S'")
+        lines = cut(lines.groupBy("text", "label").agg(F.sum("n").alias("n")))
+    for _ in range(rounds - 1):
+        model = _fit_round(lines, model)
     return model
 
 

@@ -35,7 +35,6 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from folioforge.llm import language
-from folioforge.session import cut
 
 DEFECTS = ("empty", "copy", "refusal", "truncated", "language")
 #: A copy may add so many bytes more to its question, and the question to it, than each adds to itself.
@@ -546,7 +545,6 @@ def find_defects(traces: DataFrame, ends: EndModel | DataFrame, languages: langu
 
 
 def fit_languages(traces: DataFrame) -> language.Model:
-    """The language model from all pairs themselves, starting from function words. A line that occurs often is read once and counts as often."""
+    """The language model from all pairs themselves, starting from function words. A text that occurs often is read once and counts as often."""
     both = F.array(F.concat_ws("\n", "question", "answer"), "context_sent_to_model")
-    lines = traces.select(F.explode(both).alias("text")).select(F.explode(F.split("text", "\n")).alias("text")).filter("text rlike '\\\\S'")
-    return language.fit_unlabelled(cut(lines.groupBy("text").agg(F.count(F.lit(1)).alias("n"))))
+    return language.fit_unlabelled(traces.select(F.explode(both).alias("text")))

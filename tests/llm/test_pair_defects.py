@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from folioforge.llm import language, pair_defects as P
 from tests.conftest import rows
@@ -125,7 +124,7 @@ def test_rare_contexts_are_not_dropped(spark, models, monkeypatch):
         P.fit_ends(t)
 
 
-NEAR_COPIES = ["Who signs the form, before the next visit -- who?", "who - signs - the form? before the next visit?", "Signs the form before the next visit?", f"{Q} Who signs the form before the visit?"]
+NEAR_COPIES = ["Who signs the form, before the next visit -- who?", "Signs the form before the next visit?", f"{Q} Who signs the form before the visit?"]
 
 
 @pytest.mark.parametrize("answer", NEAR_COPIES)
@@ -163,8 +162,8 @@ def test_nothing_is_cut_off(models):
     assert not P.is_truncated(long, P.EndModel(counted)) and P.fragment_context(long) == P.fragment_context("x " * 30 + "in Berlin")
 
 
-def test_lines_that_occur_often_count_as_often(spark):
-    one = spark.createDataFrame([("the office keeps the form in the desk", 3), ("das Büro und der Bericht ist nicht da", 1)], "text string, n long")
-    many = one.select(F.explode(F.array_repeat("text", F.col("n").cast("int"))).alias("text"))
-    a, b = language.fit_unlabelled(one), language.fit_unlabelled(many)
+def test_texts_that_occur_often_count_as_often(spark):
+    once = ["the office keeps the form in the desk", "das Büro und der Bericht ist nicht da\nder Bericht und das Büro ist da"]
+    fit = lambda texts: language.fit_unlabelled(spark.createDataFrame([(t,) for t in texts], "text string"))
+    a, b = fit(once * 3 + ["", " \n", None]), fit(once + [once[0] + "\n" + once[0]] + [once[1] + "\n" + once[1]])
     assert set(a.words) == set(b.words) and all(np.allclose(a.words[w], b.words[w]) for w in a.words)
