@@ -77,3 +77,17 @@ def test_agreement(spark):
 def test_empty(spark):
     items, matrices = consensus.fit(consensus.votes_of(frame(spark, [])))
     assert items.count() == 0 and matrices.count() == 0 and consensus.agreement(consensus.votes_of(frame(spark, []))).count() == 0
+
+
+def test_many_annotators_as_a_table_give_the_same(spark, monkeypatch):
+    _, data = planted(5, 120)
+    data += [(9000 + i, i % 30, f"once{i:03d}", i % 3 == 0, i % 2 == 0, None, None, T) for i in range(60)]
+    votes = consensus.votes_of(frame(spark, data))
+    results = []
+    for most in (5000, 3):
+        monkeypatch.setattr(consensus, "MOST_ANNOTATORS", most)
+        items, matrices = consensus.fit(votes)
+        results.append(({(r["item"], r.label): r.posterior for r in items.collect()}, {(r.label, r.annotator): (r.sensitivity, r.specificity) for r in matrices.collect()}))
+    (a, m), (b, n) = results
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
+    assert m.keys() == n.keys() and all(m[k] == pytest.approx(n[k], abs=1e-9) for k in m)
