@@ -8,8 +8,7 @@ is an unseen word and backs off to its characters.
 The model is fitted in two rounds on a bounded sample of labelled documents (``SAMPLE_ROWS``, chosen by a hash of the
 document id): first with the labels as they are, which may be wrong, then with the language that the first model gives to
 every single sentence. Fixed function words of each language are pseudo-counts, so that a language that the labels hardly
-name is still known. The counts of the sample are cut to the most frequent words and n-grams, and that bounded table is
-what is broadcast.
+name is still known. The counts of the sample are what is broadcast.
 
 Prose is what remains without front matter, headings, table rows, code blocks, list marks, quoted titles, codes and
 figures. The main language is that of most of the prose, measured in letters (a Han character counts as three). A segment
@@ -38,7 +37,8 @@ from folioforge.session import cut
 LANGS = ("en", "de", "fr", "es", "nl", "ms", "zh")
 #: Labelled documents that the model is fitted on, at most (in expectation; chosen by hash).
 SAMPLE_ROWS = 8_000
-#: Words and n-grams kept per language.
+#: Size of a model that is fitted on all texts, whose words have no other bound: words and n-grams per language. Words beyond it are
+#: unseen words, n-grams beyond it are passed over for shorter ones. A model fitted on SAMPLE_ROWS documents is not cut.
 KEEP_WORDS, KEEP_GRAMS = 20_000, 8_000
 SIZES = (4, 3, 2, 1)
 #: Distinct words that a task counts before it hands them on.
@@ -73,7 +73,10 @@ LATIN = "A-Za-zªºÀ-ÖØ-öø-ɏ\u0300-\u036fḀ-ỿﬀ-ﬆ"
 #: Han runs, and Latin words that are no part of a code such as KT-294/2 or HSE-LK-152-X.
 _WORD = re.compile(rf"[{HAN}]+|(?<![{LATIN}])(?<!\d[-/])[{LATIN}]++(?:['’][{LATIN}]+)*+(?![-_/]?[A-Za-z]*[-_/]?\d)")
 _QUOTES = re.compile(r"[“„«《「『‹\"]")
-_QUOTED = re.compile(r"[“„«《「『‹\"][^“”„«»《》「」『』‹›\"\n。]{1,90}[”“»》」』›\"]")
+#: A quoted title, of any length; what ends like a sentence inside its quotes is prose.
+_QUOTED = re.compile(r"[“„«《「『‹\"][^“”„«»《》「」『』‹›\"\n。]*[^“”„«»《》「」『』‹›\"\n。.!?！？][”“»》」』›\"]")
+#: A line of front matter: a key, a list item, something indented, a comment or nothing.
+_FRONT = re.compile(r"\s*$|\s+\S|[\w.\-]+(?: [\w.\-]+)*\s*:|-\s|#")
 _MARK = re.compile(r"^(?:\s|[>\-*+•·–—]+(?=\s)|>+|\(?\d{1,3}[.)](?=\s)|\*\*|__)+")
 _END = re.compile(r"(?<=[.!?…])[\"”»’')\]*_]*\s+|(?<=[。！？])[”」』）)]*\s*")
 _WHOLE = re.compile(r"[.!?。！？][\"”»’')\]*_」』）\s]*$")
@@ -100,8 +103,8 @@ def sentences(text: str | None) -> list[tuple[str, bool]]:
     lines = _LINES.split(text)
     first = next(i for i, x in enumerate(lines) if x and not x.isspace()) if any(x and not x.isspace() for x in lines) else 0
     if lines[first].strip() == "---":  # front matter
-        end = next((i for i in range(first + 1, min(len(lines), first + 200)) if lines[i].strip() == "---"), first)
-        lines = lines[end + 1 :]
+        end = next((i for i in range(first + 1, len(lines)) if lines[i].strip() == "---" or not _FRONT.match(lines[i])), first)
+        lines = lines[(end if end < len(lines) and lines[end].strip() == "---" else first) + 1 :]
     out: list[tuple[str, bool]] = []
     fenced = False
     for line in lines:
@@ -279,13 +282,15 @@ def _sample(rows: DataFrame, key: str, sample_rows: int) -> DataFrame:
     return rows if n <= sample_rows else rows.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
 
 
-def _fit_round(labelled: DataFrame, model: Model | None, whole: bool = False) -> Model:
+def _fit_round(labelled: DataFrame, model: Model | None, whole: bool = False, kept: tuple[int, int] | None = None) -> Model:
+    """``kept``: words and n-grams per language and size at most; without it all counts of the bounded sample."""
     times = F.col("n") if "n" in labelled.columns else F.lit(1).cast("long").alias("n")
     counts = labelled.select("label", "text", times).mapInPandas(_count(model, whole), "lang string, size int, gram string, n long")
     summed = counts.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("lang", "size").orderBy(F.col("n").desc(), "gram")
-    kept = summed.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= F.when(F.col("size") == 0, KEEP_WORDS).otherwise(KEEP_GRAMS))
-    return _tabulate([(r["lang"], r["size"], r["gram"], float(r["n"])) for r in kept.collect()])  # at most languages * (KEEP_WORDS + 4 * KEEP_GRAMS)
+    if kept:
+        w = Window.partitionBy("lang", "size").orderBy(F.col("n").desc(), "gram")
+        summed = summed.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= F.when(F.col("size") == 0, kept[0]).otherwise(kept[1]))
+    return _tabulate([(r["lang"], r["size"], r["gram"], float(r["n"])) for r in summed.collect()])  # bounded by ``kept`` or by the sample
 
 
 def fit(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = 2) -> Model:
@@ -305,12 +310,13 @@ def fit_unlabelled(texts: DataFrame, rounds: int = 2) -> Model:
     """
     times = F.count(F.lit(1)).alias("n")
     rows = cut(texts.filter("text rlike '\\\\S'").groupBy("text").agg(times).withColumn("label", F.lit("en")))
-    model = _fit_round(rows, _tabulate([]), whole=True)
+    kept = (KEEP_WORDS, KEEP_GRAMS)
+    model = _fit_round(rows, _tabulate([]), True, kept)
     if rounds > 1:
         lines = rows.select("label", "n", F.explode(F.split("text", "\n")).alias("text")).filter("text rlike '\\\\S'")
         lines = cut(lines.groupBy("text", "label").agg(F.sum("n").alias("n")))
     for _ in range(rounds - 1):
-        model = _fit_round(lines, model)
+        model = _fit_round(lines, model, False, kept)
     return model
 
 
@@ -345,7 +351,7 @@ def main_language(parts: list[tuple[str, float, int, bool, str]]) -> tuple[str |
 
 def classify(documents: DataFrame, model: Model) -> DataFrame:
     """Per document: doc_id, label (code or null), main, confidence and its segments (no, lang, confidence, letters, sentences, whole)."""
-    bc = documents.sparkSession.sparkContext.broadcast(model)  # bounded by KEEP_WORDS and KEEP_GRAMS
+    bc = documents.sparkSession.sparkContext.broadcast(model)  # bounded by its sample
     schema = "doc_id long, label string, main string, confidence double, segments array<struct<no:int,lang:string,confidence:double,letters:int,sentences:int,whole:boolean>>"
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

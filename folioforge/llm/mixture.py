@@ -8,9 +8,9 @@ seeded choice of texts once more, whose tokens do not exceed the remaining fract
 added without exceeding it.
 
 The choice orders a source's texts by a seeded hash and takes each that still fits. The hash of the first that does not is
-found by radix: the tokens per leading 12 bits of the hash are summed (map-side first, at most 4096 rows per source reach
-the driver), then per next 12 bits inside the bin in which the sum is reached, and so on; no source's rows are ever sorted
-or gathered. From there on the same is done with the texts no longer than what remains, until none of them is left.
+found by radix: the tokens per leading 12 bits of the hash are summed (map-side first, at most 4096 bins per source), then
+per next 12 bits inside the bin in which the sum is reached, and so on; no source's rows are ever sorted or gathered, and one
+row per source reaches the driver. From there on the same is done with the texts no longer than what remains, until none of them is left.
 
 Defined results
 * source names are compared in lower case, without surrounding white space and with "_" read as "-"; texts of a source that
@@ -25,6 +25,7 @@ Defined results
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from folioforge.llm.encoding import token_counts
 from folioforge.operators.groups import BROADCAST_ROWS, small_or_plain
@@ -67,7 +68,8 @@ def _targets(mix_targets: DataFrame) -> dict[str, tuple[float, int]]:
 
 def sized_documents(documents: DataFrame, targets: dict[str, tuple[float, int]], seed: int, path: str | None) -> DataFrame:
     """doc_id, source, tokens, h, size: the texts of listed sources with their tokens, seeded hash and the tokens of all texts of that hash, checkpointed once for all passes."""
-    d = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text").filter(F.col("source").isin(sorted(targets)))
+    listed = documents.sparkSession.createDataFrame([(s,) for s in sorted(targets)], "source string")
+    d = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text").join(F.broadcast(listed), "source", "left_semi")  # targets are checked
     sized = token_counts(d, "text", ["doc_id", "source"], path=path)
     sized = cut(sized.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 64 - DIGITS * LEVELS)))
     shared = sized.groupBy("source", "h").agg(F.sum("tokens").alias("all"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -79,31 +81,35 @@ def _limits(sized: DataFrame, start: dict[str, int], want: dict[str, float]) ->
     """Per source, among its texts from hash start on that are no longer than the wanted amount: the hash below which their
     tokens add up to at most that amount, what is then left of it, and whether a text was in the way."""
     spark, below, left = sized.sparkSession, dict.fromkeys(want, 0), dict(want)
-    stopped = dict.fromkeys(want, False)
+    stopped, settled = dict.fromkeys(want, False), set()
     for level in range(LEVELS):
         shift = DIGITS * (LEVELS - 1 - level)
-        prefix = spark.createDataFrame([(s, below[s] >> (shift + DIGITS), start[s], float(want[s])) for s in want], "source string, prefix long, start long, want double")
+        open_ = [s for s in want if not level or stopped[s] and s not in settled]  # else all that is there fits
+        if not open_:
+            break
+        prefix = spark.createDataFrame([(s, below[s] >> (shift + DIGITS), start[s], float(want[s]), float(left[s])) for s in open_], "source string, prefix long, start long, want double, left double")
         digit = F.shiftright("h", shift)
         bins = (
             sized.filter("tokens > 0").join(F.broadcast(prefix), "source")  # one row per listed source
             .filter((F.shiftright("h", shift + DIGITS) == F.col("prefix")) & (F.col("h") >= F.col("start")) & (F.col("size") <= F.col("want")))
-            .groupBy("source", digit.alias("bin")).agg(F.sum("tokens").alias("t"))
+            .groupBy("source", "left", digit.alias("bin")).agg(F.sum("tokens").alias("t"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         )
-        filled: dict[str, list] = {}
-        for r in bins.collect():  # at most 4096 rows per listed source
-            filled.setdefault(r["source"], []).append((r["bin"], r["t"]))
-        for s in want:
-            if level and not stopped[s]:
-                continue  # all that is there fits
-            at, stop = below[s] >> shift, None
-            for b, t in sorted(filled.get(s, [])):
-                if t > left[s]:
-                    stop = b
-                    break
-                left[s] -= t
-                at = b + 1
-            stopped[s] = stop is not None
-            below[s] = (stop if stop is not None else 1 << DIGITS if level == 0 else at) << shift
+        upto = F.sum("t").over(Window.partitionBy("source").orderBy("bin"))  # at most 4096 bins
+        ends = bins.withColumn("upto", upto).groupBy("source").agg(
+            F.min(F.when(F.col("upto") > F.col("left"), F.struct("bin", "lo", "hi"))).alias("stop"), F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto"))).alias("used"), F.max("bin").alias("last")
+        )
+        found = {r["source"]: r for r in ends.collect()}  # one row per listed source
+        for s in open_:
+            r = found.get(s)
+            stopped[s] = r is not None and r["stop"] is not None
+            left[s] -= (r["used"] or 0) if r is not None else 0
+            if stopped[s]:
+                below[s] = r["stop"]["bin"] << shift
+                if r["stop"]["lo"] == r["stop"]["hi"]:  # a single hash is left: it is the one that does not fit
+                    below[s] = r["stop"]["lo"]
+                    settled.add(s)
+            else:
+                below[s] = (1 << DIGITS if level == 0 else r["last"] + 1 if r is not None else below[s] >> shift) << shift
     return {s: (below[s], left[s], stopped[s]) for s in want}
 
 

@@ -92,3 +92,13 @@ def test_held_out_accuracy(spark):
 def test_sampling_bound(spark):
     rows_ = spark.range(20_000).select(F.col("id").alias("doc_id"))
     assert 800 < language._sample(rows_, "doc_id", 1000).count() < 1200
+
+
+def test_titles_and_front_matter_of_any_length():
+    title = "The long title of the handbook on the keeping of forms in the office of the finance desk and of all its branches"
+    said = [s for s, _ in language.sentences(f"Das Heft „{title}“ liegt im Büro. “The office keeps the form.” he said.")]
+    assert not any("long title" in s for s in said) and any("keeps the form" in s for s in said)
+    front = "---\n" + "".join(f"key_{i}: the value of it\n" for i in range(500)) + "---\nDas Büro behält den Bericht.\n"
+    assert [s for s, _ in language.sentences(front)] == ["Das Büro behält den Bericht."]
+    rule = "---\nThe office keeps the form.\n---\nThe desk signs it.\n"
+    assert len(language.sentences(rule)) == 2
