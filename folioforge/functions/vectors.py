@@ -85,6 +85,24 @@ def model_pair_score(make: callable, batch: int = 8):
     return score
 
 
+def model_completion(make: callable):
+    """A column function (system prompt, user prompt) to struct<text, error> around a chat model; a call that fails gives its error and no text."""
+
+    @F.pandas_udf("text string, error string")
+    def complete(prompts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        model: ChatModel = make()
+        for system, user in prompts:
+            out = []
+            for s, u in zip(system, user):
+                try:
+                    out.append((model.complete(system_prompt=s, user_prompt=u), None) if u is not None else (None, None))
+                except Exception as e:  # noqa: BLE001  any failure belongs to its row
+                    out.append((None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["text", "error"], index=system.index, dtype="object")
+
+    return complete
+
+
 def overlap_score(question: Column, text: Column) -> Column:
     """Share of the question's distinct terms that the text holds: the stand-in for a cross-encoder."""
     q = F.array_distinct(terms(question))

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from folioforge.functions.text import terms
 from folioforge.functions.vectors import cosine, overlap_score
+from folioforge.operators.answers import ordered_text
 from folioforge.operators.groups import small_or_plain
 from folioforge.session import cut
 
@@ -348,6 +349,14 @@ def parents(ranked: DataFrame, documents: DataFrame, max_characters: int | None
     )
 
 
+def with_parent_text(ranked: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The result of ``parents`` with the text of each row: the document's where it stands for the whole document, else the chunk's."""
+    d = documents.select("source_path", F.col("content").alias("_d"))
+    c = chunks.select("chunk_id", F.col("text").alias("_c"))
+    whole = F.col("expanded_from").isNotNull() & (F.col("chunk_id") == F.col("source_path"))
+    return ranked.join(d, "source_path", "left").join(c, "chunk_id", "left").withColumn("text", F.when(whole, F.col("_d")).otherwise(F.col("_c"))).drop("_d", "_c")
+
+
 def parse_subqueries(responses: DataFrame, limit: int = 3) -> DataFrame:
     """query_id, sub_no, text: the usable lines of a model's response(query_id, question, response).
 
@@ -425,6 +434,34 @@ def multi_hop(questions: DataFrame, followups: DataFrame, rank, k: int = TOP, ca
     return both.select("query_id", "rank", "chunk_id", "source_path", "score").unionByName(alone.select("query_id", "rank", "chunk_id", "source_path", "score"))
 
 
+def followups_from(first: DataFrame, questions: DataFrame, chunks: DataFrame, generate: Callable[[Column, Column], Column], evidence_k: int = 5) -> DataFrame:
+    """query_id, text: what a model would ask next, from each question's best evidence_k passages of the first pass.
+
+    ``generate`` maps question and evidence to a response, of which the first usable line is taken; questions without one, or
+    for which it is the question itself, have no row.
+    """
+    if evidence_k < 1:
+        raise ValueError("evidence_k must be at least 1")
+    best = first.filter(F.col("rank") <= evidence_k).select("query_id", "rank", "chunk_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+    part = F.concat(F.lit("[Evidence "), F.col("rank").cast("string"), F.lit("]\n"), F.coalesce("text", F.lit("")))
+    evidence = best.groupBy("query_id").agg(ordered_text(F.col("rank"), part).alias("evidence"))  # evidence_k passages
+    asked = evidence.join(questions.select("query_id", F.col("text").alias("question")), "query_id")
+    said = asked.select("query_id", "question", generate(F.col("question"), F.col("evidence")).alias("response")).filter("response is not null")
+    return parse_subqueries(said, 1).select("query_id", "text")
+
+
+def multi_hop_from_evidence(questions: DataFrame, chunks: DataFrame, rank, generate: Callable[[Column, Column], Column], k: int = TOP, candidate_k: int = CANDIDATES, evidence_k: int = 5) -> DataFrame:
+    """multi_hop whose follow-ups are made from the first pass; that pass is run once."""
+    if k > candidate_k:
+        raise ValueError("top_k cannot exceed candidate_k")
+    columns = ("query_id", "rank", "chunk_id", "source_path", "score")
+    first = cut(rank(questions, candidate_k).select(*columns))  # evidence, first list of the fusion, and kept where nothing follows
+    f = cut(followups_from(first, questions, chunks, generate, evidence_k))
+    second = rank(f, candidate_k).select(*columns)
+    fused = rrf([first.join(f.select("query_id"), "query_id", "left_semi"), second], k).select(*columns)
+    return fused.unionByName(first.filter(F.col("rank") <= k).join(f.select("query_id"), "query_id", "left_anti"))
+
+
 #: The retrieval strategies by name: which stages run, in this order.
 STRATEGIES = {
     "keyword": ("keyword",),
@@ -464,12 +501,13 @@ def stages_of(strategy: str | tuple[str, ...]) -> tuple[str, ...]:
 def retrieve(
     strategy: str | tuple[str, ...], queries: DataFrame, chunks: DataFrame, documents: DataFrame, embed, k: int = TOP, candidate_k: int = CANDIDATES, *,
     subqueries: DataFrame | None = None, followups: DataFrame | None = None, coverage_per_query: int = 0, document_k: int = 3, score=overlap_score,
-    max_characters: int | None = None, window: int = 1, source_k: int | None = None,
+    max_characters: int | None = None, window: int = 1, source_k: int | None = None, keep: Column | None = None,
 ) -> DataFrame:
     """A strategy, by name or as its stages, over questions(query_id, text) and one chunk table. ``embed`` maps a text column to vectors.
 
     subqueries(query_id, sub_no, text) and followups(query_id, text) are what models made of the questions. Every stage wraps
     the ones before it: a second pass, be it of a follow-up or inside the leading documents, runs through all of them again.
+    ``keep`` (a condition on the chunk table) restricts the results of every retriever in every pass, never the statistics.
     """
     stages = stages_of(strategy)
     if k > candidate_k:
@@ -478,18 +516,20 @@ def retrieve(
         if stage in stages and given is None:
             raise ValueError(f"{stage} needs its table of {'subqueries' if stage == 'decompose' else 'followups'}")
     chunks = cut(chunks)  # read by every stage
+    searched = chunks if keep is None else chunks.filter(keep)
     made: list[DataFrame] = []
 
     def index() -> DataFrame:
         if not made:
-            made.append(build_index(chunks))
+            whole = build_index(chunks)
+            made.append(whole if keep is None else whole.join(searched.select("chunk_id"), "chunk_id", "left_semi"))
         return made[0]
 
     def keyword(q: DataFrame, n: int, scope: DataFrame | None) -> DataFrame:
         return bm25_indexed(q, index(), n) if scope is None else top_k(bm25_scores_within(q, index(), scope), n)
 
     def semantic(q: DataFrame, n: int, scope: DataFrame | None) -> DataFrame:
-        vectors = chunks.select("chunk_id", "source_path", embed(F.col("text")).alias("embedding"))
+        vectors = searched.select("chunk_id", "source_path", embed(F.col("text")).alias("embedding"))
         asked = q.select("query_id", embed(F.col("text")).alias("embedding"))
         if scope is None:
             return nearest(asked, vectors, n)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from folioforge.session import cut
+
 #: Kinds of action in order of precedence.
 KINDS = ("new", "content", "metadata", "unchanged", "deleted")
 
@@ -65,3 +69,34 @@ def new_manifest(documents: DataFrame, actions: DataFrame, manifest: DataFrame,
         "source_path", "document_id", "version", "content_sha256", "metadata_sha256",
         F.coalesce(F.when(same, F.col("old_ids")).otherwise(F.col("new_ids")), F.array().cast("array<string>")).alias("chunk_ids"), F.when(same, F.col("old_at")).otherwise(now).alias("indexed_at"),
     )
+
+
+def build_index(documents: DataFrame, chunks: DataFrame, embed, store, namespace: str = "default") -> tuple[int, int]:
+    """Embed and store every chunk under its id; returns the numbers of documents and chunks. Repeating it gives the same table.
+
+    ``store`` is a VectorTable or has its ``upsert``; it appears whole or not at all.
+    """
+    chunks = cut(chunks)
+    store.upsert(chunks.withColumn("embedding", embed(F.col("text"))), namespace)
+    return documents.count(), chunks.count()
+
+
+def synchronize(documents: DataFrame, manifest: DataFrame, chunks: DataFrame, embed, store, save_manifest: Callable[[DataFrame], None], now: Column, namespace: str = "default", config_changed: bool = False, dry_run: bool = False) -> DataFrame:
+    """Bring the stored table in step with the documents and then save the manifest; returns the plan in order of path.
+
+    New and changed contents are embedded, metadata is rewritten beside the stored vectors, what is gone or stale is deleted: one
+    new version of the table. The manifest is saved last, so that a run that fails before is repeated in full by the next one.
+    A dry run only plans.
+    """
+    actions = cut(plan(documents, manifest, config_changed)).orderBy("source_path")
+    if dry_run:
+        return actions
+    work = actions.filter("kind <> 'unchanged'")
+    chunks = cut(chunks)
+    moved = work.filter("kind in ('metadata')").join(chunks, "source_path").select("chunk_id")
+    stored = store.fetch(moved, namespace).select("chunk_id", "source_path", "embedding")
+    rows = apply_plan(work, stored, chunks, embed).filter("kind <> 'deleted'")
+    old = manifest.join(work.select("source_path"), "source_path", "left_semi")
+    store.replace(rows.select("chunk_id", "source_path", "chunk_index", "text", "embedding"), stale_chunks(old, chunks), namespace)
+    save_manifest(new_manifest(documents, actions, manifest, chunks, now))
+    return actions

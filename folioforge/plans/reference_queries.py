@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioforge.functions.text import is_heading, paragraphs, sentences, terms
 from folioforge.functions.vectors import DIMENSIONS, cosine, hashed_embedding
-from folioforge.operators import agent, answers, chunking, evaluate, filters, ranking, sync
+from folioforge.operators import agent, answers, chunking, evaluate, filters, ranking, runs, sync
 from folioforge.operators.incremental import instant
 from folioforge.plans.reference_sql import SQL  # noqa: F401  read by __spark_entry__
 from folioforge.session import cut
@@ -270,6 +270,22 @@ def multihop_hybrid_rrf(spark, d):
     return ranked_columns(ranking.multi_hop(questions(spark, d), _followups(spark, d), lambda q, k: _hybrid(spark, d, q, k)))
 
 
+def _first_line(question, evidence):
+    """What a model may ask next: the first line of the best passage. A stand-in for the follow-up model."""
+    return F.regexp_extract(evidence, r"\A\[Evidence 1\]\n([^\n]*)", 1)
+
+
+def multihop_evidence_rrf(spark, d):
+    """The follow-up is made from the best passages of the first pass."""
+    return ranked_columns(ranking.multi_hop_from_evidence(questions(spark, d), stored_chunks(spark, d), lambda q, k: _keyword(spark, d, q, k), _first_line))
+
+
+def scoped_hybrid_filtered(spark, d):
+    """Both passes of the document-scoped hybrid strategy, over current versions only."""
+    keep = filters.compile_filter({"status": {"$eq": "current"}})
+    return ranked_columns(ranking.retrieve("scoped", questions(spark, d), stored_chunks(spark, d), documents(spark, d), hashed_embedding, keep=keep))
+
+
 def _passages(spark, d, found, c):
     docs = table(spark, d, "source_documents").select("source_path", "doc_id", "version", "status", F.col("metadata")["department"].alias("department"))
     found = found.join(c.select("chunk_id", "text"), "chunk_id").join(docs, "source_path", "left")
@@ -344,6 +360,43 @@ def answer_summary(spark, d):
     return s.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
 
 
+def evaluate_retrieval(spark, d):
+    """Every question through the keyword retriever, with its metrics."""
+    metrics = runs.evaluate_retrieval(table(spark, d, "gold_questions"), _keyword(spark, d, questions(spark, d)))[1]
+    cols = [F.round(c, 9).alias(c) for c in ("precision_at_k", "recall_at_k", "reciprocal_rank", "ndcg_at_k")]
+    return metrics.select("question_id", F.size("retrieved_chunks").cast("long").alias("n_chunks"), *cols)
+
+
+def _answering(system, user):
+    """A stand-in for the answering model: it cites, forgets to cite, cites what it was not given, or fails."""
+    n = F.length(user)
+    text = F.when(n % 7 == 0, "No label.").when(n % 7 == 1, "From [S9].").otherwise(F.concat(F.lit("The passages [S2] [S1] have "), n.cast("string"), F.lit(" characters.")))
+    failed = n % 7 == 2
+    return F.struct(F.when(~failed, text).alias("text"), F.when(failed, "TimeoutError: no response").alias("error"))
+
+
+def answer_runs(spark, d):
+    """Every question answered over its best passages, errors in their rows."""
+    ranked = _keyword(spark, d, questions(spark, d), 3).join(stored_chunks(spark, d).select("chunk_id", "text"), "chunk_id")
+    t = runs.answer_questions(questions(spark, d), ranked, _answering, config={"retriever": "keyword"})
+    return t.select("question_id", "answer", "error", F.array_join("cited_chunk_ids", ",").alias("cited"), F.sha2(F.coalesce("context_sent_to_model", F.lit("")), 256).alias("context_sha256"))
+
+
+def _judging(system, user):
+    """A stand-in for the judging model: verdicts by the prompt's length, sometimes no JSON, sometimes a failure."""
+    n = F.length(user)
+    flag = lambda k: F.when(n % k == 0, "true").otherwise("false")
+    text = F.concat(F.lit('{"correct": '), flag(2), F.lit(', "citation_supported": '), flag(3), F.lit(', "used_correct_version": '), flag(5), F.lit(', "proper_refusal": '), flag(7), F.lit(', "reason": "by length"}'))
+    failed = n % 11 == 1
+    return F.struct(F.when(~failed, F.when(n % 11 == 0, "I cannot judge this.").otherwise(text)).alias("text"), F.when(failed, "TimeoutError: no response").alias("error"))
+
+
+def rejudge(spark, d):
+    """Saved traces judged again, over the questions that they cover."""
+    verdicts, _ = runs.rejudge(table(spark, d, "gold_questions"), table(spark, d, "run_traces"), _judging)
+    return verdicts.select("trace_id", *answers.VERDICTS, "error", "failure_stage")
+
+
 def _judge_responses(spark, d):
     """Responses as a judging model may write them, from stored verdicts: prose around JSON, strings for booleans, no reason."""
     j = table(spark, d, "answer_judgements")
@@ -523,7 +576,7 @@ QUERIES = {
         tokenize_terms, term_frequency, document_frequency, corpus_stats, fixed_chunks, sentence_split, paragraph_blocks, markdown_chunks, chunk_offsets, semantic_units,
         semantic_chunks, index_metadata, filter_current, filter_exact_version, filter_as_of, filter_or_scope, as_of_join, bm25_topk, bm25_filtered, knn_cosine_topk, knn_filtered,
         cosine_pairs, semantic_topk, hybrid_rrf, rerank_overlap, rerank_hybrid, document_scoped, neighbor_expand, parent_documents, parent_with_limit, parse_subqueries, decompose_rrf,
-        decompose_coverage, decompose_hybrid_rrf, decompose_hybrid_coverage, multihop_rrf, multihop_hybrid_rrf, search_documents, search_documents_hybrid, retrieval_metrics, retrieval_summary, first_relevant_rank, concept_scorecard, scorecard_report, unanswered_questions,
+        decompose_coverage, decompose_hybrid_rrf, decompose_hybrid_coverage, multihop_rrf, multihop_hybrid_rrf, multihop_evidence_rrf, scoped_hybrid_filtered, evaluate_retrieval, answer_runs, rejudge, search_documents, search_documents_hybrid, retrieval_metrics, retrieval_summary, first_relevant_rank, concept_scorecard, scorecard_report, unanswered_questions,
         labeled_context, citation_validation, answer_metrics, answer_summary, judge_parse, judge_decisions, judgement_summary, judge_prompts, judge_agreement, judge_disagreements,
         run_comparison, changed_verdicts, mcnemar, content_hash, sync_plan, sync_plan_stored, sync_stale_chunks, sync_apply, sync_apply_vectors, sync_manifest, agent_tool_calls, agent_first_sighting,
         agent_strip_tool_use, list_versions, read_document_truncate,

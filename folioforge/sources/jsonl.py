@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: A manifest of more entries is no single document.
+MANIFEST_ROWS = 200_000
+
 QUESTION = (
     "id string, question string, expected_answer string, source_files array<string>, concept string, difficulty string, "
     "answerable boolean, distractor_files array<string>, note string"
@@ -60,8 +65,14 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str,
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return None
     m = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    config = m.select("index_config").head()[0]
-    return m.select(F.explode("documents").alias("d")).select("d.*"), config
+    head = m.select("schema_version", "index_config").head()
+    if head is None or head[0] is None:
+        raise ValueError(f"{path} is no manifest: it has no schema_version")
+    required = ("source_path", "content_sha256", "metadata_sha256", "chunk_ids", "indexed_at")
+    lacking = F.array_join(F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in required))), ", ")
+    entries = m.select(F.explode("documents").alias("d")).select("d.*")
+    path_ = F.when(lacking != "", F.raise_error(F.concat(F.lit("manifest entry without "), lacking)).cast("string")).otherwise(F.col("source_path"))
+    return entries.withColumn("source_path", path_), head[1]
 
 
 def write_manifest(entries: DataFrame, path: str, index_config: dict[str, str], schema_version: int = 1) -> None:
@@ -70,5 +81,30 @@ def write_manifest(entries: DataFrame, path: str, index_config: dict[str, str],
     entries.withColumn("schema_version", F.lit(schema_version)).withColumn("index_config", config).sort("source_path").write.mode("overwrite").parquet(path)
 
 
+def write_manifest_json(entries: DataFrame, path: str, index_config: dict[str, str], schema_version: int = 1) -> None:
+    """The manifest as the one JSON document that read_manifest reads, sorted by path; it replaces the old one in one step.
+
+    One document is one row, so more than MANIFEST_ROWS entries are an error: a manifest of that size is a table.
+    """
+    spark = entries.sparkSession
+    if entries.limit(MANIFEST_ROWS + 1).count() > MANIFEST_ROWS:
+        raise ValueError(f"more than {MANIFEST_ROWS} entries: use write_manifest")
+    columns = ("source_path", "document_id", "version", "content_sha256", "metadata_sha256", "chunk_ids", "indexed_at")
+    config = F.create_map(*[F.lit(x) for kv in sorted(index_config.items()) for x in kv]) if index_config else F.lit(None).cast("map<string,string>")
+    documents = F.array_sort(F.collect_list(F.struct(*columns))).alias("documents")
+    text = entries.agg(documents).select(F.to_json(F.struct(F.lit(schema_version).alias("schema_version"), config.alias("index_config"), "documents"), {"ignoreNullFields": "false"}))
+    text = text.head()[0]  # bounded by MANIFEST_ROWS
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    final, aside = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(aside, False)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    option = hadoop.Options.Rename
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, final, options)
+
+
 def read_manifest_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

@@ -69,14 +69,27 @@ class VectorTable:
         rows = self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/v-{self._version():08d}")
         return rows if namespace is None else rows.filter(F.col("namespace") == namespace)
 
+    def _checked(self, rows: DataFrame, namespace: str) -> DataFrame:
+        """The rows in the table's form; of several rows of a chunk the one with the least text counts."""
+        bad = F.raise_error(F.lit(f"vectors must have {self.dimension} dimensions")).cast("array<double>")
+        given = rows.withColumn("embedding", F.when(F.size("embedding") == self.dimension, F.col("embedding").cast("array<double>")).otherwise(bad))
+        kept = F.struct("text", "source_path", F.col("chunk_index").cast("int").alias("chunk_index"), "embedding")
+        one = given.groupBy("chunk_id").agg(F.min(kept).alias("r"))
+        return one.select("chunk_id", "r.source_path", "r.chunk_index", "r.text", "r.embedding").withColumn("namespace", F.lit(namespace)).select(*self.read().columns)
+
     def upsert(self, rows: DataFrame, namespace: str = "default") -> None:
         """Rows replace those of the same chunk in the namespace. A vector of another dimension is an error."""
-        bad = F.raise_error(F.lit(f"vectors must have {self.dimension} dimensions")).cast("array<double>")
-        new = rows.withColumn("embedding", F.when(F.size("embedding") == self.dimension, F.col("embedding").cast("array<double>")).otherwise(bad)).withColumn("namespace", F.lit(namespace))
-        new = new.dropDuplicates(["chunk_id"]).select(*self.read().columns)
+        new = self._checked(rows, namespace)
         old = self.read().join(new.select("chunk_id", "namespace"), ["chunk_id", "namespace"], "left_anti")
         self._write(old.select(*new.columns).unionByName(new))
 
+    def replace(self, rows: DataFrame, gone: DataFrame, namespace: str = "default") -> None:
+        """Upsert rows and delete gone(chunk_id) in one new version; a chunk in both stays."""
+        new = self._checked(rows, namespace)
+        out = new.select("chunk_id").unionByName(gone.select("chunk_id")).distinct().withColumn("namespace", F.lit(namespace))
+        old = self.read().join(out, ["chunk_id", "namespace"], "left_anti")
+        self._write(old.select(*new.columns).unionByName(new))
+
     def delete(self, ids: DataFrame, namespace: str = "default") -> None:
         gone = ids.select("chunk_id").withColumn("namespace", F.lit(namespace))
         self._write(self.read().join(gone, ["chunk_id", "namespace"], "left_anti").select(*self.read().columns))
