@@ -15,8 +15,15 @@ TERM = r"[a-z0-9]+(?:[-_][a-z0-9]+)*"
 SENTENCE_GAP = rf"([.!?]){WS}+([A-Z0-9*#])"
 LABEL_CITATION = r"\[S(\d+)\]"
 CHUNK_CITATION = r"\[([^\[\]\s]+\.md:\d+)\]"
-#: Separator for splitting after marking; no text contains it meaningfully.
-MARK = "\x01"
+#: Separator for splitting after marking. In the text itself it is followed by ESCAPE while it is split, which no marked place is.
+MARK, ESCAPE = "\x01", "\x02"
+
+
+def _split_marked(c: Column, pattern: str, marked: str) -> Column:
+    """The text split where the replacement ``marked`` puts a MARK; one that the text has is kept."""
+    safe = F.replace(c, F.lit(MARK), F.lit(MARK + ESCAPE))
+    parts = F.split(F.regexp_replace(safe, pattern, marked), f"{MARK}(?!{ESCAPE})", -1)
+    return F.transform(parts, lambda p: F.replace(p, F.lit(MARK + ESCAPE), F.lit(MARK)))
 
 
 def strip(c: Column) -> Column:
@@ -39,7 +46,7 @@ def paragraphs(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Pieces between an end mark and a capital, figure, asterisk or number sign."""
-    return not_blank(F.split(F.regexp_replace(c, SENTENCE_GAP, f"$1{MARK}$2"), MARK, -1))
+    return not_blank(_split_marked(c, SENTENCE_GAP, f"$1{MARK}$2"))
 
 
 def is_heading(c: Column) -> Column:
@@ -49,7 +56,7 @@ def is_heading(c: Column) -> Column:
 
 def sections(c: Column) -> Column:
     """What precedes the first heading, then each heading with what follows it, unstripped."""
-    return F.split(F.regexp_replace(c, rf"(?md)^({HEADING})$", f"{MARK}$1"), MARK, -1)
+    return _split_marked(c, rf"(?md)^({HEADING})$", f"{MARK}$1")
 
 
 def heading_blocks(c: Column) -> Column:

@@ -25,18 +25,17 @@ Defined results
 
 from __future__ import annotations
 
-import json
 import time
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
 from folioforge.operators.groups import small_or_plain
+from folioforge.sources.claims import Claims
 
 #: A lease of the replay lasts until so many runs later.
 LEASE_RUNS = 1
@@ -173,82 +172,23 @@ class Lease:
     expires: float
 
 
-class WorkLedger:
+class WorkLedger(Claims):
     """Units of work of numbered runs in a shared folder.
 
     Below ``root/run=R`` lie ``units.json``, ``items.json`` (where the run's items were laid down) and per unit the slots
-    ``unit=U/000001.json`` and on: leases with their expiry, and at last the done record.
-
-    The folder must be on a file system on which a complete file can be made to appear only if there is none of its name: by a
-    hard link (``file``) or by a rename that refuses to overwrite (``hdfs``, ``viewfs``, ``ofs``). Object stores do not offer
-    either through their usual connectors; there ``claim(path, content)`` must be given, say as a conditional put.
+    ``unit=U/000001.json`` and on: leases with their expiry, and at last the done record. See Claims for what the folder needs.
     """
 
-    RENAMES = ("hdfs", "viewfs", "ofs")
-
     def __init__(self, spark: SparkSession, root: str, lease_seconds: float = 600, clock: Callable[[], float] = time.time, claim: Callable[[str, bytes], bool] | None = None, sleep: Callable[[float], None] = time.sleep):
-        self.spark, self.root, self.lease_seconds, self.clock, self.claim, self.sleep = spark, root, lease_seconds, clock, claim, sleep
-        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        self._path = self._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(root).getFileSystem(self._conf)
-        self._scheme = self._fs.getUri().getScheme()
-        if claim is None and self._scheme != "file" and self._scheme not in self.RENAMES:
-            raise ValueError(f"{self._scheme} has no atomic create; give claim(path, content)")
+        super().__init__(spark, root, claim)
+        self.lease_seconds, self.clock, self.sleep = lease_seconds, clock, sleep
 
     # files ------------------------------------------------------------------------------------------------------
     def _dir(self, run: int, unit: int | None = None) -> str:
         return f"{self.root}/run={run:06d}" + ("" if unit is None else f"/unit={unit:06d}")
 
-    def _aside(self, path: str, content: bytes) -> str:
-        """The whole file under a name that nobody reads."""
-        aside = f"{path}.{uuid.uuid4().hex}.tmp"
-        out = self._fs.create(self._path(aside), False)
-        out.write(bytearray(content))
-        out.close()
-        return aside
-
-    def _appear(self, aside: str, path: str) -> bool:
-        """Give the file its name in one step; False if the name is taken."""
-        try:
-            if self._scheme == "file":
-                file = lambda p: self._jvm.java.io.File(self._path(p).toUri().getPath()).toPath()
-                self._jvm.java.nio.file.Files.createLink(file(path), file(aside))
-            else:
-                option = self._jvm.org.apache.hadoop.fs.Options.Rename
-                options = self.spark.sparkContext._gateway.new_array(option, 1)
-                options[0] = option.NONE
-                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(self._path(aside), self._path(path), options)
-        except Py4JJavaError as e:
-            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
-                return False
-            raise
-        return True
-
-    def _create(self, path: str, what: dict) -> bool:
-        """A small file that appears whole; False if there is one. Whatever step fails, the name is free or holds all of it."""
-        content = json.dumps(what).encode()
-        if self.claim is not None:
-            return self.claim(path, content)
-        if self._fs.exists(self._path(path)):
-            return False
-        aside = self._aside(path, content)
-        done = self._appear(aside, path)
-        self._fs.delete(self._path(aside), False)
-        return done
-
-    def _read(self, path: str) -> dict:
-        stream = self._fs.open(self._path(path))
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
     def _slots(self, run: int, unit: int) -> int:
-        p = self._path(self._dir(run, unit))
-        if not self._fs.exists(p):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(p)]
-        return max((int(n[:6]) for n in names if n.endswith(".json") and n[:6].isdigit()), default=0)
+        return max((int(n[:6]) for n in self._names(self._dir(run, unit)) if n.endswith(".json") and n[:6].isdigit()), default=0)
 
     def _slot(self, run: int, unit: int, n: int) -> str:
         return f"{self._dir(run, unit)}/{n:06d}.json"

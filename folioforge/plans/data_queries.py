@@ -65,4 +65,16 @@ st AS (SELECT run_no, source_path, arg_max(st, (ts, delivery, entry_id)) AS now
 pv AS (SELECT run_no, source_path, arg_max(st, (ts, delivery, entry_id)) AS before FROM rows_ JOIN runs ON delivery <= prev GROUP BY 1, 2)
 SELECT CAST(st.run_no AS BIGINT) AS run_no, st.source_path FROM st LEFT JOIN pv ON st.run_no = pv.run_no AND st.source_path = pv.source_path
 WHERE before IS NULL OR before <> now""",
+    "p5_work_items": r"""
+WITH r AS (SELECT run_no, row_number() OVER (ORDER BY run_no) AS pos, coalesce(lower(trim(status)) = 'succeeded', false) AS ok, max(last_delivery) OVER (ORDER BY run_no) AS upto
+           FROM sync_runs WHERE run_no IS NOT NULL AND last_delivery IS NOT NULL),
+r2 AS (SELECT *, coalesce(lag(upto) OVER (ORDER BY run_no), -2147483648) AS seen, max(pos) OVER () AS last_pos,
+       min(CASE WHEN ok THEN run_no END) OVER w AS nok, min(CASE WHEN ok THEN pos END) OVER w AS npos FROM r WINDOW w AS (ORDER BY run_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+e AS (SELECT source_path, (CAST(trim(indexed_at) AS TIMESTAMPTZ), delivery, entry_id) AS k, run_no, pos, nok, npos, last_pos,
+      coalesce(lower(trim(content_sha256)), '~') || '/' || coalesce(lower(trim(metadata_sha256)), '~') AS st FROM manifest_entries JOIN r2 ON delivery > seen AND delivery <= upto WHERE source_path IS NOT NULL),
+i AS (SELECT source_path, nok, min(run_no) AS enqueued_run, coalesce(max(npos), max(last_pos)) - min(pos) + 1 AS attempts, arg_max(st, k) AS st, max(k) AS k FROM e GROUP BY 1, 2),
+w AS (SELECT *, arg_max(st, k) OVER (PARTITION BY source_path ORDER BY coalesce(nok, 2147483647) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS now,
+      arg_max(st, k) OVER (PARTITION BY source_path ORDER BY coalesce(nok, 2147483647) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i)
+SELECT source_path, CAST(enqueued_run AS BIGINT) AS enqueued_run, CAST(attempts AS BIGINT) AS attempts, CAST(nok AS BIGINT) AS token, CASE WHEN nok IS NULL THEN 'pending' ELSE 'done' END AS status,
+  before IS NULL OR before <> now AS needs_work FROM w""",
 }

@@ -336,8 +336,9 @@ def scorecard_report(spark, d):
 
 
 def unanswered_questions(spark, d):
-    g, t = table(spark, d, "gold_questions").select(F.col("id").alias("question_id")), table(spark, d, "run_traces").select("question_id")
-    return g.join(t, "question_id", "left_anti")
+    """Questions that no trace answered, without an error, from more than its first passage."""
+    g, t = table(spark, d, "gold_questions").select(F.col("id").alias("question_id")), table(spark, d, "run_traces")
+    return g.join(t.filter("error is null and contains(answer, '[S2]')").select("question_id"), "question_id", "left_anti")
 
 
 def labeled_context(spark, d):
@@ -559,7 +560,9 @@ def agent_first_sighting(spark, d):
 
 def agent_strip_tool_use(spark, d):
     h = _histories(spark, d).select("trace_id", F.size("messages").alias("n"), agent.strip_trailing_tool_use(F.col("messages")).alias("m"))
-    return h.select("trace_id", F.col("n").cast("long").alias("n_before"), F.size("m").cast("long").alias("n_after"))
+    said = lambda b: F.concat_ws("/", b["text"], b["toolUse"]["query"], b["toolResult"]["text"])
+    whole = F.array_join(F.transform("m", lambda x: F.concat_ws("|", x["role"], F.array_join(F.transform(x["content"], said), ";"))), "\n")
+    return h.select("trace_id", F.col("n").cast("long").alias("n_before"), F.size("m").cast("long").alias("n_after"), F.sha2(whole, 256).alias("messages_sha256"))
 
 
 def list_versions(spark, d):

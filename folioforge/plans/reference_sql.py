@@ -254,7 +254,7 @@ r AS (SELECT trace_id, min(rank) AS f FROM u WHERE list_contains(source_files, s
 r AS (SELECT trace_id, min(rank) AS f FROM u WHERE list_contains(source_files, source_path) GROUP BY 1)
 SELECT concept, count(*) AS questions, count(*) FILTER (WHERE f = 1) AS hit_at_1, count(*) FILTER (WHERE f <= 5) AS hit_at_k, count(*) FILTER (WHERE f IS NULL) AS missing,
   round(avg(CASE WHEN f <= 5 THEN 1 / f::DOUBLE ELSE 0.0::DOUBLE END), 6) AS mrr FROM pr LEFT JOIN r ON pr.trace_id = r.trace_id WHERE answerable GROUP BY concept""",
-    "unanswered_questions": "SELECT id AS question_id FROM gold_questions g WHERE NOT EXISTS (SELECT 1 FROM run_traces t WHERE t.question_id = g.id)",
+    "unanswered_questions": "SELECT id AS question_id FROM gold_questions g WHERE NOT EXISTS (SELECT 1 FROM run_traces t WHERE t.question_id = g.id AND error IS NULL AND contains(answer, '[S2]'))",
     "labeled_context": f"""{_BASE}, {_top('sc', 'kw', 5)} SELECT kw.query_id, string_agg('[S' || rank || ']' || chr(10) || 'Source: ' || kw.source_path || chr(10) || 'Chunk: ' || kw.chunk_id || chr(10) || c.text, chr(10) || chr(10) ORDER BY rank) AS context
 FROM kw JOIN chunks c USING (chunk_id) GROUP BY 1""",
     "citation_validation": r"""WITH t AS (SELECT trace_id, answer, coalesce(retrieved_chunks, []) AS rc, list_transform(regexp_extract_all(coalesce(answer, ''), '\[S(\d+)\]', 1), lambda x: CAST(x AS INT)) AS lb FROM run_traces WHERE error IS NULL),
@@ -299,7 +299,9 @@ CASE WHEN kind = 'unchanged' THEN ia ELSE '2026-01-01T00:00:00+00:00' END AS ind
     "agent_tool_calls": f"WITH {_CALLS} SELECT trace_id, call_no, name, query, status, result_chars, array_to_string(ids, ',') AS chunk_ids FROM ca",
     "agent_first_sighting": f"""WITH {_CALLS}, u AS (SELECT trace_id, call_no, unnest(ids) AS chunk_id, generate_subscripts(ids, 1) AS p FROM ca), f AS (SELECT trace_id, chunk_id, min(call_no * 100000 + p) AS at_ FROM u GROUP BY ALL)
 SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY at_) AS rank, chunk_id, regexp_replace(chunk_id, ':[^:]*$', '') AS source_path FROM f""",
-    "agent_strip_tool_use": "SELECT trace_id, 2 + 2 * len(coalesce(queries_used, [])) AS n_before, 1 + 2 * len(coalesce(queries_used, [])) AS n_after FROM run_traces",
+    "agent_strip_tool_use": f"""WITH {_CALLS}, sa AS (SELECT trace_id, string_agg('assistant|' || coalesce(query, '') || chr(10) || 'user|' || body, chr(10) ORDER BY call_no) AS s FROM cq GROUP BY 1)
+SELECT t.trace_id, 2 + 2 * len(coalesce(queries_used, [])) AS n_before, 1 + 2 * len(coalesce(queries_used, [])) AS n_after,
+  sha256('user|' || coalesce(question, '') || coalesce(chr(10) || s, '')) AS messages_sha256 FROM run_traces t LEFT JOIN sa ON sa.trace_id = t.trace_id""",
     "list_versions": """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(strftime(effective_date, '%Y-%m-%d'), '') DESC, source_path) AS position,
 '- version: ' || coalesce(version, 'unversioned') || ' | status: ' || coalesce(status, 'unknown') || ' | effective_date: ' || coalesce(strftime(effective_date, '%Y-%m-%d'), 'unknown') || ' | expiry_date: ' || coalesce(strftime(expiry_date, '%Y-%m-%d'), 'none') || ' | source_path: ' || source_path AS line
 FROM source_documents WHERE doc_id IS NOT NULL""",
@@ -359,3 +361,26 @@ SELECT trace_id, {', '.join(f"CASE WHEN failed THEN false WHEN pass THEN {_FIXED
   CASE WHEN failed THEN 'Pipeline error: ' || te WHEN pass THEN NULL WHEN broke THEN 'TimeoutError: no response' WHEN prose THEN 'Judge did not return a JSON object' END AS error,
   CASE WHEN failed THEN 'pipeline' WHEN pass THEN NULL WHEN broke OR prose THEN 'judge' END AS failure_stage FROM k""",
 }
+
+_EOL = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_UNITS = rf"""{DOCS}, {SECTIONS},
+sx AS (SELECT source_path, unnest({_filled('s', 'x')}) AS sec, generate_subscripts({_filled('s', 'x')}, 1) AS si FROM sec),
+ln AS (SELECT source_path, si, string_split_regex(sec, '{_EOL}') AS l FROM sx),
+hd AS (SELECT *, regexp_full_match(l[1], '{HEADING}') AS t FROM ln),
+bd AS (SELECT source_path, si, t, l[1] AS h, {_strip("array_to_string(CASE WHEN t THEN l[2:] ELSE l END, chr(10))")} AS body FROM hd),
+un AS (SELECT source_path, si, list_concat(CASE WHEN t THEN [{_strip('h')}] ELSE [] END, flatten(list_transform({_paras('body')},
+  lambda p: CASE WHEN contains(p, '|') OR starts_with(p, '- ') OR starts_with(p, '* ') OR starts_with(p, '1. ') THEN [p] ELSE {_sents('p')} END))) AS u FROM bd),
+units AS (SELECT source_path, row_number() OVER (PARTITION BY source_path ORDER BY si, ui) AS i, unit FROM (SELECT source_path, si, unnest(u) AS unit, generate_subscripts(u, 1) AS ui FROM un))"""
+SQL |= {
+    "semantic_units": f"WITH {_UNITS} SELECT source_path, CAST(i - 1 AS BIGINT) AS unit_no, unit FROM units",
+    "semantic_chunks": f"""WITH RECURSIVE {_UNITS},
+ub AS (SELECT source_path, i, ('0x' || substr(md5(token), 1, 7))::BIGINT % 64 AS bin, count(*)::DOUBLE AS c FROM (SELECT source_path, i, unnest({_TERMS('unit')}) AS token FROM units) GROUP BY ALL),
+nm AS (SELECT source_path, i, sum(c * c) AS n FROM ub GROUP BY ALL),
+dt AS (SELECT b.source_path, b.i, sum(a.c * b.c) AS d FROM ub a JOIN ub b ON a.source_path = b.source_path AND b.i = a.i + 1 AND a.bin = b.bin GROUP BY ALL),
+us AS (SELECT u.source_path, u.i, unit, coalesce(d / (sqrt(x.n) * sqrt(y.n)), 0.0::DOUBLE) < 0.3::DOUBLE AND NOT regexp_full_match(unit, '{HEADING}') AS turned FROM units u
+  LEFT JOIN dt ON dt.source_path = u.source_path AND dt.i = u.i LEFT JOIN nm x ON x.source_path = u.source_path AND x.i = u.i - 1 LEFT JOIN nm y ON y.source_path = u.source_path AND y.i = u.i),
+pk(source_path, i, cur, n) AS (SELECT source_path, i, unit, CAST(0 AS BIGINT) FROM us WHERE i = 1
+  UNION ALL SELECT u.source_path, u.i, CASE WHEN length(k.cur) + 2 + length(unit) > 500 OR turned AND length(k.cur) >= 200 THEN unit ELSE k.cur || chr(10) || chr(10) || unit END,
+    CASE WHEN length(k.cur) + 2 + length(unit) > 500 OR turned AND length(k.cur) >= 200 THEN k.n + 1 ELSE k.n END FROM pk k JOIN us u ON u.source_path = k.source_path AND u.i = k.i + 1)
+SELECT source_path || ':' || format('{{:04d}}', n) AS chunk_id, n AS chunk_index, arg_max(cur, i) AS text FROM pk GROUP BY source_path, n""",
+}

@@ -30,21 +30,28 @@ MANIFEST = (
 
 
 def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with a fixed schema; a line that is no JSON object of it ends the read with an error, blank lines are skipped."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """JSON lines with a fixed schema. A line that is no JSON object of it ends the read with an error that names its file and shows how it begins; blank lines are skipped."""
+    lines = spark.read.text(path).filter(F.trim("value") != "").select("value", F.col("_metadata.file_name").alias("file"))
+    parsed = lines.select("file", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    error = F.raise_error(F.concat("file", F.lit(": not a JSON object of the form wanted: "), F.left("r._bad", F.lit(120)))).cast("boolean")
+    return parsed.filter(F.when(F.col("r._bad").isNotNull(), error).otherwise(F.lit(True))).select("r.*").drop("_bad")
+
+
+def _required(df: DataFrame, what: str, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """Rows that lack a column are an error naming what is lacking."""
+    lacking = F.array_join(F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in columns))), ", ")
+    return df.withColumn(key, F.when(lacking != "", F.raise_error(F.concat(F.lit(f"{what} without "), lacking)).cast("string")).otherwise(F.col(key)))
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     q = _lines(spark, path, QUESTION)
     none = F.array().cast("array<string>")
-    required = ("id", "question", "expected_answer", "concept", "difficulty", "answerable")
-    lacking = F.array_join(F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in required))), ", ")
-    checked = F.when(lacking != "", F.raise_error(F.concat(F.lit("question without "), lacking)).cast("string")).otherwise(F.col("id"))
-    return q.withColumn("id", checked).withColumn("source_files", F.coalesce("source_files", none)).withColumn("distractor_files", F.coalesce("distractor_files", none))
+    q = _required(q, "question", "id", ("id", "question", "expected_answer", "concept", "difficulty", "answerable"))
+    return q.withColumn("source_files", F.coalesce("source_files", none)).withColumn("distractor_files", F.coalesce("distractor_files", none))
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    t = _lines(spark, path, TRACE)
+    t = _required(_lines(spark, path, TRACE), "trace", "question_id", ("question_id", "question"))
     for c, kind in (("retrieved_chunks", f"array<{CHUNK}>"), ("queries_used", "array<string>")):
         t = t.withColumn(c, F.coalesce(c, F.array().cast(kind)))
     return t
@@ -68,11 +75,8 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str,
     head = m.select("schema_version", "index_config").head()
     if head is None or head[0] is None:
         raise ValueError(f"{path} is no manifest: it has no schema_version")
-    required = ("source_path", "content_sha256", "metadata_sha256", "chunk_ids", "indexed_at")
-    lacking = F.array_join(F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in required))), ", ")
     entries = m.select(F.explode("documents").alias("d")).select("d.*")
-    path_ = F.when(lacking != "", F.raise_error(F.concat(F.lit("manifest entry without "), lacking)).cast("string")).otherwise(F.col("source_path"))
-    return entries.withColumn("source_path", path_), head[1]
+    return _required(entries, "manifest entry", "source_path", ("source_path", "content_sha256", "metadata_sha256", "chunk_ids", "indexed_at")), head[1]
 
 
 def write_manifest(entries: DataFrame, path: str, index_config: dict[str, str], schema_version: int = 1) -> None:

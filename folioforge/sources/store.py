@@ -1,7 +1,8 @@
-"""A vector and chunk table on shared storage: versions of a Parquet table behind a pointer.
+"""A vector and chunk table on shared storage: versions of a Parquet table behind numbered pointers.
 
-A write makes a complete new version and then moves the pointer, so that readers see the old or the new table and a failed
-write leaves nothing visible. Rows carry a namespace, which is a partition column.
+A write makes a complete new version under a name of its own and then claims the next number for it, so that readers see the
+old or the new table and a failed write leaves nothing visible. Of two writers at once one gets the number; the other starts
+again from the table that the first has made. Rows carry a namespace, which is a partition column.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioforge.session import shared_root
+from folioforge.sources.claims import Claims
 
 #: Dimensions of a vector index unless told otherwise.
 DIMENSION = 768
@@ -37,36 +39,43 @@ class Settings:
         return cls(env["FOLIOFORGE_ROOT"].rstrip("/"), env["FOLIOFORGE_INDEX"])
 
 
-class VectorTable:
-    """chunk_id, source_path, chunk_index, text, embedding, namespace."""
+class VectorTable(Claims):
+    """chunk_id, source_path, chunk_index, text, embedding, namespace. See Claims for what the folder needs."""
 
     SCHEMA = "chunk_id string, source_path string, chunk_index int, text string, embedding array<double>, namespace string"
 
-    def __init__(self, spark: SparkSession, settings: Settings, dimension: int = DIMENSION):
-        self.spark, self.path, self.dimension = spark, f"{settings.root}/{settings.index}", dimension
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, settings: Settings, dimension: int = DIMENSION, claim: Callable[[str, bytes], bool] | None = None):
+        super().__init__(spark, f"{settings.root}/{settings.index}", claim)
+        self.dimension = dimension
 
     def _version(self) -> int:
-        p = self._path(self.path)
-        if not self._fs.exists(p):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(p)]
-        return max((int(n[2:]) for n in names if n.startswith("v-") and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS"))), default=0)
+        return max((int(n[2:10]) for n in self._names(self.root) if n.startswith("v-") and n.endswith(".json")), default=0)
+
+    def _pointer(self, version: int) -> str:
+        return f"{self.root}/v-{version:08d}.json"
 
     def ensure(self) -> "VectorTable":
         """Create the table if there is none."""
         if not self._version():
-            self._write(self.spark.createDataFrame([], self.SCHEMA))
+            self._write(lambda old: old)
         return self
 
-    def _write(self, rows: DataFrame) -> None:
-        new = self._version() + 1
-        rows.write.mode("overwrite").partitionBy("namespace").parquet(f"{self.path}/v-{new:08d}")
+    def _at(self, version: int) -> DataFrame:
+        if not version:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(self._read(self._pointer(version))["path"])
+
+    def _write(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Make the next version from the last one."""
+        while True:
+            last, path = self._version(), f"{self.root}/data/{uuid.uuid4().hex}"
+            change(self._at(last)).write.partitionBy("namespace").parquet(path)
+            if self._create(self._pointer(last + 1), {"path": path}):
+                return
+            self._fs.delete(self._path(path), True)
 
     def read(self, namespace: str | None = None) -> DataFrame:
-        rows = self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/v-{self._version():08d}")
+        rows = self._at(self._version())
         return rows if namespace is None else rows.filter(F.col("namespace") == namespace)
 
     def _checked(self, rows: DataFrame, namespace: str) -> DataFrame:
@@ -75,24 +84,22 @@ class VectorTable:
         given = rows.withColumn("embedding", F.when(F.size("embedding") == self.dimension, F.col("embedding").cast("array<double>")).otherwise(bad))
         kept = F.struct("text", "source_path", F.col("chunk_index").cast("int").alias("chunk_index"), "embedding")
         one = given.groupBy("chunk_id").agg(F.min(kept).alias("r"))
-        return one.select("chunk_id", "r.source_path", "r.chunk_index", "r.text", "r.embedding").withColumn("namespace", F.lit(namespace)).select(*self.read().columns)
+        return one.select("chunk_id", "r.source_path", "r.chunk_index", "r.text", "r.embedding").withColumn("namespace", F.lit(namespace))
 
     def upsert(self, rows: DataFrame, namespace: str = "default") -> None:
         """Rows replace those of the same chunk in the namespace. A vector of another dimension is an error."""
         new = self._checked(rows, namespace)
-        old = self.read().join(new.select("chunk_id", "namespace"), ["chunk_id", "namespace"], "left_anti")
-        self._write(old.select(*new.columns).unionByName(new))
+        self._write(lambda old: old.join(new.select("chunk_id", "namespace"), ["chunk_id", "namespace"], "left_anti").select(*new.columns).unionByName(new))
 
     def replace(self, rows: DataFrame, gone: DataFrame, namespace: str = "default") -> None:
         """Upsert rows and delete gone(chunk_id) in one new version; a chunk in both stays."""
         new = self._checked(rows, namespace)
         out = new.select("chunk_id").unionByName(gone.select("chunk_id")).distinct().withColumn("namespace", F.lit(namespace))
-        old = self.read().join(out, ["chunk_id", "namespace"], "left_anti")
-        self._write(old.select(*new.columns).unionByName(new))
+        self._write(lambda old: old.join(out, ["chunk_id", "namespace"], "left_anti").select(*new.columns).unionByName(new))
 
     def delete(self, ids: DataFrame, namespace: str = "default") -> None:
         gone = ids.select("chunk_id").withColumn("namespace", F.lit(namespace))
-        self._write(self.read().join(gone, ["chunk_id", "namespace"], "left_anti").select(*self.read().columns))
+        self._write(lambda old: old.join(gone, ["chunk_id", "namespace"], "left_anti").select(*old.columns))
 
     def fetch(self, ids: DataFrame, namespace: str = "default") -> DataFrame:
         """The rows of ids(chunk_id); a chunk that is not stored is an error."""

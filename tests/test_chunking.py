@@ -78,3 +78,11 @@ def test_long_ids_and_long_texts(spark):
     long = "Sentence one. " * 3000
     assert all(len(c) <= 500 for c in chunks_of(spark, long, chunking.markdown_chunks))
     assert re.sub(r"\s+", "", "".join(chunks_of(spark, long, chunking.markdown_chunks))) == re.sub(r"\s+", "", long)
+
+
+def test_the_mark_is_an_ordinary_character(spark):
+    from folioforge.functions.text import sections, sentences
+
+    text = "One \x01 two. Three\x01\x02 four.\x01\n# Head \x01\nbody"
+    r = spark.createDataFrame([(text,)], "t string").select(sentences(F.col("t")).alias("s"), sections(F.col("t")).alias("h")).head()
+    assert r.s == ["One \x01 two.", "Three\x01\x02 four.\x01\n# Head \x01\nbody"] and r.h == ["One \x01 two. Three\x01\x02 four.\x01\n", "# Head \x01\nbody"]

@@ -1,10 +1,10 @@
 import datetime as dt
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.operators import incremental
 from folioforge.operators.incremental import IncompleteRun, StaleToken, WorkLedger, plan_work_items
 from folioforge.streaming.ingest import process_stream
 from tests.conftest import rows
@@ -223,7 +223,7 @@ def test_another_worker_is_waited_for_and_the_upstream_runs_once(spark, tmp_path
 def test_a_store_without_atomic_create_needs_a_claim(spark, tmp_path):
     made = {}
     ledger = WorkLedger(spark, f"file://{tmp_path}/ledger", claim=lambda path, content: made.setdefault(path, content) is content)
-    ledger._read = lambda path: incremental.json.loads(made[path])
+    ledger._read = lambda path: json.loads(made[path])
     ledger.enqueue(1, 2)
     ledger.enqueue(1, 2)
     assert ledger.units(1) == 2 and len(made) == 1

@@ -1,6 +1,6 @@
 import os
 
-from folioforge.sources.store import input_files, stored_table
+from folioforge.sources.store import Settings, VectorTable, input_files, stored_table
 from tests.conftest import rows
 
 
@@ -29,3 +29,13 @@ def test_a_lost_race_keeps_the_first_table(spark, tmp_path):
         return spark.range(20)
 
     assert stored_table(spark, "race", {}, [f"{tmp_path}/in"], build).count() == 10
+
+
+def test_two_writers_of_a_vector_table_lose_nothing(spark, tmp_path):
+    t, other = (VectorTable(spark, Settings(f"file://{tmp_path}", "ix"), 1).ensure() for _ in range(2))
+    row = lambda i: spark.createDataFrame([(i, "p", 0, "t", [1.0])], "chunk_id string, source_path string, chunk_index int, text string, embedding array<double>")
+    real = t._create
+    # the other writer takes the number that this one was about to claim
+    t._create = lambda path, what: (setattr(t, "_create", real), other.upsert(row("b")), real(path, what))[-1]
+    t.upsert(row("a"))
+    assert rows(t.read("default"), "chunk_id") == [("a",), ("b",)] and t._version() == 3
