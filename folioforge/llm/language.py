@@ -253,23 +253,22 @@ def _count(relabel: Model | None, whole: bool = False):
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple[str, str], int] = {}
-        for pdf in batches:
-            for lang, text, times in zip(pdf["label"], pdf["text"], pdf["n"]):
-                units = [words(sentence) for sentence, _ in sentences(text)]
-                for found in [[w for u in units for w in u]] if whole else units:
-                    if not is_prose(found):
-                        continue
-                    of = lang
-                    if relabel is not None:
-                        p = relabel.posterior(found)
-                        if p.max() < SURE:
-                            continue
-                        of = LANGS[int(p.argmax())]
+        for big in batches:
+            for at in range(0, len(big), 500):
+                pdf = big.iloc[at : at + 500]
+                units: list[tuple[str, list[str], int]] = []
+                for lang, text, times in zip(pdf["label"], pdf["text"], pdf["n"]):
+                    each = [words(sentence) for sentence, _ in sentences(text)]
+                    units += [(lang, found, times) for found in ([[w for u in each for w in u]] if whole else each) if is_prose(found)]
+                if relabel is not None:  # all of the batch are told at once
+                    p = relabel.posteriors([found for _, found, _ in units])
+                    units = [(LANGS[k], found, times) for k, sure, (_, found, times) in zip(p.argmax(axis=1), p.max(axis=1) >= SURE, units) if sure]
+                for of, found, times in units:
                     for w in found:
                         seen[(of, w)] = seen.get((of, w), 0) + times
-            if len(seen) > SEEN_WORDS:
-                yield table(seen)
-                seen.clear()
+                if len(seen) > SEEN_WORDS:
+                    yield table(seen)
+                    seen.clear()
         if seen:
             yield table(seen)
 

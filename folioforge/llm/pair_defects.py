@@ -29,6 +29,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 import zstandard
@@ -128,11 +129,19 @@ SOFTENERS = (
     "leider", "tut mir leid", "es tut mir leid", "entschuldigung", "désolé", "désolée", "malheureusement", "lo siento", "por desgracia",
     "lamentablemente", "helaas", "het spijt me", "maaf", "malangnya", "抱歉", "很遗憾", "对不起", "很抱歉", "no", "nein", "non", "nee", "tidak",
 )
-#: No phrase above lacks all of these.
-CUES = (
-    "not", "n't", "dont", "cant", "wont", "no ", "none", "nothing", "unable", "impossible", "decline", "refuse", "unknown", "insufficient", "guess", "lack", "fail", "open",
-    "silent", "outside", "beyond", "nowhere", "nichts", "nirgends", "schweig", "rien", "muet", "nicht", "kein", "weiß", "pas", "aucun", "sé", "niet", "geen", "onvoldoende", "te weinig", "tidak", "tiada", "无", "不", "没", "未", "拒", "难",
-)
+#: No phrase of a language above lacks all of its cues.
+CUES = {
+    "en": (
+        "not", "n't", "dont", "cant", "wont", "no ", "none", "nothing", "nowhere", "unable", "impossible", "decline", "refuse", "unknown", "insufficient", "guess", "lack", "fail", "open",
+        "silent", "outside", "beyond",
+    ),
+    "de": ("nicht", "kein", "weiß", "nirgends", "schweig"),
+    "fr": ("pas", "aucun", "rien", "muet"),
+    "es": ("no ", "sé"),
+    "nl": ("niet", "geen", "onvoldoende", "te weinig"),
+    "ms": ("tidak", "tiada"),
+    "zh": ("无", "不", "没", "未", "拒", "难"),
+}
 #: How a line begins that only closes a letter.
 CLOSINGS = (
     "regards", "best regards", "kind regards", "best", "best wishes", "sincerely", "yours sincerely", "yours faithfully", "mit freundlichen grüßen", "viele grüße", "freundliche grüße",
@@ -141,7 +150,7 @@ CLOSINGS = (
 _CLOSING = re.compile(r"(?:" + "|".join(sorted(CLOSINGS, key=len, reverse=True)) + r")\s*[,，!.]?(?:\s+\S+){0,3}$", re.I)
 #: The mark that by convention sets off a signature, and all that follows it.
 _SIGNATURE = re.compile(r"\n-- ?\n[^\n]*(?:\n[^\n]+)*\s*$")
-_REFUSAL = re.compile("|".join(f"(?:{p})" for v in REFUSALS.values() for p in v), re.I)
+_REFUSALS = [(CUES[lang], re.compile("|".join(f"(?:{p})" for p in v), re.I)) for lang, v in REFUSALS.items()]
 _REDIRECT = re.compile(r"^\W*(?:" + "|".join(REDIRECTS) + r")", re.I)
 _BUT = re.compile(r"[;；]|[,，]?\s*\b(?:but|however|yet|aber|jedoch|mais|cependant|pero|sin embargo|maar|echter|tetapi|namun)\b|[，,]?(?:但是|但|不过)", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”»’')\]*_]*\s+|(?<=[。！？])|\n+")
@@ -242,10 +251,15 @@ def is_copy(question: str | None, answer: str) -> bool:
     return False
 
 
+def _refuses(text: str) -> bool:
+    """A phrase that declines is in the text. A language's phrases are looked for where one of its cues is."""
+    low = text.lower()
+    return any(any(cue in low for cue in cues) and phrases.search(text) is not None for cues, phrases in _REFUSALS)
+
+
 def is_refusal(question: str | None, answer: str) -> bool:
     text = _SIGNATURE.sub("", _INVISIBLE.sub("", answer).replace("’", "'").replace("‘", "'"))
-    low = text.lower()
-    if not any(cue in low for cue in CUES) or not _REFUSAL.search(text):
+    if not _refuses(text):
         return False
     if question and question.strip() and text.lstrip().lower().startswith(question.strip().lower()):
         text = text.lstrip()[len(question.strip()) :]
@@ -255,11 +269,11 @@ def is_refusal(question: str | None, answer: str) -> bool:
         bare = _LABEL.sub(" ", s)
         if not any(c.isalnum() for c in bare):
             continue
-        if _REFUSAL.search(s):
+        if _refuses(s):
             for clause in _BUT.split(s):
                 c = _LABEL.sub(" ", clause).strip(" ,，.。:：")
-                if not c or c.lower() in SOFTENERS or _REFUSAL.search(clause) or _REDIRECT.search(c):
-                    refused = refused or bool(_REFUSAL.search(clause))
+                if not c or c.lower() in SOFTENERS or _refuses(clause) or _REDIRECT.search(c):
+                    refused = refused or _refuses(clause)
                     continue
                 if _LABEL.search(clause) or any(ch.isdigit() for ch in c) or language.is_prose(language.words(c)):
                     return False
@@ -276,10 +290,11 @@ def _normal(word: str) -> str:
     return "#" if any(c.isdigit() for c in word) else word.lower()
 
 
-def _tokens(word: str) -> list[str]:
+@lru_cache(200_000)
+def _tokens(word: str) -> tuple[str, ...]:
     """A word's tokens, figures and codes told apart no further. Chinese has no spaces: its characters are tokens."""
     parts = re.findall(r"[㐀-鿿]|[^㐀-鿿]+", word)
-    return [t for t in (_normal(p.strip("\"'“”*_.,;:!?()[]")) for p in parts) if t]
+    return tuple(t for t in (_normal(p.strip("\"'“”*_.,;:!?()[]")) for p in parts) if t)
 
 
 def _context(tokens: list[str], chinese: bool) -> tuple[int, str]:
