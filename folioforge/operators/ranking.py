@@ -443,6 +443,7 @@ def followups_from(first: DataFrame, questions: DataFrame, chunks: DataFrame, ge
     if evidence_k < 1:
         raise ValueError("evidence_k must be at least 1")
     best = first.filter(F.col("rank") <= evidence_k).select("query_id", "rank", "chunk_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+    # fixed value: how a passage is labelled as evidence
     part = F.concat(F.lit("[Evidence "), F.col("rank").cast("string"), F.lit("]\n"), F.coalesce("text", F.lit("")))
     evidence = best.groupBy("query_id").agg(ordered_text(F.col("rank"), part).alias("evidence"))  # evidence_k passages
     asked = evidence.join(questions.select("query_id", F.col("text").alias("question")), "query_id")

@@ -14,8 +14,9 @@ from folioforge.operators.answers import REFUSAL, ground, judge, judge_prompt, l
 from folioforge.operators.evaluate import judgement_summary, require_traces, retrieval_metrics, retrieval_summary
 
 CHUNKS = "array<struct<chunk_id:string,source_path:string,rank:int,score:double>>"
-#: Fixed value: how an answer that fails its checks is told from other errors.
+#: How an answer that fails its checks is told from other errors, and the error of traces that fit no question.
 GROUNDING = "GroundingError: "
+NOT_COVERED = "No gold question matches any trace in the file"
 
 #: A model: (system prompt, user prompt) to struct<text, error>; see functions.vectors.model_completion.
 Complete = Callable[[Column, Column], Column]
@@ -107,7 +108,7 @@ def covered(gold: DataFrame, traces: DataFrame) -> DataFrame:
     """The gold questions that the traces cover; none at all is an error."""
     kept = gold.join(traces.select(F.col("question_id").alias("id")).distinct(), "id", "left_semi")
     if kept.isEmpty():
-        raise ValueError("No gold question matches any trace in the file")
+        raise ValueError(NOT_COVERED)
     return kept
 
 
