@@ -7,7 +7,8 @@ last token at a position is the one among the vocabulary's tokens ending there t
 start, i.e. whose pair the merges leave as it is. A state of the transducer is what the future can depend on: the
 last-token lengths of the positions that may still be reached, and the bytes since the oldest of them. A token is emitted
 once every position that can still be a token's start leads back through its end; no token is longer than the longest of
-the vocabulary, so that twice this length of pending bytes is looked at before tokens are emitted.
+the vocabulary, so that twice this length of pending bytes is looked at before tokens are emitted. Within a word the pending
+bytes are the whole of it so far, so paths of different words meet again only at the words' borders.
 
 Words (the pieces that the pre-tokenising pattern cuts) recur, so paths from the start state to the end of a word are kept
 as single arcs; that is only a cache and is emptied when it is full.

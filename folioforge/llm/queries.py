@@ -34,7 +34,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fused ranking of every question."""
     fused = score_fusion.fuse_scores(table(spark, sf_dir, "retrieved_passages"), table(spark, sf_dir, "retrievers"))
-    return fused.select("question_id", "rank", "chunk_id", "fused", "in_lists", "n_lists")
+    return fused.select("question_id", "rank", "chunk_id", F.round("fused", 9).alias("fused"), "in_lists", "n_lists")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

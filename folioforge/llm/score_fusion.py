@@ -122,7 +122,8 @@ def _fuse(values: DataFrame, weights: dict[str, float] | None, absent: float, wi
         per_q = summed.groupBy("question_id").agg(*(F.sum(c).alias(c) for c in totals), F.count(F.lit(1)).alias("n_candidates"))
         summed = summed.drop(*totals).join(small_or_plain(per_q), "question_id")
     return summed.select(
-        "question_id", "chunk_id", F.exp((F.col("gain") + F.col("all_floor")) / F.col("all_w")).alias("fused"),
+        # rounded in its logarithm, so that ranks do not hang on the order in which the lists are summed
+        "question_id", "chunk_id", F.exp(F.round((F.col("gain") + F.col("all_floor")) / F.col("all_w"), 10)).alias("fused"),
         "in_lists", "n_lists", "n_candidates", "leads", "near",
     )
 

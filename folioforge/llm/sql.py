@@ -20,6 +20,18 @@ pos AS (SELECT *, rank() OVER (PARTITION BY question_id, retriever ORDER BY s DE
 q AS (SELECT question_id, count(DISTINCT retriever) AS nl, count(DISTINCT chunk_id) AS nc FROM ok GROUP BY 1),
 c AS (SELECT question_id, chunk_id, count(*) AS il, count(*) FILTER (WHERE rk = 1 AND eq = 1) AS leads, max(rk + eq - 2) AS worst FROM pos GROUP BY 1, 2)
 SELECT c.question_id, c.chunk_id FROM c JOIN q USING (question_id) WHERE nl >= 3 AND nc >= 2 AND il = nl AND leads >= nl - 1 AND worst <= 1""",
+    "p3_ranking": _LISTS
+    + """,
+md AS (SELECT *, median(s) OVER (PARTITION BY question_id, retriever) AS med FROM ok),
+dv AS (SELECT *, CASE WHEN s = med THEN 0.0::DOUBLE ELSE s - med END AS dev FROM md),
+un AS (SELECT *, median(abs(dev)) OVER w AS mad, avg(abs(dev)) OVER w AS mean_dev FROM dv WINDOW w AS (PARTITION BY question_id, retriever)),
+zs AS (SELECT *, CASE WHEN dev = 0 THEN 0.0::DOUBLE WHEN mad > 0 THEN dev / (1.4826::DOUBLE * mad) ELSE dev / (1.2533::DOUBLE * mean_dev) END AS z FROM un),
+bs AS (SELECT *, greatest(least(1 / (1 + exp(-greatest(least(z, 700.0::DOUBLE), -700.0::DOUBLE))), 1 - 1e-9), 1e-9) AS b FROM zs),
+fl AS (SELECT *, ln(min(b) OVER (PARTITION BY question_id, retriever) * 0.5::DOUBLE) AS floor FROM bs),
+q AS (SELECT question_id, count(*) AS n_lists, sum(floor) AS all_floor FROM (SELECT DISTINCT question_id, retriever, floor FROM fl) GROUP BY 1),
+c AS (SELECT question_id, chunk_id, sum(ln(b) - floor) AS gain, count(*) AS in_lists FROM fl GROUP BY 1, 2),
+f AS (SELECT question_id, chunk_id, exp(round((gain + all_floor) / n_lists, 10)) AS fused, in_lists, n_lists FROM c JOIN q USING (question_id))
+SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY fused DESC, chunk_id) AS rank, chunk_id, round(fused, 9) AS fused, in_lists, n_lists FROM f""",
     "p6_agreement": """
 WITH one AS (SELECT trace_id, annotator, arg_max({'c': correct, 's': citation_supported, 'p': proper_refusal}, (coalesce(judged_at, TIMESTAMP '0001-01-01'), judgement_id)) AS v
              FROM answer_judgements WHERE error IS NULL AND trace_id IS NOT NULL AND annotator IS NOT NULL GROUP BY 1, 2),
