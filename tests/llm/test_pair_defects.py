@@ -139,14 +139,14 @@ def test_no_copies(models, answer):
     assert defect(models, answer) != "copy"
 
 
-#: Phrasings that were not looked at when the dictionary was written, or only as these examples.
-HELD_OUT = [
+#: Phrasings that the dictionary lacked at first and was widened for; they are not held out from it.
+OTHER_WORDS = [
     "Sorry, nothing in the handbook covers this.", "The handbook is silent on this point.", "That's outside the scope of what I was given.", "Nothing in these excerpts addresses the question.",
     "Hierzu steht in den Unterlagen nichts.", "Les documents ne disent rien à ce sujet.", "This is beyond the scope of the documents.\n\nKind regards",
 ]
 
 
-@pytest.mark.parametrize("answer", HELD_OUT)
+@pytest.mark.parametrize("answer", OTHER_WORDS)
 def test_refusals_in_other_words(models, answer):
     assert defect(models, answer) == "refusal"
 
