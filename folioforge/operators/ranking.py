@@ -24,11 +24,17 @@ from folioforge.session import cut
 K1, B, RRF_K, CANDIDATES, TOP = 1.5, 0.75, 60, 20, 5
 #: Rows and queries of one block of a search, at most in expectation.
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 8192
-BM25_CHUNKS, BM25_QUERIES = 8192, 16384
+BM25_CHUNKS, BM25_QUERIES = 32768, 131072
 #: Blocks up to this number are tasks of their own.
 MOST_TASKS = 20_000
 #: Queries and cells of one matrix inside a task.
-BATCH_QUERIES, BATCH_CELLS = 512, 8_000_000
+BATCH_QUERIES, BATCH_CELLS = 256, 8_000_000
+#: Pairs of a question and a chunk with one of its rare terms, at one time inside a task.
+BATCH_PAIRS = 2_000_000
+#: Terms in more than a share of the chunks are common. Of these shares that one is taken at which a search costs least.
+COMMON_SHARES = (0.05, 0.02, 0.01, 0.005, 0.002, 0.001, 0.0005, 0.0001)
+#: What a cell of common terms and a pair of rare ones cost, in nanoseconds as measured on one core.
+CELL_COST, PAIR_COST = 40, 400
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -84,15 +90,26 @@ def weighted_postings(chunks: DataFrame, k1: float = K1, b: float = B) -> DataFr
 def best_cells(scores: np.ndarray, k: int, positive: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, score to six digits) of the k best cells of every row; ties go to the lesser column."""
     n = scores.shape[1]
-    micro = np.rint(scores * 1e6).astype(np.int64)
-    keys = micro * n + np.arange(n - 1, -1, -1)
-    at = np.argpartition(keys, n - k, axis=1)[:, n - k :] if k < n else np.broadcast_to(np.arange(n), scores.shape)
-    rows = np.repeat(np.arange(len(scores)), at.shape[1])
-    columns = at.ravel()
-    found = micro[rows, columns]
+    wide = max(k, 64)  # of so many groups of columns the k-th best maximum is a score that k cells reach
+    if n >= 4 * wide:
+        m = n // wide * wide
+        reached = np.partition(scores[:, :m].reshape(len(scores), m // wide, wide).max(axis=1), wide - k, axis=1)[:, wide - k] - 1e-6  # less by what rounding may add
+        cells = np.flatnonzero(scores >= (np.maximum(reached, 4e-7) if positive else reached)[:, None])
+    else:
+        cells = np.arange(scores.size)
+    rows, columns = np.divmod(cells, max(n, 1))
+    found = np.rint(scores[rows, columns] * 1e6).astype(np.int64)
     if positive:
         rows, columns, found = rows[found > 0], columns[found > 0], found[found > 0]
-    return rows, columns, found / 1e6
+    kept = leading(rows, columns, found, k)
+    return rows[kept], columns[kept], found[kept] / 1e6
+
+
+def leading(rows: np.ndarray, columns: np.ndarray, found: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k best entries of every row; ties go to the lesser column."""
+    order = np.lexsort((columns, -found, rows))
+    r = rows[order]
+    return order[np.arange(len(r)) - np.searchsorted(r, r) < k]
 
 
 def in_blocks(queries: DataFrame, rows: DataFrame, n_queries: int, n_rows: int, search: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -119,59 +136,145 @@ def block_counts(df: DataFrame, n_queries: int, n_rows: int, most_queries: int,
 
 
 def _product(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """The k best chunks per query of a block. Only terms that the queries ask for enter the matrices."""
+    """For a block: the k best chunks of each set of common terms, and of each whole set those with a rare term of it.
+
+    The scores by common terms alone are a product of matrices, a row for each set of common terms; rare terms are added where
+    they occur. A chunk without a rare term of the set has the score of the common ones, so that both together hold the k best.
+    """
     rows = rows.sort_by("chunk_id")  # columns in the order of ids, so that ties go to the lesser
     queries = queries.sort_by("query_id")
-    q_id = queries["query_id"].combine_chunks().dictionary_encode()
-    ids = pa.concat_arrays(rows["chunk_id"].chunks) if rows.num_rows else pa.array([], pa.string())
-    paths = rows["source_path"].combine_chunks()
-    asked = queries["tokens"].combine_chunks()
-    a_q = q_id.indices.to_numpy()[pc.list_parent_indices(asked).to_numpy()]
-    flat = asked.flatten().dictionary_encode()
-    a_t = flat.indices.to_numpy()
-    posted = rows["posted"].combine_chunks()
-    token, weight = posted.flatten().field("token"), posted.flatten().field("weight").to_numpy()
-    p_c = pc.list_parent_indices(posted).to_numpy()
-    p_t = pc.fill_null(pc.index_in(token, flat.dictionary), -1).to_numpy()
-    known = p_t >= 0
-    p_c, p_t, weight = p_c[known], p_t[known], weight[known]
-    out = []
-    n_q, n_c = len(q_id.dictionary), len(ids)
-    for lo in range(0, n_q, BATCH_QUERIES):
-        mine = (a_q >= lo) & (a_q < lo + BATCH_QUERIES)
-        wanted, at = np.unique(a_t[mine], return_inverse=True)
-        if not len(wanted):
+    ids, paths = (pa.concat_arrays(rows[x].chunks) if rows.num_rows else pa.array([], pa.string()) for x in ("chunk_id", "source_path"))
+    names, key, chunk, scores = [], [], [], []
+    if rows.num_rows and queries.num_rows:
+        posted = rows["posted"].combine_chunks()
+        token, weight, p_c = posted.flatten().field("token"), posted.flatten().field("weight").to_numpy(), pc.list_parent_indices(posted).to_numpy()
+
+        def of(lists: pa.Array) -> tuple[np.ndarray, ...]:
+            """Owner and term of every entry of the lists, then term, chunk and weight of the postings of these terms."""
+            flat = lists.flatten().dictionary_encode()
+            t = pc.fill_null(pc.index_in(token, flat.dictionary), -1).to_numpy()
+            known = t >= 0
+            return pc.list_parent_indices(lists).to_numpy(), flat.indices.to_numpy(), t[known], p_c[known], weight[known]
+
+        group = queries["query_id"].combine_chunks().dictionary_encode()
+        g = group.indices.to_numpy()  # ascending, as the rows are sorted
+        a_g, a_t, c_t, c_c, c_w = of(queries["common"].combine_chunks().take(pa.array(np.unique(g, return_index=True)[1])))
+        a_s, s_t, r_t, r_c, r_w = of(queries["rare"].combine_chunks())
+        by_term = np.argsort(r_t, kind="stable")
+        r_t, r_c, r_w = r_t[by_term], r_c[by_term], r_w[by_term]
+        first = np.searchsorted(r_t, s_t)
+        held = np.searchsorted(r_t, s_t, "right") - first
+        n_g, n_c = len(group.dictionary), len(ids)
+        for lo in range(0, n_g, BATCH_QUERIES):
+            n = min(BATCH_QUERIES, n_g - lo)
+            base = _common_scores(a_g - lo, a_t, c_t, c_c, c_w, n, n_c)
+            r, c, score = best_cells(base, k, positive=True)
+            names.append(group.dictionary.take(pa.array(r + lo)))
+            chunk.append(c)
+            scores.append(score)
+            last = np.full(n, np.inf)  # what the k-th best chunk by common terms has, if there are as many
+            np.minimum.at(last, r, score)
+            last[np.bincount(r, minlength=n) < k] = 0.0
+            lists = slice(*np.searchsorted(a_s, np.searchsorted(g, [lo, lo + n])))
+            for s, c, score in _rare_scores(a_s[lists], first[lists], held[lists], r_c, r_w, base, g - lo, last, k):
+                names.append(queries["_set"].combine_chunks().take(pa.array(s)))
+                chunk.append(c)
+                scores.append(score)
+    chunk, scores = (np.concatenate(x) if x else np.array([], t) for x, t in ((chunk, np.int64), (scores, np.float64)))
+    return pa.table({"key": pa.concat_arrays(names) if names else pa.array([], pa.string()), "chunk_id": ids.take(pa.array(chunk)), "source_path": paths.take(pa.array(chunk)), "score": pa.array(scores, pa.float64())})
+
+
+def _common_scores(owner: np.ndarray, asked: np.ndarray, p_t: np.ndarray, p_c: np.ndarray, weight: np.ndarray, n: int, n_c: int) -> np.ndarray:
+    """Scores of n sets of common terms, given as (owner, term), with all chunks; the postings are in the order of chunks."""
+    mine = (owner >= 0) & (owner < n)
+    wanted, at = np.unique(asked[mine], return_inverse=True)
+    scores = np.zeros((n, n_c))
+    if not len(wanted):
+        return scores
+    ask = np.zeros((n, len(wanted)))
+    ask[owner[mine], at] = 1.0
+    place = np.full(max(wanted.max(), p_t.max(initial=0)) + 1, -1)
+    place[wanted] = np.arange(len(wanted))
+    step = max(1, BATCH_CELLS // max(len(wanted), n))
+    for left in range(0, n_c, step):
+        a, b = np.searchsorted(p_c, [left, left + step])
+        t = place[p_t[a:b]]
+        has = t >= 0
+        matrix = np.zeros((len(wanted), min(step, n_c - left)))
+        matrix[t[has], p_c[a:b][has] - left] = weight[a:b][has]
+        np.matmul(ask, matrix, out=scores[:, left : left + step])
+    return scores
+
+
+def _rare_scores(owner: np.ndarray, first: np.ndarray, held: np.ndarray, p_c: np.ndarray, weight: np.ndarray, base: np.ndarray, group: np.ndarray, last: np.ndarray, k: int):
+    """(set, chunk, score) of the chunks with a rare term of the set, at most k per set, in portions; base has the scores by common terms."""
+    n_c, before = base.shape[1], np.cumsum(held) - held
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))  # portions end between two sets
+    ends = np.append(starts[np.diff(before[starts] // BATCH_PAIRS, prepend=-1) > 0], len(owner))
+    for a, b in zip(ends[:-1], ends[1:]):
+        n = held[a:b]
+        at = np.repeat(first[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        if not len(at):
             continue
-        ask = np.zeros((min(BATCH_QUERIES, n_q - lo), len(wanted)))
-        ask[a_q[mine] - lo, at] = 1.0
-        place = np.full(len(flat.dictionary), -1)
-        place[wanted] = np.arange(len(wanted))
-        step = max(1, BATCH_CELLS // max(len(wanted), BATCH_QUERIES))
-        for left in range(0, n_c, step):
-            a, b = np.searchsorted(p_c, [left, left + step])
-            t = place[p_t[a:b]]
-            has = t >= 0
-            matrix = np.zeros((len(wanted), min(step, n_c - left)))
-            matrix[t[has], p_c[a:b][has] - left] = weight[a:b][has]
-            r, c, score = best_cells(ask @ matrix, k, positive=True)
-            out.append((r + lo, c + left, score))
-    r, c, score = (np.concatenate([x[i] for x in out]) if out else np.array([], t) for i, t in enumerate((np.int64, np.int64, np.float64)))
-    return pa.table({"query_id": q_id.dictionary.take(pa.array(r)), "chunk_id": ids.take(pa.array(c)), "source_path": paths.take(pa.array(c)), "score": pa.array(score, pa.float64())})
-
-
-def bm25_blocks(queries: DataFrame, weighted: DataFrame, k: int) -> DataFrame:
-    """Per query the k best chunks of every block of chunks.
-
-    Postings are matched with the asked terms by an equi-join, so that the others go nowhere, and packed per chunk; a block of
-    chunks with a block of queries is then a product of matrices. A join of the terms themselves would yield a row for every
-    query and chunk with a common term, most of them from frequent terms.
+        pair = np.repeat(owner[a:b].astype(np.int64), n) * n_c + p_c[at]
+        order = np.argsort(pair, kind="stable")
+        start = np.flatnonzero(np.diff(pair[order], prepend=-1))
+        s, c = np.divmod(pair[order][start], n_c)
+        score = np.rint((base[group[s], c] + np.add.reduceat(weight[at][order], start)) * 1e6).astype(np.int64)
+        good = (score > 0) & (score >= np.rint(last[group[s]] * 1e6))  # the others have k chunks before them
+        s, c, score = s[good], c[good], score[good]
+        kept = leading(s, c, score, k)
+        yield s[kept], c[kept], score[kept] / 1e6
+
+
+def bm25_sets(queries: DataFrame, weighted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, _asked), and (_asked, known: the terms in the index with the number of chunks that hold them) once for all queries of the same terms."""
+    digest = F.md5(F.array_join("tokens", " "))  # terms have no spaces
+    words = queries.filter("query_id is not null").select(F.col("query_id").cast("string").alias("query_id"), F.array_distinct(terms(F.col("text"))).alias("tokens")).filter(F.size("tokens") > 0)
+    words = words.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("tokens")).select("query_id", "tokens", digest.alias("_asked"))
+    asked = words.dropDuplicates(["_asked"]).select("_asked", F.explode("tokens").alias("token"))
+    known = asked.join(document_frequency(weighted), "token").groupBy("_asked").agg(F.array_sort(F.collect_list(F.struct("token", "df"))).alias("known"))  # a query's own terms
+    return words.select("query_id", "_asked"), cut(known)
+
+
+def common_limit(sets: DataFrame, n_chunks: int) -> float:
+    """The number of chunks beyond which a term is common: that of COMMON_SHARES at which the search costs least."""
+    limits = [s * n_chunks for s in COMMON_SHARES]
+
+    def pairs(m: float) -> Column:
+        return F.coalesce(F.sum(F.aggregate("known", F.lit(0).cast("long"), lambda a, x: a + F.when(x["df"] <= m, x["df"]).otherwise(0))), F.lit(0))
+
+    def groups(m: float) -> Column:
+        return F.approx_count_distinct(F.array_join(F.transform(F.filter("known", lambda x: x["df"] > m), lambda x: x["token"]), " "))
+
+    got = sets.agg(*[(PAIR_COST * pairs(m) + CELL_COST * n_chunks * groups(m)).alias(str(i)) for i, m in enumerate(limits)]).head()
+    return limits[int(np.argmin(got))]
+
+
+def bm25_indexed(queries: DataFrame, weighted: DataFrame, k: int = TOP) -> DataFrame:
+    """As bm25, over an index built before. Each set of terms is searched once, however many queries ask for it.
+
+    Postings are matched with the asked terms by an equi-join, so that the others go nowhere, and packed per chunk; blocks of
+    chunks meet blocks of sets. A join of the terms themselves would yield a row for every query and chunk with a common term,
+    most of them from frequent terms: those are searched once for all sets that have the same of them, see _product.
     """
-    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.array_distinct(terms(F.col("text"))).alias("tokens")).filter(F.size("tokens") > 0)
-    wanted = small_or_plain(asked.select(F.explode("tokens").alias("token")).distinct())
-    packed = weighted.join(wanted, "token", "left_semi").groupBy("chunk_id", "source_path").agg(F.collect_list(F.struct("token", "weight")).alias("posted"))  # a chunk's own terms
+    if k < 1:
+        raise ValueError("top_k must be at least 1")
+    words, known = bm25_sets(queries, weighted)
     size = weighted.agg(F.approx_count_distinct("chunk_id")).head()[0]
-    n_q, n_c = block_counts(weighted, asked.count(), size, BM25_QUERIES, BM25_CHUNKS)
-    return in_blocks(asked, packed, n_q, n_c, lambda rows, qs: _product(rows, qs, k), "query_id string, chunk_id string, source_path string, score double")
+    limit = common_limit(known, size)
+    part = lambda keep: F.transform(F.filter("known", keep), lambda x: x["token"])
+    key = lambda mark, c: F.concat(F.lit(mark), F.md5(F.array_join(c, " ")))
+    sets = known.select("_asked", key("s", part(lambda x: x["df"] > 0)).alias("_set"), part(lambda x: x["df"] > limit).alias("common"), part(lambda x: x["df"] <= limit).alias("rare"))
+    once = sets.withColumn("query_id", key("c", F.col("common"))).dropDuplicates(["_set"])
+    wanted = small_or_plain(known.select(F.explode("known.token").alias("token")).distinct())
+    packed = weighted.join(wanted, "token", "left_semi").groupBy("chunk_id", "source_path").agg(F.collect_list(F.struct("token", "weight")).alias("posted"))  # a chunk's own terms
+    n_q, n_c = block_counts(weighted, once.count(), size, BM25_QUERIES, BM25_CHUNKS)
+    blocks = in_blocks(once.select("query_id", "_set", "common", "rare"), packed, n_q, n_c, lambda rows, qs: _product(rows, qs, k), "key string, chunk_id string, source_path string, score double")
+    keys = once.select("_set", F.explode(F.array("_set", "query_id")).alias("key"))
+    found = top_k(blocks, k, "key").join(keys, "key").groupBy("_set", "chunk_id").agg(F.max("score").alias("score"), F.min("source_path").alias("source_path"))
+    asking = words.join(sets.select("_asked", "_set"), "_asked").select("query_id", "_set")
+    return top_k(found, k, "_set").join(asking, "_set").select("query_id", "chunk_id", "source_path", "score", "rank")
 
 
 def bm25_scores_within(queries: DataFrame, weighted: DataFrame, scope: DataFrame) -> DataFrame:
@@ -195,11 +298,6 @@ def build_index(chunks: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     return cut(weighted_postings(chunks, k1, b))
 
 
-def bm25_indexed(queries: DataFrame, weighted: DataFrame, k: int = TOP) -> DataFrame:
-    """As bm25, over an index built before."""
-    return top_k(bm25_blocks(queries.filter("query_id is not null"), weighted, k), k)
-
-
 # vectors -----------------------------------------------------------------------------------------------------------
 def _similar(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     """The k nearest rows of a block per query."""
@@ -214,7 +312,7 @@ def _similar(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     found = []
     if rows.num_rows and queries.num_rows:
         c, q = unit(rows), unit(queries)
-        step = max(1, BATCH_CELLS // len(c))
+        step = max(1, BATCH_CELLS // 8 // len(c))
         for lo in range(0, len(q), step):
             r, at, score = best_cells(q[lo : lo + step] @ c.T, k)
             found.append((r + lo, at, score))
@@ -227,8 +325,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = TOP, keep: Column |
     """Exhaustive cosine search, exact, in blocks: every block of queries meets every block of vectors once.
 
     queries(query_id, embedding), vectors(chunk_id, embedding and, if it shall be carried along, source_path). A pair of blocks
-    is one matrix product, of which the k best per query leave the task; these are merged per query. Rows without a vector take
-    no part; a vector of length 0 has similarity 0.
+    is one matrix product, of which the k best per query leave the task; these are merged per query. A vector that several queries
+    have is searched once. Rows without a vector take no part; a vector of length 0 has similarity 0.
     """
     if k < 1:
         raise ValueError("top_k must be at least 1")
@@ -236,9 +334,14 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = TOP, keep: Column |
     carried = [c for c in ("source_path",) if c in v.columns]
     v = v.filter("chunk_id is not null and embedding is not null").select(F.col("chunk_id").cast("string").alias("chunk_id"), *carried, F.col("embedding").cast("array<float>").alias("embedding"))
     q = queries.filter("query_id is not null and embedding is not null").select(F.col("query_id").cast("string").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    n_q, n_c = block_counts(v, q.count(), v.count(), QUERY_BLOCK, VECTOR_BLOCK)
+    q = cut(q.withColumn("_same", F.md5(F.col("embedding").cast("string"))))  # embedded once for the search and for its askers
+    once = q.dropDuplicates(["_same"]).select(F.col("_same").alias("query_id"), "embedding")
+    n_q, n_c = block_counts(v, once.count(), v.count(), QUERY_BLOCK, VECTOR_BLOCK)
     schema = "query_id string, chunk_id string" + "".join(f", {c} string" for c in carried) + ", score double"
-    return top_k(in_blocks(q, v, n_q, n_c, lambda rows, qs: _similar(rows, qs, k), schema), k)
+    found = top_k(in_blocks(once, v, n_q, n_c, lambda rows, qs: _similar(rows, qs, k), schema), k).withColumnRenamed("query_id", "_same")
+    found = found.join(q.select("query_id", "_same"), "_same").select("query_id", "chunk_id", *carried, "score", "rank")
+    rows, queries_asked = q.agg(F.count("query_id"), F.count_distinct("query_id")).head()
+    return found if rows == queries_asked else top_k(found.drop("rank"), k)  # several vectors of one query
 
 
 # combinations --------------------------------------------------------------------------------------------------------
@@ -391,6 +494,14 @@ def lists_of(every: DataFrame, ranked: DataFrame) -> DataFrame:
     return ranked.join(tags, "query_id").select(F.col("question_id").alias("query_id"), "list_no", "chunk_id", "source_path", "rank", "score")
 
 
+def lists_of_texts(every: DataFrame, rank: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """As lists_of, of every text's list, which is made once: questions share most of their sub-queries."""
+    every = cut(every)  # read for the texts, by both retrievers, and for their lists
+    first = every.groupBy("text").agg(F.min("query_id").alias("first"))
+    ranked = rank(first.select(F.col("first").alias("query_id"), "text"))
+    return lists_of(every.join(first, "text").select(F.col("first").alias("query_id"), "question_id", "list_no"), ranked)
+
+
 def with_coverage(tagged: DataFrame, fused: DataFrame, per_query: int, k: int = TOP) -> DataFrame:
     """Evidence reserved for each sub-query, then filled up from the fused list.
 

@@ -237,7 +237,7 @@ def _decomposed(spark, d):
 
 def _decomposed_hybrid(spark, d):
     every = ranking.with_subqueries(questions(spark, d), ranking.parse_subqueries(_responses(spark, d)))
-    return ranking.lists_of(every, _hybrid(spark, d, every.select("query_id", "text")))
+    return ranking.lists_of_texts(every, lambda q: _hybrid(spark, d, q))
 
 
 def decompose_rrf(spark, d):

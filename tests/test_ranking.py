@@ -239,3 +239,57 @@ def test_best_cells(positive):
         got = sorted(zip(r.tolist(), (-s).tolist(), c.tolist()))
         want = [(i, *x) for i in range(20) for x in sorted((-scores[i, j], j) for j in range(30) if not positive or scores[i, j] > 0)[:k]]
         assert got == sorted(want)
+
+
+@pytest.mark.parametrize("shares", [(1.0,), (0.3,), (0.05,), (0.0,)])
+def test_rare_terms_over_common_ones(spark, monkeypatch, shares):
+    """All terms rare, all common, and mixtures give what a loop over all pairs gives."""
+    monkeypatch.setattr(ranking, "COMMON_SHARES", shares)
+    monkeypatch.setattr(ranking, "BATCH_QUERIES", 3)
+    monkeypatch.setattr(ranking, "BATCH_PAIRS", 10)
+    monkeypatch.setattr(ranking, "BM25_CHUNKS", 40)
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(12)] + [f"r{i}" for i in range(60)]
+    texts = {f"d{i:03d}:0": " ".join(rnd.choice(words[:12] if rnd.random() < 0.8 else words) for _ in range(9)) for i in range(150)}
+    asked = {f"q{i}": " ".join(rnd.sample(words[:4], 2) + rnd.sample(words, 2)) for i in range(30)} | {"only": "r1 r2", "none": "x y", "same": "w0 w1 R3", "again": "r3 w1 w0 w1 unknown"}
+    c = chunk_table(spark, texts)
+    weight = {}
+    for r in ranking.weighted_postings(c).collect():
+        weight.setdefault(r.chunk_id, {})[r.token] = r.weight
+    got = {}
+    for r in ranking.bm25(queries(spark, **asked), c, 4).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.chunk_id, r.score)
+    for q, text in asked.items():
+        score = {i: round(sum(w.get(t, 0.0) for t in set(text.lower().split())), 6) for i, w in weight.items()}
+        want = sorted((-s, i) for i, s in score.items() if s > 0)[:4]
+        assert [got.get(q, {})[k] for k in range(1, len(want) + 1)] == [(i, pytest.approx(-s, abs=2e-6)) for s, i in want] and len(got.get(q, {})) == len(want), q
+
+
+def searched(monkeypatch):
+    """How many rows each search is given to look for."""
+    seen, plain = [], ranking.in_blocks
+    monkeypatch.setattr(ranking, "in_blocks", lambda q, *a: seen.append(q.count()) or plain(q, *a))
+    return seen
+
+
+def test_shared_texts_are_searched_once(spark, monkeypatch):
+    """decompose_hybrid_rrf: questions share sub-queries, vectors and terms."""
+    c = chunk_table(spark, {"a:0": "alpha beta", "b:0": "gamma delta", "c:0": "alpha gamma"})
+    every = ranking.with_subqueries(queries(spark, p="alpha one", q="alpha two"), spark.createDataFrame([(i, n, t) for i in "pq" for n, t in ((1, "gamma"), (2, "Gamma!"))], "query_id string, sub_no int, text string"))
+    seen = searched(monkeypatch)
+    vectors, index = c.select("chunk_id", "source_path", hashed_embedding(F.col("text")).alias("embedding")), ranking.build_index(c)
+    once = ranking.lists_of_texts(every, lambda q: ranking.hybrid_indexed(q, vectors, index, hashed_embedding, 3))
+    assert seen == [3, 2]  # vectors of "alpha one", "alpha two", "gamma"; terms in the index: alpha, gamma
+    each = ranking.lists_of(every, ranking.hybrid_indexed(every.select("query_id", "text"), vectors, index, hashed_embedding, 3))
+    assert rows(once) == rows(each, *once.columns) and once.count() == 18
+
+
+def test_best_cells_of_wide_rows():
+    rnd = np.random.default_rng(5)
+    for scores in (rnd.integers(0, 4, (7, 1000)) / 4, rnd.random((7, 1003)), np.zeros((2, 900))):
+        for k in (1, 20, 100):
+            for positive in (False, True):
+                r, c, s = ranking.best_cells(scores, k, positive)
+                micro = np.rint(scores * 1e6).astype(int)
+                want = [(i, -x[0] / 1e6, x[1]) for i in range(len(scores)) for x in sorted((-micro[i, j], j) for j in range(scores.shape[1]) if not positive or micro[i, j] > 0)[:k]]
+                assert sorted(zip(r.tolist(), c.tolist(), s.tolist())) == sorted((i, j, x) for i, x, j in want)
