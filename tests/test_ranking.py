@@ -284,6 +284,16 @@ def test_shared_texts_are_searched_once(spark, monkeypatch):
     assert rows(once) == rows(each, *once.columns) and once.count() == 18
 
 
+def test_follow_ups_of_same_terms_are_searched_once(spark, monkeypatch):
+    """multihop_evidence_rrf: the follow-ups of many questions are the same passages' lines."""
+    c = chunk_table(spark, {"a:0": "alpha beta\nlast", "b:0": "beta gamma", "c:0": "delta"})
+    q = queries(spark, **{f"q{i}": f"alpha beta unknown{i}" for i in range(20)})
+    seen = searched(monkeypatch)
+    index = ranking.build_index(c)
+    got = ranking.multi_hop_from_evidence(q, c, lambda x, k: ranking.bm25_indexed(x, index, k), lambda question, evidence: F.regexp_extract(evidence, r"\]\n([^\n]*)", 1))
+    assert got.count() == 40 and seen == [1, 1] and order(got, "q7") == ["a:0", "b:0"]
+
+
 def test_best_cells_of_wide_rows():
     rnd = np.random.default_rng(5)
     for scores in (rnd.integers(0, 4, (7, 1000)) / 4, rnd.random((7, 1003)), np.zeros((2, 900))):
