@@ -5,11 +5,14 @@ White space means what Python's ``\\s`` means, and only a line feed ends a line
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: Fixed value: the white space characters, as a class usable in Java and RE2 patterns.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: A heading line, a term, a sentence border and the two forms of citation.
+#: The same characters as a text; a heading line, a term, a sentence border and the two forms of citation.
+WS_CHARACTERS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 HEADING = rf"#{{1,6}}{WS}+.+"
 TERM = r"[a-z0-9]+(?:[-_][a-z0-9]+)*"
 SENTENCE_GAP = rf"([.!?]){WS}+([A-Z0-9*#])"
@@ -19,6 +22,11 @@ CHUNK_CITATION = r"\[([^\[\]\s]+\.md:\d+)\]"
 MARK, ESCAPE = "\x01", "\x02"
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c evaluated once: inside functions of arrays Spark evaluates an expression wherever it stands."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def _split_marked(c: Column, pattern: str, marked: str) -> Column:
     """The text split where the replacement ``marked`` puts a MARK; one that the text has is kept."""
     safe = F.replace(c, F.lit(MARK), F.lit(MARK + ESCAPE))
@@ -27,7 +35,7 @@ def _split_marked(c: Column, pattern: str, marked: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(WS_CHARACTERS))
 
 
 def terms(c: Column) -> Column:
@@ -61,5 +69,4 @@ def sections(c: Column) -> Column:
 
 def heading_blocks(c: Column) -> Column:
     """Paragraphs of the preamble and one stripped block per heading."""
-    parts = sections(c)
-    return F.concat(paragraphs(F.get(parts, F.lit(0))), not_blank(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))))
+    return once(sections(c), lambda parts: F.concat(paragraphs(F.get(parts, F.lit(0))), not_blank(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))))))

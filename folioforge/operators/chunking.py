@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioforge.functions.text import is_heading, heading_blocks, not_blank, paragraphs, sections, sentences, strip
+from folioforge.functions.text import heading_blocks, is_heading, not_blank, once, paragraphs, sections, sentences, strip
 from folioforge.functions.vectors import cosine
 
 EMPTY = "array<string>"
@@ -29,11 +29,13 @@ def fixed_chunks(text: Column, chunk_size: int = 500) -> Column:
 
 def split_block(block: Column, chunk_size: int) -> Column:
     """A block within the size as it is; else its paragraphs' sentences, a leading heading kept whole."""
-    paras = paragraphs(block)
-    titled = (F.size(paras) > 0) & is_heading(F.get(paras, F.lit(0)))
-    body = F.when(titled, F.slice(paras, F.lit(2), F.greatest(F.size(paras) - 1, F.lit(0)))).otherwise(paras)
-    parts = F.concat(F.when(titled, F.slice(paras, 1, 1)).otherwise(F.array().cast(EMPTY)), F.flatten(F.transform(body, sentences)))
-    return F.when((F.length(block) <= chunk_size) | (F.size(parts) == 0), F.array(block)).otherwise(parts)
+
+    def of(paras: Column, titled: Column) -> Column:
+        body = F.when(titled, F.slice(paras, F.lit(2), F.greatest(F.size(paras) - 1, F.lit(0)))).otherwise(paras)
+        return F.concat(F.when(titled, F.slice(paras, 1, 1)).otherwise(F.array().cast(EMPTY)), F.flatten(F.transform(body, sentences)))
+
+    parts = once(paragraphs(block), lambda p: once((F.size(p) > 0) & is_heading(F.get(p, F.lit(0))), lambda titled: of(p, titled)))
+    return F.when(F.length(block) <= chunk_size, F.array(block)).otherwise(once(parts, lambda p: F.when(F.size(p) == 0, F.array(block)).otherwise(p)))
 
 
 def pack(pieces: Column, chunk_size: int) -> Column:
@@ -41,11 +43,11 @@ def pack(pieces: Column, chunk_size: int) -> Column:
     start = F.struct(F.array().cast(EMPTY).alias("done"), F.lit("").alias("open"))
 
     def add(acc: Column, piece: Column) -> Column:
-        joined = F.when(acc["open"] == "", piece).otherwise(F.concat(acc["open"], F.lit("\n\n"), piece))
-        full = (acc["open"] != "") & (F.length(joined) > chunk_size)
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), F.when(full, piece).otherwise(joined).alias("open")
-        )
+        full = F.length(acc["open"]) + 2 + F.length(piece) > chunk_size
+        first = F.struct(acc["done"].alias("done"), piece.alias("open"))
+        closed = F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), piece.alias("open"))
+        joined = F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.lit("\n\n"), piece).alias("open"))
+        return F.when(acc["open"] == "", first).when(full, closed).otherwise(joined)
 
     return F.aggregate(pieces, start, add, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
 

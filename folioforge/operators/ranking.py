@@ -25,6 +25,8 @@ K1, B, RRF_K, CANDIDATES, TOP = 1.5, 0.75, 60, 20, 5
 #: Rows and queries of one block of a search, at most in expectation.
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 8192
 BM25_CHUNKS, BM25_QUERIES = 32768, 131072
+#: Terms up to this number, with their frequencies, are broadcast when an index is made; a row is a word and a number.
+FREQUENCY_ROWS = 1_000_000
 #: Blocks up to this number are tasks of their own.
 MOST_TASKS = 20_000
 #: Queries and cells of one matrix inside a task.
@@ -73,20 +75,55 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def weighted_postings(chunks: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """chunk_id, source_path, token, weight: each posting's part of the score, with statistics over all chunks.
+    """chunk_id, source_path, token, weight: each posting's part of the score, with statistics over all chunks; a chunk's side by side.
 
     The weights depend on the corpus only; a table of them answers any number of queries by one join.
     """
     if k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be positive and b within 0 and 1")
-    termed = cut(chunk_terms(chunks))  # chunked and tokenised once for postings, frequencies and statistics
-    posted = postings(termed)
-    scored = posted.join(document_frequency(posted), "token").crossJoin(F.broadcast(corpus_stats(termed)))  # statistics are one row
-    idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_len")))
+    termed = cut(chunks.select("chunk_id", "source_path", terms(F.col("text")).alias("t")).select("chunk_id", "source_path", F.size("t").alias("dl"), F.array_join("t", " ").alias("words")))  # terms have no spaces
+    n, n_ids, total = termed.agg(F.count(F.lit(1)), F.count_distinct("chunk_id"), F.coalesce(F.sum("dl"), F.lit(0))).head()
+    if n != n_ids:  # rows of the same chunk count as one text
+        termed = termed.groupBy("chunk_id", "source_path", "dl").agg(F.array_join(F.collect_list("words"), " ").alias("words"))
+    termed = termed.filter("dl > 0")
+    found = termed.select("words").mapInArrow(_frequencies, "token string, df long")
+    df = cut(found.groupBy("token").agg(F.sum("df").alias("df")))
+    posted = termed.mapInArrow(_counted, "chunk_id string, source_path string, dl int, posted array<struct<token:string,tf:int>>").select("chunk_id", "source_path", "dl", F.inline("posted"))
+    if df.count() <= FREQUENCY_ROWS:
+        scored = posted.join(F.broadcast(df), "token")
+    else:
+        scored = posted.join(df, "token").repartition("chunk_id").sortWithinPartitions("chunk_id")
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(total / max(n, 1))))
     return scored.select("chunk_id", "source_path", "token", (idf * tf).alias("weight"))
 
 
+def _distinct(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of a batch of texts; then text, term and number of occurrences of each text's distinct terms, in the order of texts."""
+    lists = pc.split_pattern(words, " ")
+    flat = lists.flatten().dictionary_encode()
+    pairs, tf = np.unique(pc.list_parent_indices(lists).to_numpy().astype(np.int64) * len(flat.dictionary) + flat.indices.to_numpy(), return_counts=True)
+    return flat.dictionary, *np.divmod(pairs, len(flat.dictionary)), tf
+
+
+def _frequencies(batches):
+    """token, df: in how many texts of a batch a term is."""
+    for batch in batches:
+        if batch.num_rows:
+            token, _, term, _ = _distinct(batch["words"])
+            yield pa.RecordBatch.from_arrays([token, pa.array(np.bincount(term, minlength=len(token)).astype(np.int64))], ["token", "df"])
+
+
+def _counted(batches):
+    """Each text's distinct terms with their numbers, without a shuffle."""
+    for batch in batches:
+        if batch.num_rows:
+            token, text, term, tf = _distinct(batch["words"])
+            ends = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
+            posted = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([token.take(pa.array(term)), pa.array(tf.astype(np.int32))], ["token", "tf"]))
+            yield pa.RecordBatch.from_arrays([batch["chunk_id"], batch["source_path"], batch["dl"], posted], ["chunk_id", "source_path", "dl", "posted"])
+
+
 def best_cells(scores: np.ndarray, k: int, positive: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, score to six digits) of the k best cells of every row; ties go to the lesser column."""
     n = scores.shape[1]
@@ -232,6 +269,7 @@ def bm25_sets(queries: DataFrame, weighted: DataFrame) -> tuple[DataFrame, DataF
     digest = F.md5(F.array_join("tokens", " "))  # terms have no spaces
     words = queries.filter("query_id is not null").select(F.col("query_id").cast("string").alias("query_id"), F.array_distinct(terms(F.col("text"))).alias("tokens")).filter(F.size("tokens") > 0)
     words = words.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("tokens")).select("query_id", "tokens", digest.alias("_asked"))
+    words = cut(words)  # read for the sets and for their askers
     asked = words.dropDuplicates(["_asked"]).select("_asked", F.explode("tokens").alias("token"))
     known = asked.join(document_frequency(weighted), "token").groupBy("_asked").agg(F.array_sort(F.collect_list(F.struct("token", "df"))).alias("known"))  # a query's own terms
     return words.select("query_id", "_asked"), cut(known)

@@ -36,7 +36,7 @@ def stored_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def stored_index(spark: SparkSession, d: str) -> DataFrame:
     """The weighted postings, a chunk's own side by side."""
-    return _stored(spark, d, "postings", lambda: ranking.weighted_postings(stored_chunks(spark, d)).repartition("chunk_id").sortWithinPartitions("chunk_id"), k1=ranking.K1, b=ranking.B)
+    return _stored(spark, d, "postings", lambda: ranking.weighted_postings(stored_chunks(spark, d)), k1=ranking.K1, b=ranking.B)
 
 
 def stored_vectors(spark: SparkSession, d: str) -> DataFrame:

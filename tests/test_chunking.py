@@ -86,3 +86,9 @@ def test_the_mark_is_an_ordinary_character(spark):
     text = "One \x01 two. Three\x01\x02 four.\x01\n# Head \x01\nbody"
     r = spark.createDataFrame([(text,)], "t string").select(sentences(F.col("t")).alias("s"), sections(F.col("t")).alias("h")).head()
     assert r.s == ["One \x01 two.", "Three\x01\x02 four.\x01\n# Head \x01\nbody"] and r.h == ["One \x01 two. Three\x01\x02 four.\x01\n", "# Head \x01\nbody"]
+
+
+def test_headings_are_sought_once(spark):
+    """multihop_evidence_rrf: the steps of a chunker are evaluated once, however often the next step looks at them."""
+    plan = spark.range(1).select(chunking.markdown_chunks(F.col("id").cast("string")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?md)^(") == 1

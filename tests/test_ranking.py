@@ -303,3 +303,16 @@ def test_best_cells_of_wide_rows():
                 micro = np.rint(scores * 1e6).astype(int)
                 want = [(i, -x[0] / 1e6, x[1]) for i in range(len(scores)) for x in sorted((-micro[i, j], j) for j in range(scores.shape[1]) if not positive or micro[i, j] > 0)[:k]]
                 assert sorted(zip(r.tolist(), c.tolist(), s.tolist())) == sorted((i, j, x) for i, x, j in want)
+
+
+def test_index_is_made_without_shuffling_postings(spark, monkeypatch):
+    """multihop_evidence_rrf: a chunk's terms are counted where it is; rows of the same chunk count as one text, as in SQL."""
+    c = chunk_table(spark, {"a:0": "alpha beta alpha", "b:0": "beta", "c:0": "", "d:0": None})
+    assert "Exchange hashpartitioning" not in ranking.weighted_postings(c)._jdf.queryExecution().executedPlan().toString()
+    c = c.unionByName(chunk_table(spark, {"a:0": "alpha gamma beta"}))
+    got = {(r.chunk_id, r.token): r.weight for r in ranking.weighted_postings(c).collect()}
+    df, dl, tf = {"alpha": 1, "beta": 2, "gamma": 1}, {"a:0": 3, "b:0": 1}, {("a:0", "alpha"): 3, ("a:0", "beta"): 2, ("a:0", "gamma"): 1, ("b:0", "beta"): 1}
+    want = {(i, t): math.log(1 + (5 - df[t] + 0.5) / (df[t] + 0.5)) * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * dl[i] / (7 / 5))) for (i, t), n in tf.items()}
+    assert got == {k: pytest.approx(v, rel=1e-12) for k, v in want.items()}
+    monkeypatch.setattr(ranking, "FREQUENCY_ROWS", 0)
+    assert {(r.chunk_id, r.token): r.weight for r in ranking.weighted_postings(c).collect()} == got
